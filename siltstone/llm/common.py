@@ -114,13 +114,7 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarr
     before = before[before >= 0]
     last[before] = inside[before]
     ends = np.flatnonzero(last) + 1
-    power = np.full(len(b), _P)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + _U(1)) * power, out=total[1:])
-    hashed = mix((total[ends] - total[starts]) * _inverse_powers(starts) + (ends - starts).astype(np.uint64))
-    return hashed, starts, ends, np.searchsorted(starts, at)
+    return span_hash(b, starts, ends), starts, ends, np.searchsorted(starts, at)
 
 
 _STEP = 1 << 12
@@ -134,6 +128,18 @@ def _inverse_powers(at: np.ndarray) -> np.ndarray:
     return high[at // _STEP] * _LOW[at % _STEP]
 
 
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; starts ascend."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power = np.full(len(raw), _P)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * power, out=total[1:])
+    return mix((total[ends] - total[starts]) * _inverse_powers(starts) + (ends - starts).astype(np.uint64))
+
+
 def shingles(word: np.ndarray, row_at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's k-word shingles, one after the other, and their n + 1 offsets.
 
