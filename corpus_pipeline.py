@@ -1,10 +1,91 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as
+the next stage's docs. All stages but the last return the columns of docs.
+
+Rows that a stage rejects are told by (doc_id, hash of the text). They are sent to all executors up to `FEW` rows (16
+bytes each) and joined by a shuffle beyond. Repeated rows (same id and text) share their fate, but near-dedup leaves one.
+Missing columns count as null; an empty table passes through.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import common
+from siltstone.llm.decontaminate import contaminated
+from siltstone.llm.mixing import mix
+from siltstone.llm.near_dedup import near_duplicates
+from siltstone.llm.quality_rules import quality_rules
+from siltstone.llm.sharding import shard
+
+FEW = 2_000_000
+
+
+def _fp(docs: DataFrame) -> Column:
+    return F.xxhash64(common.column(docs, "text", "string"))
+
+
+def without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose (doc_id, fp) are in rejected; fp may be missing there."""
+    rejected = rejected.distinct().toDF(*(f"__gone_{c}" for c in rejected.columns))
+    rejected = common.Scratch(docs.sparkSession, name).save(rejected)
+    if rejected.count() <= FEW:
+        rejected = F.broadcast(rejected)
+    same = common.column(docs, "doc_id", "long").eqNullSafe(F.col("__gone_doc_id"))
+    if "__gone_fp" in rejected.columns:
+        same = same & (_fp(docs) == F.col("__gone_fp"))
+    return docs.join(rejected, same, "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, quality_rules(docs).where("not kept").select("doc_id", "fp"), "pipeline-quality")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = common.Scratch(spark, "pipeline-near-dedup")
+    found = scratch.save(near_duplicates(docs).select("doc_id", "fp", "kept"))
+    left = without(docs, found.where("not kept").select("doc_id", "fp"), "pipeline-near-dedup")
+    if found.where("kept and doc_id is not null").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        return left
+    key = left.select("*", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _fp(left))).otherwise(F.struct(F.monotonically_increasing_id(), F.lit(0).cast("long"))).alias("__key"))
+    return key.dropDuplicates(["__key"]).drop("__key")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pairs = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, pairs.select("doc_id"), "pipeline-decontaminate")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole copies, then one cut after the words that are left."""
+    scratch = common.Scratch(spark, "pipeline-mixing")
+    taken = mix(docs)[0].where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.floor(F.sum("taken") / F.count("*")).alias("__taken"), F.first("size").alias("__size"))
+    rows = docs.join(scratch.save(taken), common.column(docs, "doc_id", "long").eqNullSafe(F.col("__id")) & (_fp(docs) == F.col("__fp")))
+    copies = F.ceil(F.col("__taken") / F.col("__size"))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    rest = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    whole = rest >= F.col("__size")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(rest, F.lit(1)).cast("int")), "")
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard(docs)
+
+
+STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mixing), ("sharding", sharding)]
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = common.Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

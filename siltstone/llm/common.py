@@ -73,8 +73,13 @@ _PINV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LUT = np.arange(256, dtype=np.uint8)
 _LUT[65:91] += 32
 _LUT[[9, 10, 11, 12, 13]] = 32
-_LUT_CASE = np.arange(256, dtype=np.uint8)
-_LUT_CASE[[9, 10, 11, 12, 13]] = 32
+#: Byte tables for words(): white space becomes a space; A-Z is lower-cased in FOLDED; LETTERS is that, and only ASCII
+#: letters, digits and bytes of other characters make words.
+FOLDED = _LUT
+EXACT = np.arange(256, dtype=np.uint8)
+EXACT[[9, 10, 11, 12, 13]] = 32
+LETTERS = _LUT.copy()
+LETTERS[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,12 +100,12 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word, and for each row the number of its first word (n + 1 entries)."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(at), np.int64)
-    b = (_LUT if lower else _LUT_CASE)[raw]
+    b = table[raw]
     inside = b != 32
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -35,7 +35,7 @@ PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 BATCH = 16
 _MULT = (common.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x51_7C_C1_B7_27_22_0A_95)) | np.uint64(1)).reshape(-1, 1)
 _ADD = common.mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64)).reshape(-1, 1)
-SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"
+SIGNED = "doc_id long, fp long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>"
 
 
 def _sets(array: pa.Array) -> list[np.ndarray]:
@@ -72,14 +72,15 @@ def _signed(batches):
                 key = common.mix(key ^ quads[:, :, r]) + band_key
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), keys],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
+                [batch.column("doc_id"), batch.column("fp"), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), keys],
+                names=["doc_id", "fp", "n_shingles", "fp1", "fp2", "sig", "bands"],
             )
 
 
 def sign(docs: DataFrame) -> DataFrame:
     """Set size, set fingerprint, signature and band keys of each (doc_id, text)."""
-    return docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text")).mapInArrow(_signed, SIGNED)
+    slim = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text"))
+    return slim.withColumn("fp", F.xxhash64("text")).mapInArrow(_signed, SIGNED)
 
 
 def needed(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -170,7 +171,7 @@ def near_duplicates(
     leader_rounds: int = 3,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs.
+    """(doc_id, fp, n_shingles, component_id, kept) of each row of docs; fp is the text's hash.
 
     percent: the least Jaccard similarity of a link, in hundredths; the bands suit 70 and more. miss: probability with
     which the Bayesian bound may drop a pair at the threshold. small_bucket: up to so many members a bucket's remaining
@@ -239,10 +240,10 @@ def near_duplicates(
     links = links.unionAll(confirmed(pairs.distinct()))
     comp = common.components(links, scratch)
     named = scratch.save(classes.join(comp, classes["rep"] == comp["id"], "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")))
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"], "left")
+    out = signed.select("doc_id", "fp", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "fp", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")

@@ -50,7 +50,7 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def measure(text: pa.Array) -> dict[str, np.ndarray]:
     """The measures of each text of the array."""
     raw, at = common.text_bytes(text)
-    word, starts, ends, row_at = common.words(raw, at, lower=False)
+    word, starts, ends, row_at = common.words(raw, at, common.EXACT)
     rows, n = len(at) - 1, np.diff(row_at)
     letters = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80, dtype=np.int64)))
     chars = np.concatenate(([0], np.cumsum(letters[ends] - letters[starts])))
@@ -83,7 +83,7 @@ def _measured(batches):
     for whole in batches:
         for batch in common.pieces(whole, "text"):
             found = measure(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(found[k].astype(np.int64)) for k in MEASURES)], names=["doc_id", "host", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), batch.column("host"), *(pa.array(found[k].astype(np.int64)) for k in MEASURES)], names=["doc_id", "fp", "host", *MEASURES])
 
 
 def host_rates(judged: DataFrame, reject: float, watch: float) -> DataFrame:
@@ -101,11 +101,12 @@ def host_rates(judged: DataFrame, reject: float, watch: float) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, reject: float = 0.6, watch: float = 0.4, broadcast_hosts: int = 100_000) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate, host_verdict)
-    of each row of docs (doc_id, text, source)."""
+    """(doc_id, fp, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate, host_verdict)
+    of each row of docs (doc_id, text, source); fp is the text's hash, which tells rows of one id apart."""
     scratch = common.Scratch(docs.sparkSession, "quality")
     slim = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "source", "string").alias("host"), common.column(docs, "text", "string").alias("text"))
-    found = slim.mapInArrow(_measured, "doc_id long, host string, " + ", ".join(f"{k} long" for k in MEASURES))
+    slim = slim.withColumn("fp", F.xxhash64("text"))
+    found = slim.mapInArrow(_measured, "doc_id long, fp long, host string, " + ", ".join(f"{k} long" for k in MEASURES))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     soft = (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
     judged = scratch.save(found.withColumn("base_failed", base).withColumn("failed", base | soft))
@@ -115,11 +116,11 @@ def quality_rules(docs: DataFrame, reject: float = 0.6, watch: float = 0.4, broa
         hosts = F.broadcast(hosts)
     out = judged.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
     kept = ~F.col("base_failed") & (F.col("host_verdict") != "reject") & ~((F.col("host_verdict") == "watch") & F.col("failed"))
-    return out.select("doc_id", *MEASURES[:5], "base_failed", kept.alias("kept"), F.col("failed").alias("rule_failed"), F.round("rate", 9).alias("host_rate"), "host_verdict")
+    return out.select("doc_id", "fp", *MEASURES[:5], "base_failed", kept.alias("kept"), F.col("failed").alias("rule_failed"), F.round("rate", 9).alias("host_rate"), "host_verdict")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
 
 
 _W = r"[^\x20\x09-\x0D]+"

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+from siltstone.llm.decontaminate import op7_decontaminate
+from siltstone.llm.html_text import op10_html_text
+from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
+from siltstone.llm.mixing import op5_mixing
 from siltstone.llm.near_dedup import op1_near_dedup
+from siltstone.llm.quality_classifier import op2_quality_classifier
+from siltstone.llm.quality_rules import OP9_SQL, op9_quality_rules
+from siltstone.llm.sharding import op6_sharding
+from siltstone.llm.token_counts import op8_token_counts
+from siltstone.llm.url_rules import op4_url_rules
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_url_rules": op4_url_rules,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
+}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
-ORACLES: dict[str, str] = {}
