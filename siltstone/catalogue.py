@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siltstone import queries_scan, queries_structure
+
+QUERIES: dict = queries_scan.QUERIES | queries_structure.QUERIES
+ORACLES: dict[str, str] = queries_scan.ORACLES | queries_structure.ORACLES
