@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +35,7 @@ def le_int(data: Column, at: int | Column, size: int) -> Column:
     digits = F.hex(part)
     swapped = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
     value = F.conv(swapped, 16, 10).cast("decimal(20,0)")
-    return F.when(F.length(part) == size, F.when(value < F.lit(1 << 63).cast("decimal(20,0)"), value.cast("long")))
+    return F.when(F.length(part) == size, F.when(value < F.lit(Decimal(1 << 63)), value.cast("long")))
 
 
 def count_bytes(data: Column, chars: str) -> Column:

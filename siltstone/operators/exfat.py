@@ -26,8 +26,8 @@ def boot_params(sector: Column, at: Column) -> Column:
     byte = lambda i: O.le_int(sector, i, 1)
     u32 = lambda i: O.le_int(sector, i, 4)
     shift, cshift = byte(108), byte(109)
-    size = F.shiftleft(F.lit(1).cast("long"), shift.cast("int"))
-    cluster = F.shiftleft(size, cshift.cast("int"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), shift.cast("int"))
+    cluster = F.call_function("shiftleft", size, cshift.cast("int"))
     fat, heap = u32(80) * size, u32(88) * size
     ok = (F.length(sector) >= 120) & (O.latin(F.substring(sector, 4, 8)) == MAGIC) & shift.between(9, 12) & (cshift <= 25) & (cluster > 0) & (cluster <= MAX_CLUSTER) & (fat != 0) & (heap != 0)
     fields = F.struct(
