@@ -1,58 +1,19 @@
-"""Shared parts of the corpus operators: scratch tables, word hashing, components."""
+"""Shared parts of the corpus operators: columns, word hashing, slices of batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-# ---------------------------------------------------------------- scratch
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = tempfile.mkdtemp(prefix="siltstone-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    spark.sparkContext.setCheckpointDir(f"file://{root}")
-    return f"file://{root}"
+from siltstone.functions.scratch import Scratch
+from siltstone.operators.graph import components
 
+__all__ = ["Scratch", "components"]
 
-class Scratch:
-    """Written tables that cut lineage; any executor can read them again."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(conf).delete(p, True)
+#: A word is a run of anything but space, tab, LF, VT, FF and CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
@@ -180,29 +141,3 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
-
-
-# ---------------------------------------------------------------- components
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of every id in links (a, b): the smallest id that can be reached.
-
-    Alternates large-star and small-star (Kiveris et al. 2014) until the links are stars. Joins on an id are inner
-    joins that Spark may split where one id has very many links; each round is written to the scratch folder."""
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = scratch.save(e)
-    state = None
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small_min.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        old, e = e, scratch.save(small)
-        scratch.drop(old)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
