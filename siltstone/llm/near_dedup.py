@@ -3,10 +3,11 @@
 1. One pass turns every text into its set of distinct five-word shingles (64-bit hashes) and keeps the set's size, a
    128-bit fingerprint, a signature of 128 minima and 32 band keys of four minima each.
 2. Rows with equal fingerprints are one class; only the class's smallest id goes on.
-3. Two classes that share a band key are candidates. Instead of all pairs of a bucket, each member is compared with
-   the bucket's leader; links found make components, and further rounds with other leaders run while a bucket still
-   holds several components. What is left is compared pair by pair across components only: in small buckets directly,
-   in large ones through the rarest shingles that a pair of the wanted similarity must share (prefix filter), which is
+3. Two classes that share a band key are candidates. Instead of all pairs of a bucket, each member is first compared with
+   the bucket's leader, the member that meets most others over all its buckets (of a group of edited copies, one close to
+   the original). Links found make components. Buckets that still hold several components are the rest: small ones
+   list their pairs across components, large ones go through a prefix filter with sizes (a pair of the wanted
+   similarity shares one of the rarest shingles of both, up to a place that follows from the two sizes), which is
    exact. No bucket is cut off and no pair of one component is made twice.
 4. A candidate's signatures are compared 16 minima at a time. With a uniform prior the posterior of the similarity is a
    Beta; a pair goes as soon as the probability that it reaches the threshold falls under `miss`.
@@ -132,23 +133,27 @@ def _confirm(percent: int):
 
 
 def _prefixes(percent: int):
-    """(doc_id, token, n): the first n - ceil(percent * n / 100) + 1 of a set's shingles, rarest first."""
+    """(id, token, n, reach) for the shingles of a set, rarest first, that can be in a prefix: the one in place p
+    (from 0) serves pairs with sets of at most `reach` = (100 + percent) * (n - p) / percent - n shingles, and no set
+    under percent * n / 100 is similar enough."""
 
     def run(batches):
         for batch in batches:
-            ids, toks, sizes = [], [], []
+            ids, toks, sizes, reaches = [], [], [], []
             for i, entries in zip(batch.column("id").to_pylist(), batch.column("entries"), strict=True):
                 values = entries.values
                 df, h = values.field("df").to_numpy(zero_copy_only=False), values.field("h").to_numpy(zero_copy_only=False)
                 n = len(h)
-                most = n - -(-percent * n // 100) + 1
-                first = np.lexsort((h, df))[:most]
-                first = first[df[first] > 1]
-                ids += [i] * len(first)
-                toks.append(h[first])
-                sizes += [n] * len(first)
+                order = np.lexsort((h, df))
+                reach = (100 + percent) * (n - np.arange(n)) // percent - n
+                order, reach = order[100 * reach >= percent * n], reach[100 * reach >= percent * n]
+                shared = df[order] > 1
+                toks.append(h[order[shared]])
+                reaches.append(reach[shared])
+                ids += [i] * len(toks[-1])
+                sizes += [n] * len(toks[-1])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(toks)), pa.array(sizes, pa.int64())], names=["id", "token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(toks)), pa.array(sizes, pa.int64()), pa.array(np.concatenate(reaches))], names=["id", "token", "n", "reach"])
 
     return run
 
@@ -167,17 +172,15 @@ def near_duplicates(
     docs: DataFrame,
     percent: int = 75,
     miss: float = 1e-7,
-    small_bucket: int = 48,
-    leader_rounds: int = 3,
+    small_bucket: int = 16,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id, kept) of each row of docs; fp is the text's hash.
 
     percent: the least Jaccard similarity of a link, in hundredths; the bands suit 70 and more. miss: probability with
     which the Bayesian bound may drop a pair at the threshold. small_bucket: up to so many members a bucket's remaining
-    pairs are listed directly; larger ones go through the prefix filter. leader_rounds: rounds of comparing members
-    with leaders. broadcast_ids: the ids (8 bytes each) of texts to confirm are sent to all executors up to that
-    number, and joined by a shuffle beyond it."""
+    pairs are listed directly; larger ones go through the prefix filter. broadcast_ids: the ids (8 bytes
+    each) of texts to confirm are sent to all executors up to that number, and joined by a shuffle beyond it."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near-dedup")
     signed = scratch.save(sign(docs))
@@ -185,10 +188,12 @@ def near_duplicates(
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes)
     # one row of a class speaks for it: its smallest id (and of repeated rows of that id any one, as they are equal)
-    reps = signed.join(classes.select("n_shingles", "fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "fp1", "fp2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles"])
+    reps = scratch.save(signed.join(classes.select("n_shingles", "fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "fp1", "fp2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles"]))
     member = reps.select("id", F.explode("bands").alias("key"))
-    full = member.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.max("id").alias("most")).where("c > 1")
+    full = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = scratch.save(member.join(full, "key"))
+    met = member.groupBy("id").agg(F.sum("c").alias("met"))
+    leader = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
     sigs = reps.select("id", "sig")
     survivors = _survivors(percent / 100, miss)
 
@@ -203,23 +208,12 @@ def near_duplicates(
         paired = kept.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return scratch.save(paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
-    def pair(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    links = confirmed(member.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).unionAll(member.where("id <> most").select(F.col("id").alias("a"), F.col("most").alias("b"))).distinct())
-    tested = None
-    for turn in range(1, leader_rounds + 1):
-        comp = common.components(links, scratch)
-        at = member.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        at = scratch.save(at)
-        order = F.xxhash64("id", F.lit(turn))
-        # a leader of the component that holds the smallest id and one of another component: both see every outsider
-        open_ = at.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(order.alias("o"), "id", "comp")).alias("lead")).where("low < high")
-        rest = scratch.save(at.join(open_, "key"))
-        if turn == leader_rounds or rest.where(F.col("c") > small_bucket).isEmpty():
-            break
-        tested = rest.where((F.col("c") > small_bucket) & (F.col("comp") != F.col("lead.comp"))).select(*pair("id", "lead.id")).distinct()
-        links = scratch.save(links.unionAll(confirmed(tested)))
+    first = member.join(leader, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    links = confirmed(first.distinct())
+    comp = common.components(links, scratch)
+    at = scratch.save(member.join(comp, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp")))
+    open_ = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rest = scratch.save(at.join(open_, "key"))
     small = rest.where(F.col("c") <= small_bucket)
     pairs = small.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     large = rest.where(F.col("c") > small_bucket).select("id", "comp").distinct()
@@ -229,13 +223,14 @@ def near_duplicates(
         token = scratch.save(own.mapInArrow(_exploded, "id long, h long"))
         df = token.groupBy("h").agg(F.count("*").alias("df"))
         listed = token.join(df, "h").groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("entries"))
-        prefix = listed.mapInArrow(_prefixes(percent), "id long, token long, n long").join(large, "id")
-        prefix = scratch.save(prefix)
-        # tokens whose holders are all of one component make no pair
-        mixed = prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        prefix = prefix.join(mixed, "token")
-        x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n"))) for s in "xy")
-        near = x.join(y, "token").where(f"id_x < id_y and comp_x <> comp_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+        prefix = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(large, "id"))
+        # a token makes pairs only if several components hold it; a row of it only if some holder is within its reach
+        mixed = prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least")
+        prefix = scratch.save(prefix.join(mixed, "token").where("least <= reach").drop("least"))
+        still = prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        prefix = prefix.join(still, "token")
+        x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "reach"))) for s in "xy")
+        near = x.join(y, "token").where("id_x < id_y and comp_x <> comp_y and n_y <= reach_x and n_x <= reach_y")
         pairs = pairs.unionAll(near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
     links = links.unionAll(confirmed(pairs.distinct()))
     comp = common.components(links, scratch)
