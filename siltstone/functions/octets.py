@@ -23,9 +23,18 @@ def unlatin(text: Column) -> Column:
     return F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
 
 
+# Unicode's white space.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def le_int(data: Column, at: int | Column, size: int) -> Column:

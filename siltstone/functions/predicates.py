@@ -25,8 +25,9 @@ def is_probably_json(text: Column) -> Column:
     """Starts like an object or array, brackets outside strings cancel out, over 10 bytes trimmed."""
     t = O.strip(text)
     bare = F.regexp_replace(t, r'(?s)\\.|"(?:[^"\\]|\\.)*(?:"|\\?$)', "")
-    net = lambda a, b: F.length(F.translate(bare, a, "")) == F.length(F.translate(bare, b, ""))
-    return F.coalesce(t.rlike(r"^[{\[]") & net("{", "}") & net("[", "]") & (F.octet_length(t) > 10), F.lit(False))
+    net = lambda x, a, b: F.length(F.translate(x, a, "")) == F.length(F.translate(x, b, ""))
+    even = O.once(bare, lambda x: net(x, "{", "}") & net(x, "[", "]"))
+    return F.coalesce((t.startswith("{") | t.startswith("[")) & (F.octet_length(t) > 10) & even, F.lit(False))
 
 
 def strict_json(text: str) -> bool:
@@ -81,11 +82,10 @@ def is_html(text: Column) -> Column:
 
 def is_csv(text: Column) -> Column:
     """At least two lines, a comma in the first, and 60 % of the lines with at least half of its commas."""
-    lines = F.split(F.regexp_replace(O.strip(text), r"\r\n", "\n"), "\n")
+    lines = F.split(F.replace(O.strip(text), F.lit("\r\n"), F.lit("\n")), "\n")
     commas = F.transform(lines, lambda x: F.length(x) - F.length(F.translate(x, ",", "")))
-    first = F.element_at(commas, 1)
-    even = F.size(F.filter(commas, lambda c: c >= F.floor(first / 2)))
-    return F.coalesce((F.size(lines) >= 2) & (first >= 1) & (10 * even >= 6 * F.size(lines)), F.lit(False))
+    even = lambda c: (F.size(c) >= 2) & (F.element_at(c, 1) >= 1) & (10 * F.size(F.filter(c, lambda n: n >= F.floor(F.element_at(c, 1) / 2))) >= 6 * F.size(c))
+    return F.coalesce(O.once(commas, even), F.lit(False))
 
 
 def validation(text: Column) -> Column:
@@ -136,12 +136,13 @@ def is_carvable(size: Column, cluster: Column, head: Column) -> Column:
 def block_flags(block: Column) -> Column:
     """Struct of a block's flags: all zero; starts with an entry mark; positions of the bytes y h { v /; zero bytes."""
     text = O.latin(block)
-    hot = F.filter(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substring(text, i, F.lit(1)).isin(*"yh{v/"), (i - 1).cast("int"))), lambda x: x.isNotNull())
+    n_hot = F.length(text) - F.length(F.translate(text, "yh{v/", ""))
+    hot = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(*"yh{v/"), i)), lambda x: x.isNotNull())
     zeros = F.length(text) - F.length(F.translate(text, "\x00", ""))
     hot = F.when(F.length(text) > 0, hot).otherwise(F.array().cast("array<int>"))
     return F.struct(
-        (zeros == F.length(text)).alias("is_empty"), (F.hex(F.substring(block, 1, 1)) == "85").alias("has_metadata"), hot.alias("hot_positions"),
-        zeros.cast("int").alias("zero_count"), ((zeros < 8) & (F.size(hot) > 0)).alias("high_entropy"),
+        (zeros == F.length(text)).alias("is_empty"), (F.hex(F.substring(block, 1, 1)) == "85").alias("has_metadata"), hot.alias("hot_positions"), n_hot.cast("int").alias("n_hot"),
+        zeros.cast("int").alias("zero_count"), ((zeros < 8) & (n_hot > 0)).alias("high_entropy"),
     )
 
 

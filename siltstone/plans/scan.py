@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import octets as O
@@ -50,17 +50,16 @@ class Options:
         return None
 
 
-def features(chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def features(chunks: DataFrame, links: DataFrame | None = None, n_links: Column | None = None) -> DataFrame:
     """Adds to chunks (path, chunk_id, offset, size, data): file_type, n_links, links, cyrillic, brackets, entropy,
-    is_empty, target_score, fragment_score."""
+    is_empty, target_score, fast_score, fragment_score. Links are counted by chunk, or given as a number."""
     data, text = F.col("data"), V.text_of(F.col("data"))
     if links is not None:
         n = links.where("error is null").groupBy("path", "chunk_id").agg(F.count("*").alias("n_links"), F.collect_set("video_id").alias("links"))
         chunks = chunks.join(n, ["path", "chunk_id"], "left")
     else:
-        chunks = chunks.withColumn("n_links", F.lit(0)).withColumn("links", F.array().cast("array<string>"))
-    n_links = F.coalesce("n_links", F.lit(0))
-    out = chunks.withColumns({"n_links": n_links, "links": F.coalesce("links", F.array().cast("array<string>")), "file_type": V.file_type(data), "cyrillic": V.cyrillic_density(data), "brackets": O.count_bytes(data, "{}[]"), "is_empty": F.length(F.translate(O.latin(data), "\x00", "")) == 0, "entropy": O.entropy(data), "checks": V.validation(text), "html": V.is_html(text), "csv": V.is_csv(text)})
+        chunks = chunks.withColumn("n_links", F.lit(0) if n_links is None else n_links).withColumn("links", F.array().cast("array<string>"))
+    out = chunks.withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "links": F.coalesce("links", F.array().cast("array<string>")), "file_type": V.file_type(data), "cyrillic": V.cyrillic_density(data), "brackets": O.count_bytes(data, "{}[]"), "is_empty": F.length(F.translate(O.latin(data), "\x00", "")) == 0, "entropy": O.entropy(data), "checks": V.validation(text), "html": V.is_html(text), "csv": V.is_csv(text)})
     out = out.withColumn("target_score", S.target_score(F.col("n_links"), F.col("cyrillic"), F.col("brackets") > 0, F.col("size")))
     out = out.withColumn("fast_score", S.target_score(F.col("n_links"), F.col("cyrillic"), F.col("brackets") > 10, F.col("size")))
     score = S.fragment_score(F.col("target_score"), F.col("entropy"), F.col("checks"), F.col("html"), F.col("csv"), F.col("size"))

@@ -75,7 +75,7 @@ def slice_bounds(spark, sf_dir):
 )
 def block_classify(spark, sf_dir):
     d = D.documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    return C.blocks(d, "data", 64).select("doc_id", "block", "flags.is_empty", "flags.has_metadata", F.size("flags.hot_positions").alias("n_hot"), "flags.zero_count", "flags.high_entropy")
+    return C.blocks(d, "data", 64).select("doc_id", "block", "flags.is_empty", "flags.has_metadata", "flags.n_hot", "flags.zero_count", "flags.high_entropy")
 
 
 @query(f"WITH {D.P_SQL}, {D.E_SQL} SELECT ('0x' || byte)::INT AS byte, sum(n)::BIGINT AS n FROM c GROUP BY byte")
@@ -186,15 +186,7 @@ o AS (SELECT *, greatest(0, target * 0.6 + CASE WHEN entropy > 7.5 THEN -25 ELSE
 def _featured(spark, sf_dir):
     f = D.fragments(spark, sf_dir)
     rows = f.select(F.lit("documents").alias("path"), F.col("doc_id").alias("chunk_id"), "offset", "size", "data")
-    return N.features(rows).withColumn("n_links", F.lit(1)).withColumns(_one_link())
-
-
-def _one_link():
-    size, cyr, br = F.col("size"), F.col("cyrillic"), F.col("brackets")
-    target = S.target_score(F.lit(1), cyr, br > 0, size)
-    text = F.decode("data", "UTF-8")
-    score = S.fragment_score(target, F.col("entropy"), F.col("checks"), V.is_html(text), V.is_csv(text), size)
-    return {"target_score": target, "fast_score": S.target_score(F.lit(1), cyr, br > 10, size), "fragment_score": score}
+    return N.features(rows, n_links=F.lit(1))
 
 
 @query(f"{_SCORE_SQL} SELECT doc_id, round(target, 4) AS target_score, round(fast_score, 4) AS fast_score, round(score, 4) AS overall_score, array_to_string(reasons, ',') AS reasons FROM o")
