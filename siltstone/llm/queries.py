@@ -6,7 +6,7 @@ from siltstone.llm.decontaminate import op7_decontaminate
 from siltstone.llm.html_text import op10_html_text
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siltstone.llm.mixing import op5_mixing
-from siltstone.llm.near_dedup import op1_near_dedup
+from siltstone.llm.near_dedup import OP1_SQL, op1_near_dedup
 from siltstone.llm.quality_classifier import op2_quality_classifier
 from siltstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from siltstone.llm.sharding import op6_sharding
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
 }
