@@ -122,7 +122,8 @@ def quality_classifier(
     labels: DataFrame,
     share: float | None = None,
     target_rows: int = 200_000,
-    z: float = 4.0,
+    z: float = 3.5,
+    least: float = -2.0,
     pair_length: float = 100.0,
     seed: int = 41,
 ) -> DataFrame:
@@ -147,7 +148,8 @@ def quality_classifier(
     cut = 1 << WORD_BITS
     ratio, deviance, typical = log_ratios(raw[:cut], wanted[:cut])
     pair_ratio, _, pair_typical = log_ratios(raw[cut:], wanted[cut:])
-    words = np.where(deviance > z * z, ratio - typical, 0.0)
+    lift = ratio - typical
+    words = np.where((deviance > z * z) & ((lift > 0) | (lift < least)), lift, 0.0)
     model = spark.sparkContext.broadcast((words.astype(np.float32), ratio.astype(np.float32), pair_ratio.astype(np.float32), min(0.0, typical, pair_typical)))
     scored = slim.mapInArrow(_scored(model, pair_length), "doc_id long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
