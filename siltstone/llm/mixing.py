@@ -13,7 +13,8 @@
 
 First word numbers come from sums over (source, bucket) and a running sum inside a bucket, with buckets in proportion to
 the source's documents; no source is gathered in one task. Slots and blocks have unique keys, so joins are even however
-large a source is. The table of sources is the only one broadcast, up to `broadcast_sources` rows.
+large a source is. Only the table of sources and that of their stretches of slots are broadcast, up to
+`broadcast_sources` rows.
 
 Edge cases: null text has size 0; a document of size 0 takes nothing; null is a source of its own, sorted last; without
 words nothing is taken. Rows equal in id, source and text share what they take evenly. Extra columns are ignored.
@@ -87,7 +88,8 @@ def mix(
     rows = scratch.save(sized(docs))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = scratch.save(targets(sources, repeat, weights))
-    small = sources.count() <= broadcast_sources
+    n_sources = sources.count()
+    small = n_sources <= broadcast_sources
     spread = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     # words to take: whole passes, then `rest` words of a last one
     plan = sources.withColumn("quota", F.round("target").cast("long")).where("quota > 0")
@@ -115,7 +117,9 @@ def mix(
     per_task = 1 << 16
     g = spark.range(0, total, 1, max(1, min(-(-total // per_task), 20_000))).select(F.col("id").alias("g"))
     lots = scratch.save(plan.select("ord", "slot_at", "n_slots", F.explode(F.sequence(F.floor(F.col("slot_at") / per_task), F.floor((F.col("slot_at") + F.col("n_slots") - 1) / per_task))).alias("lot")))
-    slots = g.withColumn("lot", F.floor(F.col("g") / per_task)).join(spread(lots), "lot").where("g >= slot_at and g < slot_at + n_slots").drop("n_slots", "lot", "slot_at").join(edge.drop("n_slots"), "ord")
+    if total // per_task + n_sources <= broadcast_sources:
+        lots = F.broadcast(lots)
+    slots = g.withColumn("lot", F.floor(F.col("g") / per_task)).join(lots, "lot").where("g >= slot_at and g < slot_at + n_slots").drop("n_slots", "lot", "slot_at").join(edge.drop("n_slots"), "ord")
     i = F.col("g") - F.col("slot_at")
     slots = slots.withColumn("pass", F.floor(i / F.col("per_pass"))).withColumn("j", i % F.col("per_pass"))
     slots = slots.withColumn("block", F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), F.col("ord"), F.col("pass"), F.lit(seed))).otherwise(F.col("full")))
