@@ -49,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = without(docs, found.where("not kept").select("doc_id", "fp"), "pipeline-near-dedup")
     if found.where("kept and doc_id is not null").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         return left
-    key = left.select("*", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _fp(left))).otherwise(F.struct(F.monotonically_increasing_id(), F.lit(0).cast("long"))).alias("__key"))
-    return key.dropDuplicates(["__key"]).drop("__key")
+    named = left.where(F.col("doc_id").isNotNull()).withColumn("__fp", _fp(left)).dropDuplicates(["doc_id", "__fp"]).drop("__fp")
+    return named.unionAll(left.where(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
