@@ -6,11 +6,13 @@ if encoding their joined bytes gives the two back). So for each prefix one token
 
     count[i] = count[i - len(last[i])] + 1
 
-where last[i] is the one vocabulary token that ends at i and makes a valid pair with last[i - len(last[i])]. A text's
+where last[i] is the one vocabulary token that ends at i and makes a valid pair with last[i - len(last[i])]. A pair is
+checked by taking the two tokens apart again in the reverse order of their merges: it is valid if at no time a merge
+across the border came before the next merge of its two neighbours. A text's
 total is the sum over its pre-tokens; the count of any prefix is the sum of the whole pre-tokens before the cut plus the
 stored count of the cut one, so truncation and budget questions are answered without encoding again.
 
-Tables of pre-tokens seen are kept per worker, at most `CACHE` of them; memory does not grow with the input.
+Totals of pre-tokens seen are kept per worker, at most `CACHE` of them; memory does not grow with the input.
 
 Edge cases: null and empty text have 0 bytes and 0 tokens. Strings of the tokenizer's special tokens inside a text are
 one token each, as is the library's default. Nothing is truncated. Repeated rows stay; a null id stays null; extra
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import common
 
-CACHE = 300_000
+CACHE = 1_000_000
 #: The pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,62 +57,83 @@ class PrefixCounter:
             raise ValueError(f"{path}: a prefix space is not supported")
         special = {x["content"] for x in spec.get("added_tokens", [])}
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        self.vocabulary = {as_bytes(t) for t in model["vocab"] if t not in special}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
+        # tokens are numbered by age: the 256 bytes, then the merges in their order
+        self.ids = {bytes([b]): b for b in range(256)}
+        self.left, self.right = list(range(256)), list(range(256))
+        self.merge: dict[tuple[int, int], int] = {}
+        for m in model["merges"]:
+            x, y = map(as_bytes, m if isinstance(m, list) else m.split(" "))
+            pair = self.ids[x], self.ids[y]
+            self.merge[pair] = new = len(self.left)
+            self.left.append(pair[0])
+            self.right.append(pair[1])
+            if self.ids.setdefault(x + y, new) != new:
+                raise ValueError(f"{path}: two merges make one token")
+        if set(map(as_bytes, model["vocab"].keys() - special)) != set(self.ids):
+            raise ValueError(f"{path}: vocabulary and merges differ")
+        self.reach = [0] * 256  # longest token by its last byte
+        for token in self.ids:
+            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.tables: dict[str, tuple[int, ...]] = {}
         self.totals: dict[str, int] = {}
 
-    def _merged(self, parts: list[bytes]) -> list[bytes]:
-        """Plain BPE: the lowest rank first, until no pair merges."""
-        while len(parts) > 1:
-            best, at = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 60:
+    def _valid(self, a: int, b: int) -> bool:
+        """Does the encoding of both tokens' bytes give the two back? Ages stand for the time of a merge; of equal ones,
+        the left comes first."""
+        never = 1 << 60
+        next_a = next_b = never
+        while True:
+            across = self.merge.get((a, b), never)
+            if across < next_a and across <= next_b and across != never:
+                return False
+            if a < 256 and b < 256:
+                return True
+            if a > b:  # a was made last: before, its right part stood at the border
+                next_a, a = a, self.right[a]
+            else:
+                next_b, b = b, self.left[b]
+
+    def _counts(self, raw: bytes) -> list[int]:
+        """Tokens of each prefix of a pre-token's bytes."""
+        ids, reach, pairs, n = self.ids, self.reach, self.pairs, len(raw)
+        last, count = [0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            for j in range(max(0, i - reach[raw[i - 1]]), i):
+                token = ids.get(raw[j:i])
+                if token is None:
+                    continue
+                if j:
+                    key = (last[j], token)
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) > CACHE:
+                            pairs.clear()
+                        ok = pairs[key] = self._valid(*key)
+                    if not ok:
+                        continue
+                last[i], count[i] = token, count[j] + 1
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _valid(self, left: bytes, right: bytes) -> bool:
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 2 * CACHE:
-                self.pairs.clear()
-            whole = left + right
-            ok = self.pairs[key] = self._merged([whole[i : i + 1] for i in range(len(whole))]) == [left, right]
-        return ok
+        return count
 
     def table(self, piece: str) -> tuple[int, ...]:
         """Tokens of each prefix of one pre-token, by its code points (entry 0: the empty prefix)."""
         known = self.tables.get(piece)
         if known is not None:
             return known
-        raw, vocabulary = piece.encode(), self.vocabulary
-        n = len(raw)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = raw[j:i]
-                if token in vocabulary and (j == 0 or self._valid(last[j], token)):
-                    last[i], count[i] = token, count[j] + 1
-                    break
-            else:
-                raise ValueError(f"no encoding of {raw[:i]!r}")
-        ends = [i for i in range(n + 1) if i == n or raw[i] & 0xC0 != 0x80]
-        if len(self.tables) >= CACHE:
+        raw = piece.encode()
+        count = self._counts(raw)
+        if len(self.tables) >= CACHE // 20:
             self.tables.clear()
-        self.tables[piece] = out = tuple(count[i] for i in ends)
+        self.tables[piece] = out = tuple(c for i, c in enumerate(count) if i == len(raw) or raw[i] & 0xC0 != 0x80)
         return out
 
     def _total_of(self, piece: str) -> int:
-        if len(self.totals) >= 2 * CACHE:
+        if len(self.totals) >= CACHE:
             self.totals.clear()
-        self.totals[piece] = n = self.table(piece)[-1]
+        self.totals[piece] = n = self._counts(piece.encode())[-1]
         return n
 
     def _parts(self, text: str):
