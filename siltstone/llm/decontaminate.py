@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. The benchmark's items are taken in
 blocks of at most `block_seeds` n-grams, so a large benchmark makes more passes, not larger tables:
 
-1. A pass over all texts counts the documents that hold each of the block's three-word n-grams.
-2. Each item keeps its rare n-grams as seeds: those in at most `spare` documents or at most four times the documents of
-   the item's lower quartile. The cut follows the item, so an item that is copied very often keeps its seeds.
-3. A second pass finds the seeds in the texts. Hits of an item that lie together (two different seeds at least, or the
-   item's only one) give a stretch of the text, an item's length and a margin around them, overlapping stretches
-   merged. Smith-Waterman over words (match 2, other -1, gap -1) aligns item and stretch; the score is divided by that
-   of a full copy. Pairs of `least` or more are reported, so copies with words replaced, inserted or left out count.
+1. All three-word n-grams of an item are its seeds, however common: a cut by rarity loses copies wherever the item's other
+   n-grams are rarer than the copied ones.
+2. A pass finds the seeds in the texts. Hits of an item that lie together (two different seeds at least, or the item's
+   only one) give a stretch of the text, an item's length and a margin around them, overlapping stretches merged.
+   A stretch that shares too few words with the item for any alignment to reach `least` is left out.
+3. Smith-Waterman over words (match 2, other -1, gap -1) aligns item and stretch; the score is divided by that of a full
+   copy. Pairs of `least` or more are reported, so copies with words replaced, inserted or left out count. A copy without
+   two intact n-grams (every third word replaced, say) has no seeds and is not found.
 
-Both passes are narrow: text never moves. Only counts per seed (bounded by the block) come to the driver.
+The pass is narrow: text never moves, and nothing comes to the driver but the benchmark.
 
 Edge cases: null or empty texts and items match nothing. An item of one or two words is its own seed and must occur
 whole. Repeated rows give repeated pairs, repeated items are items. Null ids stay. Extra columns are ignored; an empty
@@ -22,11 +23,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm import common
 
@@ -93,28 +94,16 @@ class Seeds:
             for at, h in enumerate(grams(word, n).tolist() if n else ()):
                 found[h].append((k, at))
         self.hashes = np.array(sorted(found), np.uint64)
-        self.places = [found[h] for h in self.hashes.tolist()]
+        places = [found[h] for h in self.hashes.tolist()]
         self.sizes = sorted({min(GRAM, len(w)) for _, w in items if len(w)})
-        self._filter()
-
-    def _filter(self) -> None:
+        # the places (item, word) of seed s are those from place_at[s] to place_at[s + 1]
+        self.place_at = np.concatenate(([0], np.cumsum([len(p) for p in places], dtype=np.int64)))
+        self.item, self.place = np.array([x for p in places for x in p], np.int64).reshape(-1, 2).T
+        self.length = np.array([len(w) for _, w in items], np.int64)
+        self.need = np.minimum(2, np.bincount([k for p in places for k in {k for k, _ in p}], minlength=len(items)))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def rare(self, documents: np.ndarray, spare: int) -> Seeds:
-        """Only the rare seeds of each item."""
-        each: dict[int, list[int]] = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for k, _ in places:
-                each[k].append(int(documents[s]))
-        limit = {k: max(spare, 4 * sorted(v)[len(v) // 4]) for k, v in each.items()}
-        kept = [(h, [p for p in places if documents[s] <= limit[p[0]]]) for s, (h, places) in enumerate(zip(self.hashes, self.places, strict=True))]
-        kept = [(h, p) for h, p in kept if p]
-        self.hashes, self.places = np.array([h for h, _ in kept], np.uint64), [p for _, p in kept]
-        self.need = {k: min(2, n) for k, n in _count(p for _, p in kept).items()}
-        self._filter()
-        return self
-
     def hits(self, word: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, seed) of every seed in the texts, in order."""
         out = []
@@ -136,58 +125,59 @@ class Seeds:
         return row[order], at[order], seed[order]
 
 
-def _count(places) -> dict[int, int]:
-    out: dict[int, int] = defaultdict(int)
-    for p in places:
-        for k in {k for k, _ in p}:
-            out[k] += 1
-    return out
-
-
-def _documents(shared):
-    def run(batches):
-        seeds = shared.value
-        total = np.zeros(len(seeds.hashes), np.int64)
-        for whole in batches:
-            for batch in common.pieces(whole, "text"):
-                row, _, seed = seeds.hits(*tokens(batch.column("text")))
-                both = np.unique(row * len(total) + seed) if len(total) else row
-                total += np.bincount(both % max(1, len(total)), minlength=len(total))
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "n"])
-
-    return run
-
-
-def found_in(seeds: Seeds, word: np.ndarray, row_at: np.ndarray, least: float):
-    """(row, item id, score, matched words, first word, last word) of the copies of items in the texts."""
+def _stretches(seeds: Seeds, row: np.ndarray, at: np.ndarray, seed: np.ndarray, row_at: np.ndarray):
+    """(row, item number, begin, end) of the stretches of text that hold enough seeds of an item, by row and item."""
+    n = np.diff(seeds.place_at)[seed]
+    of = np.repeat(np.arange(len(seed)), n)
+    to = np.repeat(seeds.place_at[seed] - np.cumsum(n) + n, n) + np.arange(len(of))
+    row, at, seed, item = row[of], at[of] - seeds.place[to], seed[of], seeds.item[to]
+    length = seeds.length[item]
+    margin = length // 3 + 3
+    begin, end = np.maximum(row_at[row], at - margin), np.minimum(row_at[row + 1], at + length + margin)
+    order = np.lexsort((begin, item, row))
+    row, item, seed, begin, end = (x[order] for x in (row, item, seed, begin, end))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    span = int(row_at[-1]) + 1
+    pair = np.cumsum(new) * span
+    reach = np.maximum.accumulate(pair + end)
+    new[1:] |= (pair + begin)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    different = np.unique((np.cumsum(new) - 1) * len(seeds.hashes) + seed) // len(seeds.hashes)
+    good = np.bincount(different, minlength=len(first)) >= seeds.need[item[first]]
+    first, last = first[good], last[good]
+    return zip(row[first].tolist(), item[first].tolist(), begin[first].tolist(), (reach[last] - pair[last]).tolist(), strict=True)
+
+
+def found_in(seeds: Seeds, word: np.ndarray, row_at: np.ndarray, least: float, most: int = 1 << 20):
+    """(row, item id, score, matched words, first word, last word) of the copies of items in the texts. Rows are taken
+    together up to `most` places of seeds."""
     row, at, seed = seeds.hits(word, row_at)
-    spots: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for r, a, s in zip(row.tolist(), at.tolist(), seed.tolist(), strict=True):
-        for k, place in seeds.places[s]:
-            spots[r, k].append((a, place, s))
-    for (r, k), hits in spots.items():
-        item_id, item = seeds.items[k]
-        n = len(item)
-        margin = n // 3 + 3
-        begin, end = int(row_at[r]), int(row_at[r + 1])
-        stretches: list[list] = []
-        for a, place, s in sorted(hits):
-            lo, hi = max(begin, a - place - margin), min(end, a - place + n + margin)
-            if stretches and lo <= stretches[-1][1]:
-                stretches[-1][1] = max(hi, stretches[-1][1])
-                stretches[-1][2].add(s)
-            else:
-                stretches.append([lo, hi, {s}])
-        best = (0.0, 0, 0, 0)
-        for lo, hi, which in stretches:
-            if len(which) < seeds.need[k]:
-                continue
-            score, first, last = align(item, word[lo:hi])
-            best = max(best, (score / (MATCH * n), score // MATCH, lo + first - begin, lo + last - begin))
-        if best[0] >= (least if n >= GRAM else 1.0):
-            yield r, item_id, best[0], best[1], best[2], best[3]
+    places = np.cumsum(np.diff(seeds.place_at)[seed])
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+    i = 0
+    while i < len(row):
+        before = places[i - 1] if i else 0
+        fit = ends[(ends > i) & (places[ends - 1] <= before + most)]
+        j = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, i, side="right")])
+        found = _stretches(seeds, row[i:j], at[i:j], seed[i:j], row_at)
+        i = j
+        for (r, k), stretches in groupby(found, lambda x: x[:2]):
+            item_id, item = seeds.items[k]
+            n = len(item)
+            bound = least if n >= GRAM else 1.0
+            best = (0.0, 0, 0, 0)
+            for _, _, lo, hi in stretches:
+                text = word[lo:hi]
+                # an alignment scores at most a match for each word of either side that the other has
+                if min(np.isin(text, item).sum(), np.isin(item, text).sum()) < bound * n:
+                    continue
+                score, first, last = align(item, text)
+                start = lo - int(row_at[r])
+                best = max(best, (score / (MATCH * n), score // MATCH, start + first, start + last))
+            if best[0] >= bound:
+                yield r, item_id, best[0], best[1], best[2], best[3]
 
 
 def _aligned(shared, least: float):
@@ -221,7 +211,7 @@ def blocks_of(benchmark: DataFrame, block_seeds: int):
         yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, spare: int = 2, block_seeds: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block_seeds: int = 200_000) -> DataFrame:
     """(doc_id, item_id, score, n_matched, first_word, last_word): the pairs of a row of docs and a benchmark item it
     copies, with the best aligned stretch (word numbers from 0)."""
     spark = docs.sparkSession
@@ -229,12 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, spar
     scratch = common.Scratch(spark, "decontaminate")
     out = []
     for items in blocks_of(benchmark, block_seeds):
-        seeds = Seeds(items)
-        counted = slim.mapInArrow(_documents(spark.sparkContext.broadcast(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect()
-        documents = np.zeros(len(seeds.hashes), np.int64)
-        for s, n in counted:
-            documents[s] = n
-        shared = spark.sparkContext.broadcast(seeds.rare(documents, spare))
+        shared = spark.sparkContext.broadcast(Seeds(items))
         out.append(scratch.save(slim.mapInArrow(_aligned(shared, least), PAIRS)))
     return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], PAIRS)
 

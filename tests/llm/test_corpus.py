@@ -131,6 +131,21 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert decontaminate.contaminated(common, bench).count() == 100  # an item that is copied everywhere keeps its seeds
 
 
+@pytest.mark.parametrize("copies", [3, 1000])
+def test_decontamination_of_common_copies(spark, copies):
+    rng = random.Random(21)
+    edited_, partial, both = ([f"{x}{i}" for i in range(100)] for x in "epb")
+    tenth = " ".join(f"n{i}" if i % 10 == 0 else w for i, w in enumerate(edited_))
+    texts = [f"{prose(rng, 20)} {tenth} {prose(rng, 20)} {' '.join(partial[:60])} {prose(rng, 20)}" for _ in range(copies)]
+    changed = " ".join(f"n{i}" if i % 10 == 0 else w for i, w in enumerate(both))
+    texts += [f"{prose(rng, 20)} {x}" for x in [changed] * 5 + [" ".join(both)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((edited_, partial, both))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got.keys() == {(i, k) for i in range(copies) for k in (0, 1)} | {(copies + i, 2) for i in range(6)}
+    assert all(got[i, 1] == pytest.approx(0.6) and got[i, 0] >= 0.8 for i in range(copies)) and got[copies + 5, 2] == 1
+
+
 def test_alignment():
     import numpy as np
 
