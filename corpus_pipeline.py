@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common
 from siltstone.llm.decontaminate import contaminated
-from siltstone.llm.mixing import mix
+from siltstone.llm.mixing import draws
 from siltstone.llm.near_dedup import near_duplicates
 from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.sharding import shard
@@ -59,17 +59,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, then one cut after the words that are left."""
+    """One row for each document and pass of the mix: the whole text, or the words of the document's drawn slots in the
+    text's order, each with the white space before it. Of rows equal in id, source and text one stands for all."""
     scratch = common.Scratch(spark, "pipeline-mixing")
-    taken = mix(docs)[0].where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.floor(F.sum("taken") / F.count("*")).alias("__taken"), F.first("size").alias("__size"))
-    rows = docs.join(scratch.save(taken), common.column(docs, "doc_id", "long").eqNullSafe(F.col("__id")) & (_fp(docs) == F.col("__fp")))
-    copies = F.ceil(F.col("__taken") / F.col("__size"))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    rest = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    whole = rest >= F.col("__size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(rest, F.lit(1)).cast("int")), "")
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    key = {"__id": common.column(docs, "doc_id", "long"), "__source": common.column(docs, "source", "string"), "__fp": _fp(docs)}
+    drawn = scratch.save(draws(docs).withColumnsRenamed({"doc_id": "__id", "source": "__source", "fp": "__fp", "size": "__size", "pass": "__pass", "words": "__words", "stretches": "__stretches"}))
+    rows = docs.withColumns(key)
+    if not rows.groupBy(*key).count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(list(key))
+    same = [rows[k].eqNullSafe(drawn[k]) for k in key]
+    rows = rows.join(drawn, same[0] & same[1] & same[2])
+    whole = F.col("__words") >= F.col("__size")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    # the array around the words lets them be worked out once, not for each stretch
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__stretches", lambda x: F.slice(w, (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int")))), ""))[0]
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -69,7 +69,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "source", "string").alias("source"), F.xxhash64(text).alias("fp"), common.word_count(text).alias("size"))
 
 
-def mix(
+def _dealt(
     docs: DataFrame,
     block: int = 64,
     repeat: int = 3,
@@ -78,11 +78,9 @@ def mix(
     seed: int = 17,
     bucket_rows: int = 10_000,
     broadcast_sources: int = 100_000,
-) -> tuple[DataFrame, DataFrame]:
-    """The documents with what the mix takes of each, and the packed slots.
-
-    documents: doc_id, source, fp, size, source_size, target, taken, one row per row of docs.
-    slots: shard, position (in the shard), source, pass, block, n_words; with the blocks' pieces they are the mix."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with their first word numbers, the slots, and the documents' pieces of blocks: (ord, block, at, begin,
+    end), at being the document's first word number and begin and end words of the block."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "mixing")
     rows = scratch.save(sized(docs))
@@ -136,6 +134,15 @@ def mix(
     begin = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("at") + F.col("size") - F.col("block") * block, F.lit(block))
     piece = piece.select("ord", "block", "at", begin.alias("begin"), end.alias("end"))
+    return placed, slots, piece
+
+
+def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The documents with what the mix takes of each, and the packed slots; options are those of _dealt.
+
+    documents: doc_id, source, fp, size, source_size, target, taken, one row per row of docs.
+    slots: shard, position (in the shard), source, pass, block, n_words; with the blocks' pieces they are the mix."""
+    placed, slots, piece = _dealt(docs, **options)
     drawn = slots.groupBy("ord", "block").agg(F.collect_list("n_words").alias("draws"))  # at most `repeat` + 1 slots of a block
     got = piece.join(drawn, ["ord", "block"]).select("ord", "at", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + F.greatest(F.least(F.col("end"), d) - F.col("begin"), F.lit(0))).alias("words"))
     taken = got.groupBy("ord", "at").agg(F.sum("words").alias("taken"))
@@ -144,6 +151,19 @@ def mix(
     return some.unionAll(none), slots
 
 
+def draws(docs: DataFrame, block: int = 64, **options) -> DataFrame:
+    """(doc_id, source, fp, size, pass, words, stretches): what each pass takes of each row of docs, where it takes any.
+
+    stretches: (begin, end) of the drawn slots' words, counted in the document, ascending; words is their sum."""
+    placed, slots, piece = _dealt(docs, block=block, **options)
+    drawn = slots.groupBy("ord", "block").agg(F.collect_list(F.struct("pass", "n_words")).alias("draws"))
+    got = piece.join(drawn, ["ord", "block"]).select("ord", "block", "at", "begin", "end", F.explode("draws").alias("d"))
+    start = F.col("block") * block - F.col("at")
+    got = got.select("ord", "at", "d.pass", (start + F.col("begin")).alias("begin"), (start + F.least(F.col("end"), F.col("d.n_words"))).alias("end")).where("end > begin")
+    got = got.groupBy("ord", "at", "pass").agg(F.sum(F.col("end") - F.col("begin")).alias("words"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("stretches"))
+    return placed.where("size > 0").join(got, ["ord", "at"]).select("doc_id", "source", "fp", "size", "pass", "words", "stretches")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -246,6 +246,26 @@ def test_mixing(spark):
     assert slots.groupBy("source", "pass", "block").count().where("count > 1").isEmpty()
 
 
+def test_pipeline_mixes_drawn_blocks(spark):
+    hot = " ".join(f"h{i}" for i in range(64 * 50 + 7))
+    texts = [hot] + [" ".join(f"d{k}w{i}" for i in range(rng)) for k, rng in enumerate([300, 90, 1, 700, 64, 500])]
+    rows = rows_of(texts, lambda i: "a" if i == 0 else "b") + [(8, "x y z " * 90, "en", "b", 540)] * 3 + [(None, None, "en", "b", None)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed, slots = mixing.mix(df)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, df, "").collect()]
+    first = sorted((r.block * 64, r.n_words) for r in slots.where("source = 'a'").collect())  # one document: its blocks are the text's
+    assert 0 < sum(n for _, n in first) < 64 * 50 and first[-1][0] > sum(n for _, n in first)
+    assert [t.split() for i, t in out if i == 0] == [[f"h{b + k}" for b, n in first for k in range(n)]]
+    taken: dict = {}
+    for r in mixed.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert {i: sum(len(WORDS.findall(t)) for k, t in out if k == i) for i in taken} == taken
+    for i, t in out:
+        source = WORDS.findall(dict((r[0], r[1]) for r in rows)[i])
+        places = iter(source)
+        assert all(w in places for w in WORDS.findall(t))  # the words stay in the text's order
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1001])
 def test_permutation(spark, n):
     p = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
