@@ -3,14 +3,17 @@
 Documents start in a pseudorandom shard. Links (here: rows of equal text, each linked with its group's first row) pull:
 in every round Spark joins links with the shards of their ends, each document adds up the votes of neighbours of higher
 rank (more links, then a hash), and asks to move to the shard with most votes. A shard admits movers only as far as
-its quota of linked bytes allows, small groups first; a mover is admitted if the bytes asked for ahead of it fit. Rounds end
-when nobody is admitted. Documents without links, and those whose wish cannot be met (a group larger than a shard has
-to be cut somewhere), level the shards at the end: the largest `greedy` of them go one by one to the emptiest shard,
-the rest lie in a row and the shards take consecutive stretches of it, as long as what they lack. Shard sizes then differ
-by about one small document. The law is `bytes`.
+its quota of linked bytes allows, in the order of the leaders' ranks; a mover is admitted if the bytes asked for ahead of it fit. Rounds end
+when nobody is admitted. A group that then lies in several shards and is not larger than one is taken out and placed
+anew as a whole: the largest `greedy` such groups go one by one to the emptiest shard if it has room (`slack` of a
+shard's size more at most), the smaller ones lie in a row and the shards take consecutive stretches of it. Documents
+without links, and those of groups that fit nowhere (larger than a shard, or than the room left in any), level the shards
+at the end: the largest `greedy` of them go one by one to the emptiest shard, the rest lie in a row and the shards take
+consecutive stretches of it, as long as what they lack. Shard sizes then differ by about one small document, and by
+`slack` or a small group more where groups fill almost everything. The law is `bytes`.
 
 Sums along a row are two-level (buckets, then inside a bucket), with buckets in proportion to the rows, so no shard or
-group is gathered in one task. Only the `greedy` largest sizes and per-shard sums come to the driver.
+group is gathered in one task. Only the `greedy` largest sizes of groups and documents and per-shard sums come to the driver.
 
 Edge cases: null text counts 8 bytes and belongs to no group; empty texts are a group. Repeated rows are rows of a
 group. A null id is allowed. Extra columns are ignored; an empty table gives no rows. Reruns agree.
@@ -46,7 +49,7 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], size: Column,
     return out.withColumn("ahead", F.col("_s0") + F.col("_s1")).withColumn("index", (F.col("_c0") + F.col("_c1")).cast("long")).drop("_bucket", "_size", "_s0", "_c0", "_s1", "_c1")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scratch: common.Scratch, rounds: int, bucket_rows: int) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scratch: common.Scratch, bucket_rows: int) -> DataFrame:
     """Moves nodes (uid, size, shard) along links (a, b): (uid, size, shard, content).
 
     quota: bytes of linked nodes that a shard may hold. content: the node sits where its votes want it."""
@@ -58,7 +61,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scr
     up = scratch.save(up.where("rank_b > rank_a").select("a", "b"))
     at = scratch.save(nodes.join(ranks, nodes["uid"] == ranks["a"]).select("uid", "size", "shard", "degree"))
     wish = None
-    for _ in range(rounds):
+    while True:  # ends: a node's votes are settled once those of its neighbours of higher rank are
         votes = up.join(at.select(F.col("uid").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("votes"))
         # the group a mover belongs to, for the order of admission: its strongest neighbour
         lead = up.join(ranks.select(F.col("a").alias("b"), F.col("rank").alias("lead")), "b").groupBy("a").agg(F.max("lead").alias("lead"))
@@ -90,7 +93,48 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scr
     return at.join(best, at["uid"] == best["a"], "left").select("uid", "size", "shard", (F.col("to").isNull() | (F.col("to") == F.col("shard"))).alias("content"))
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 4, greedy: int = 4096, seed: int = 29, bucket_rows: int = 20_000) -> DataFrame:
+def stretch(filled: dict[int, float], share: float, bytes_: float) -> Column:
+    """The shard of a row of `size` bytes with `ahead` bytes before it in a row of bytes_, of which the shards take
+    consecutive stretches in proportion to what they lack."""
+    lack = [max(0.0, share - filled[s]) for s in sorted(filled)]
+    scale = bytes_ / sum(lack) if sum(lack) else 0.0
+    middle = F.col("ahead") + F.col("size") / 2
+    return reduce(lambda x, edge: x + (middle >= edge * scale).cast("int"), list(accumulate(lack))[:-1], F.lit(0))
+
+
+def fill(placed: DataFrame, shards: int) -> dict[int, float]:
+    return {s: 0 for s in range(shards)} | dict(placed.groupBy("shard").agg(F.sum("size")).collect())
+
+
+def together(linked: DataFrame, links: DataFrame, shards: int, share: float, scratch: common.Scratch, greedy: int, slack: float, seed: int, bucket_rows: int) -> DataFrame:
+    """(uid, shard, size) of the linked nodes that have a place, groups in several shards placed anew as a whole."""
+    spark = linked.sparkSession
+    content = linked.where("content").select("uid", "shard", "size")
+    members = links.select(F.col("a").alias("uid"), F.col("b").alias("lead")).unionAll(links.select(F.col("b").alias("uid"), F.col("b").alias("lead")).distinct())
+    members = scratch.save(linked.join(members, "uid").select("uid", "size", "shard", "lead"))
+    groups = members.groupBy("lead").agg(F.sum("size").alias("size"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    split = scratch.save(groups.where((F.col("low") < F.col("high")) & (F.col("size") <= share)).select("lead", "size"))
+    if split.isEmpty():
+        return content
+    out = scratch.save(members.join(split.select("lead"), "lead", "left_semi").select("uid", "size", "lead"))
+    kept = scratch.save(content.join(out, "uid", "left_anti"))
+    heap = [(used, s) for s, used in fill(kept, shards).items()]
+    heapq.heapify(heap)
+    chosen = []
+    for r in split.orderBy(F.desc("size"), "lead").limit(greedy).collect():
+        used, s = heap[0]
+        fits = used + r.size <= share * (1 + slack)
+        chosen.append((r.lead, s if fits else None))
+        if fits:
+            heapq.heapreplace(heap, (used + r.size, s))
+    large = F.broadcast(spark.createDataFrame(chosen, "lead long, shard int"))  # at most `greedy` rows
+    small = scratch.save(numbered(split.join(large, "lead", "left_anti"), [], [F.xxhash64("lead", F.lit(seed))], F.col("size"), scratch, bucket_rows))
+    rest = small.agg(F.sum("size")).first()[0] or 0
+    spot = large.where("shard is not null").unionAll(small.select("lead", stretch({s: used for used, s in heap}, share, rest).alias("shard")))
+    return kept.unionAll(out.join(scratch.save(spot), "lead").select("uid", "shard", "size"))
+
+
+def shard(docs: DataFrame, shards: int = 24, greedy: int = 4096, slack: float = 0.01, seed: int = 29, bucket_rows: int = 20_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "sharding")
@@ -107,10 +151,10 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 4, greedy: int = 4096
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     share = (total or 0) / shards
     nodes = rows.select("uid", "size", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
-    linked = scratch.save(propagate(nodes, links, shards, share, scratch, rounds, bucket_rows))
-    placed = linked.where("content").select("uid", "shard", "size")
+    linked = scratch.save(propagate(nodes, links, shards, share, scratch, bucket_rows))
+    placed = scratch.save(together(linked, links, shards, share, scratch, greedy, slack, seed, bucket_rows))
     free = scratch.save(nodes.select("uid", "size").join(placed, "uid", "left_anti"))
-    filled = {s: 0 for s in range(shards)} | dict(placed.groupBy("shard").agg(F.sum("size")).collect())
+    filled = fill(placed, shards)
     # the largest free documents, one by one to the emptiest shard
     top = free.orderBy(F.desc("size"), "uid").limit(greedy).collect()
     heap = [(filled[s], s) for s in range(shards)]
@@ -125,11 +169,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 4, greedy: int = 4096
     # the rest in a row, cut into stretches as long as what each shard lacks
     small = numbered(free.join(large, "uid", "left_anti"), [], [F.xxhash64("uid", F.lit(seed))], F.col("size"), scratch, bucket_rows)
     rest = (total or 0) - sum(filled.values())
-    lack = [max(0.0, share - filled[s]) for s in range(shards)]
-    scale = rest / sum(lack) if sum(lack) else 0.0
-    middle = F.col("ahead") + F.col("size") / 2
-    edges = [x * scale for x in accumulate(lack)]
-    to = reduce(lambda x, edge: x + (middle >= edge).cast("int"), edges[:-1], F.lit(0))
+    to = stretch(filled, share, rest)
     spot = placed.select("uid", "shard").unionAll(large.select("uid", "shard")).unionAll(small.select("uid", to.alias("shard")))
     done = scratch.save(rows.select("uid", "doc_id", "size", "text_crc32").join(spot, "uid"))
     done = numbered(done, ["shard"], [F.xxhash64("uid")], F.lit(0), scratch, bucket_rows)

@@ -295,6 +295,21 @@ def test_sharding(spark, greedy):
     assert all(len(s) == 1 for s in where.values())
 
 
+@pytest.mark.parametrize("greedy", [4096, 5])
+def test_sharding_keeps_groups_together(spark, greedy):
+    rng = random.Random(22)
+    copies = [rng.randrange(2, 41) for _ in range(200)]
+    texts = [f"group {k:06}" for k, n in enumerate(copies) for _ in range(n)]
+    texts += [f"alone {k:06}" for k in range(len(texts) // 9)]  # groups have 90 % of all bytes
+    got = sharding.shard(spark.createDataFrame(rows_of(texts), DOCS), greedy=greedy, bucket_rows=1000).collect()
+    size, where = {}, {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r.size
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(got) == len(texts) and len(size) == 24 and max(size.values()) - min(size.values()) < 0.1 * sum(size.values()) / 24
+    assert sum(len(s) > 1 for s in where.values()) == 0
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home page</a></nav>
 <div class="cookie-notice"><p>We use cookies to make this site much better for all of our many readers, please accept them now.</p></div><article><h1>Real&nbsp;title</h1><p>First &amp; more &#233;
  text<br>here<p>Short</p><ul><li>one<li>two</ul><blockquote>said</blockquote><div class="ad"><p>Buy this thing. It is really good.</p></div><p>a &lt; b</p></article>
