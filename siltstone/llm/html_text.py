@@ -8,7 +8,9 @@ found by max-flow, is the labelling of least total cost. Before the flow runs, a
 the sum of its edges is fixed (it has that label in some minimum cut), so the network left is small.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed
-in page order. `br` is white space. Nothing else is dropped or cut.
+in page order. `br` is white space. Nothing else is dropped or cut. A content element (article, main, names such as
+entry-content) outweighs boilerplate names of the elements around it, but not boilerplate tags, roles, hidden elements
+and names of comments, teasers and advertisements.
 
 Edge cases: null or empty html and pages without content have empty text and 0 characters. Broken markup (unclosed or
 stray tags, unended comments) is read as a browser would, roughly: inline tags are ignored, a block-level tag ends an
@@ -29,7 +31,9 @@ from siltstone.llm import common
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title svg math object audio video canvas select datalist".split())
+RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title svg annotation object audio video canvas select datalist".split())
+#: Raw elements that run to the page's end if they are not closed; of others only the tag is skipped then.
+ENDLESS = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -44,6 +48,10 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs header masthead topbar footer foot bottombar copyright legal notice notices cookie cookies consent gdpr privacy disclaimer alert popup modal overlay toast subscribe subscription newsletter signup login register paywall comment comments commentlist discussion disqus respond replies reply thread feedback reviews share sharing social follow related recommended recommendations more popular trending tags taglist toc widget widgets pagination pager paging search form skip outbrain taboola".split()
 )
 GOOD_WORDS = frozenset("article content entry post story body main maintext text hentry articlebody".split())
+#: Boilerplate that has articles of its own (comments, teasers, advertisements): no content element inside outweighs it.
+FIRM_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion comment comments commentlist disqus respond replies reply related recommended recommendations popular trending outbrain taboola".split())
+#: Words that name an article, other than those that also name parts of boilerplate (content, body, text).
+ARTICLE_WORDS = frozenset("article entry post story hentry articlebody maintext".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -53,38 +61,41 @@ WEIGHTS = {"bias": -0.5, "bad_path": -12.0, "good_tag": 6.0, "good_name": 3.0, "
 ADJACENT, SIBLING = 0.6, 0.4
 
 
-def _names(value: str) -> set[str]:
-    """Words of a class or id; has-x, with-x, no-x and not-x say nothing about the element itself."""
-    out: set[str] = set()
-    for token in value.split():
-        words = [w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w]
-        if words and words[0] not in ("has", "with", "no", "not", "is", "without"):
-            out.update(words)
-    return out
+def _tokens(value: str) -> list[list[str]]:
+    """Words of each token of a class or id; has-x, with-x, no-x and not-x say nothing about the element itself."""
+    tokens = ([w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w] for token in value.split())
+    return [words for words in tokens if words and words[0] not in ("has", "with", "no", "not", "is", "without")]
 
 
-def _bearing(tag: str, attrs: str) -> tuple[int, int, int]:
-    """What an element says of the text in it: (boilerplate, content by tag, content by name)."""
-    bad, good_tag, good_name = int(tag in NOT_CONTENT), int(tag in CONTENT), 0
+def _bearing(tag: str, attrs: str) -> tuple[int, int, int, int, bool]:
+    """What an element says of the text in it: (boilerplate for good, boilerplate by a name that a content element inside
+    outweighs, content by tag, content by name), and whether it is such a content element."""
+    firm, named, good_tag, good_name = int(tag in NOT_CONTENT), 0, int(tag in CONTENT), 0
+    article = False
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 if tag in ("body", "html"):
                     continue
-                names = _names(_html.unescape(value))
-                good_name |= int(bool(names & GOOD_WORDS))
-                hit = names & BAD_WORDS
-                # "post-header" or "article-body" name a part of the content; a comment's or menu's body does not
-                bad |= int(bool(hit))
+                for words in _tokens(_html.unescape(value)):
+                    good_name |= int(not GOOD_WORDS.isdisjoint(words))
+                    firm |= int(not FIRM_WORDS.isdisjoint(words))
+                    # "post-header" names a part of the content; a comment's or menu's body does not
+                    if words[0] not in ARTICLE_WORDS or not BAD_WORDS.intersection(words) <= {"header"}:
+                        named |= int(not BAD_WORDS.isdisjoint(words))
+                    if GOOD_WORDS.issuperset(words):
+                        article |= not ARTICLE_WORDS.isdisjoint(words) or {"main", "content"}.issubset(words)
             elif key == "role":
-                bad |= int(value.strip().lower() in ROLES)
+                firm |= int(value.strip().lower() in ROLES)
                 good_tag |= int(value.strip().lower() in ("main", "article"))
             elif key == "itemprop":
                 good_name |= int(value.strip().lower() == "articlebody")
+                article |= value.strip().lower() == "articlebody"
             elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _HIDDEN.search(value):
-                bad = 1
-    return bad, good_tag, good_name
+                firm = 1
+    article = bool(article or good_tag)
+    return firm, 0 if article else named, good_tag, good_name, article
 
 
 class Block:
@@ -97,7 +108,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # tag, number, then the sums of the path's bearings
+    stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]  # tag, number, then the sums of the path's bearings
+    unclosed: set[str] = set()
     number, in_link, linked = 0, 0, 0
     parts: list[str] = []
     at, n = 0, len(page)
@@ -107,9 +119,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                tag, own, bad, good_tag, good_name = stack[-1]
+                tag, own, firm, named, good_tag, good_name = stack[-1]
                 parent = stack[-2][1] if len(stack) > 1 else 0
-                out.append(Block(text, linked, tag, parent, bad, good_tag, good_name))
+                out.append(Block(text, linked, tag, parent, firm + named, good_tag, good_name))
             parts.clear()
         linked = 0
 
@@ -153,11 +165,19 @@ def blocks(page: str) -> list[Block]:
             continue
         attrs = m["attrs"]
         if tag in RAW:
-            if tag in BLOCKS or tag == "title":
+            if tag in BLOCKS or tag in ("title", "xmp"):
                 flush()
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attrs.rstrip().endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I).search(page, at)
+                if end and tag == "xmp":
+                    take(page[at : end.start()].replace("&", "&amp;"))
+                    flush()
+                if end:
+                    at = end.end()
+                elif tag in ENDLESS:
+                    at = n
+                else:
+                    unclosed.add(tag)
             take(" ")
             continue
         if tag in BLOCKS:
@@ -177,14 +197,14 @@ def blocks(page: str) -> list[Block]:
                 close(len(stack) - 1)
             if tag != "hr":
                 number += 1
-                bad, good_tag, good_name = _bearing(tag, attrs)
-                _, _, b, t, g = stack[-1]
-                stack.append((tag, number, b + bad, t + good_tag, g + good_name))
+                firm, named, good_tag, good_name, article = _bearing(tag, attrs)
+                _, _, f, b, t, g = stack[-1]
+                stack.append((tag, number, f + firm, named if article else b + named, t + good_tag, g + good_name))
         elif tag == "a":
             in_link += 1
         elif tag == "br":
             take(" ")
-        elif attrs and tag not in VOID and not attrs.rstrip().endswith("/") and _bearing(tag, attrs)[0]:
+        elif attrs and tag not in VOID and not attrs.rstrip().endswith("/") and any(_bearing(tag, attrs)[:2]):
             # an inline element that names itself boilerplate (or is hidden) stands as a block of its own
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end and not re.search(r"<(?:p|div|section|article|ul|ol|table|h[1-6])\b", page[at : end.start()], re.I) and page.lower().find(f"<{tag}", at, end.start()) < 0:

@@ -325,6 +325,39 @@ def test_html(spark):
     assert html_text.html_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "This is a long paragraph of the article, with many words that say a lot about its matter. "
+
+
+@pytest.mark.parametrize("name", ["layout sidebar-right", "more", "side", "social", "legal", "reviews", "tags", "discussion"])
+def test_html_content_in_named_wrappers(name):
+    p = f"<p>{LONG}</p>"
+    assert html_text.main_text(f'<div class="{name}"><article>{p}</article></div>') == LONG.strip()
+    assert html_text.main_text(f'<div class="{name}"><div class="entry-content">{p}</div></div>') == LONG.strip()
+    assert html_text.main_text(f'<article class="post {name}">{p}</article>') == LONG.strip()
+    assert html_text.main_text(f'<div class="post {name}">{p}</div>') == LONG.strip()
+    assert html_text.main_text(f'<article><div class="{name}">{p}</div></article>') == ""
+    assert html_text.main_text(f'<div class="{name}">{p}</div>') == ""
+
+
+def test_html_names_of_parts():
+    p = f"<p>{LONG}</p>"
+    assert html_text.main_text(f'<article><div class="post-header">{p}</div></article>') == LONG.strip()
+    for name in ("comment-body", "menu-body", "related"):
+        assert html_text.main_text(f'<div class="{name}"><article>{p}</article></div><div class="{name}">{p}</div>' if name != "menu-body" else f'<div class="{name}">{p}</div>') == ""
+
+
+@pytest.mark.parametrize("tag", "video audio object svg canvas select datalist iframe noscript template".split())
+def test_html_unclosed(tag):
+    assert html_text.main_text(f"<article><{tag} class=x><p>{LONG}</p></article>") == LONG.strip()
+    assert html_text.main_text(f"<article><{tag}>gone</{tag}><p>{LONG}</p></article>") == LONG.strip()
+
+
+def test_html_math_and_xmp():
+    assert html_text.main_text(f"<article><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == LONG + "x=1 holds."
+    assert html_text.main_text(f"<article><p>{LONG}</p><xmp><b>{LONG}&amp;.</xmp></article>") == LONG.strip() + f"\n<b>{LONG}&amp;."
+    assert html_text.main_text(f"<article><p>{LONG}</p><script>var a = 1; <p>no") == LONG.strip()
+
+
 def test_min_cut_equals_brute_force():
     rng = random.Random(13)
     for _ in range(150):
