@@ -12,9 +12,12 @@ across the border came before the next merge of its two neighbours. A text's
 total is the sum over its pre-tokens; the count of any prefix is the sum of the whole pre-tokens before the cut plus the
 stored count of the cut one, so truncation and budget questions are answered without encoding again.
 
-Totals of pre-tokens seen are kept per worker, at most `CACHE` of them; memory does not grow with the input.
+The table of each distinct pre-token is stored once per worker: one byte a prefix, for pre-tokens of up to `SHORT` code
+points, at most `CACHE` of them. Longer pre-tokens (unbroken texts) get a table of their own that is dropped after use;
+time and memory are in proportion to their length. Memory does not grow with the input.
 
-Edge cases: null and empty text have 0 bytes and 0 tokens. Strings of the tokenizer's special tokens inside a text are
+Edge cases: null and empty text have 0 bytes and 0 tokens. A very long text without a break is one pre-token with one
+table. Strings of the tokenizer's special tokens inside a text are
 one token each, as is the library's default. Nothing is truncated. Repeated rows stay; a null id stays null; extra
 columns are ignored; an empty table gives no rows.
 """
@@ -22,6 +25,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -31,7 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import common
 
-CACHE = 1_000_000
+CACHE = 500_000
+#: A table of so many code points has counts under 256.
+SHORT = 60
 #: The pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -44,6 +50,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Tables(dict):
+    """Prefix tables by pre-token; what is missing is worked out, and kept if it is short."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str):
+        out = self.make(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = out = bytes(out.tolist())
+        return out
+
+
 class PrefixCounter:
     """Counts tokens of a byte-level BPE file (tokenizers' JSON) at every prefix."""
 
@@ -71,14 +92,12 @@ class PrefixCounter:
                 raise ValueError(f"{path}: two merges make one token")
         if set(map(as_bytes, model["vocab"].keys() - special)) != set(self.ids):
             raise ValueError(f"{path}: vocabulary and merges differ")
-        self.reach = [0] * 256  # longest token by its last byte
-        for token in self.ids:
-            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
+        # every ending of a token, -1 where it is none itself: a walk back from a place stops where no token can go on
+        self.endings = {t[k:]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.tables: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.tables = Tables(self._table)
 
     def _valid(self, a: int, b: int) -> bool:
         """Does the encoding of both tokens' bytes give the two back? Ages stand for the time of a merge; of equal ones,
@@ -96,15 +115,19 @@ class PrefixCounter:
             else:
                 next_b, b = b, self.left[b]
 
-    def _counts(self, raw: bytes) -> list[int]:
+    def _counts(self, raw: bytes) -> array:
         """Tokens of each prefix of a pre-token's bytes."""
-        ids, reach, pairs, n = self.ids, self.reach, self.pairs, len(raw)
-        last, count = [0] * (n + 1), [0] * (n + 1)
+        endings, pairs, n = self.endings.get, self.pairs, len(raw)
+        last, count = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
         for i in range(1, n + 1):
-            for j in range(max(0, i - reach[raw[i - 1]]), i):
-                token = ids.get(raw[j:i])
+            found = []
+            for j in range(i - 1, -1, -1):
+                token = endings(raw[j:i])
                 if token is None:
-                    continue
+                    break
+                if token >= 0:
+                    found.append((j, token))
+            for j, token in reversed(found):
                 if j:
                     key = (last[j], token)
                     ok = pairs.get(key)
@@ -118,23 +141,11 @@ class PrefixCounter:
                 break
         return count
 
-    def table(self, piece: str) -> tuple[int, ...]:
+    def _table(self, piece: str) -> array:
         """Tokens of each prefix of one pre-token, by its code points (entry 0: the empty prefix)."""
-        known = self.tables.get(piece)
-        if known is not None:
-            return known
         raw = piece.encode()
         count = self._counts(raw)
-        if len(self.tables) >= CACHE // 20:
-            self.tables.clear()
-        self.tables[piece] = out = tuple(c for i, c in enumerate(count) if i == len(raw) or raw[i] & 0xC0 != 0x80)
-        return out
-
-    def _total_of(self, piece: str) -> int:
-        if len(self.totals) >= CACHE:
-            self.totals.clear()
-        self.totals[piece] = n = self._counts(piece.encode())[-1]
-        return n
+        return count if len(raw) == len(piece) else array("i", (c for i, c in enumerate(count) if i == len(raw) or raw[i] & 0xC0 != 0x80))
 
     def _parts(self, text: str):
         """(pre-tokens, is special) of the stretches between special strings."""
@@ -151,32 +162,46 @@ class PrefixCounter:
         """The pre-tokens and the number of tokens of each."""
         pieces: list[str] = []
         each: list[int] = []
-        totals, new = self.totals, self._total_of
+        tables = self.tables
         for found, special in self._parts(text):
             pieces += found
-            each += [1] if special else [totals[p] if p in totals else new(p) for p in found]
+            each += [1] if special else [tables[p][-1] for p in found]
         return pieces, each
 
     def total(self, text: str) -> int:
         return sum(self.counts(text)[1])
 
-    def _cut(self, pieces: list[str], before: list[int], k: int, part: str) -> int:
-        """Tokens of pieces[:k] followed by part, a proper prefix of pieces[k]. A cut may split the piece otherwise than
-        the pattern would (an apostrophe, white space before a word), so the short tail is cut into pre-tokens again."""
-        low = k - 1 if k and pieces[k - 1].isspace() else k
-        if self.special is not None and any(self.special.fullmatch(p) for p in pieces[low : k + 1]):
-            low = k
+    def _is_special(self, piece: str) -> bool:
+        return self.special is not None and self.special.fullmatch(piece) is not None
+
+    def _resplit(self, pieces: list[str], before: list[int], k: int, part: str) -> int:
+        """Tokens of pieces[:k] followed by part, where the cut changes pre-tokens: the short tail is cut anew."""
+        low = k - 1 if k and not self._is_special(pieces[k - 1]) and (pieces[k - 1].isspace() or self._is_special(pieces[k])) else k
         tail = "".join(pieces[low:k]) + part
-        return before[low] + sum(self.table(p)[-1] for p in self.split.findall(tail))
+        return before[low] + sum(self.tables[p][-1] for p in self.split.findall(tail))
+
+    def _inside(self, pieces: list[str], before: list[int], each: list[int], k: int) -> list[int]:
+        """Tokens of the text up to each code point of pieces[k] (entry 0: none of them).
+
+        They are those before it and its table's, but where a cut splits it otherwise than the pattern does: an apostrophe
+        and its letters, white space after white space, a special string that is not whole."""
+        piece = pieces[k]
+        if self._is_special(piece):
+            return [before[k], *(self._resplit(pieces, before, k, piece[:i]) for i in range(1, len(piece))), before[k] + each[k]]
+        out = [before[k] + c for c in self.tables[piece]]
+        if piece[0] == "'" and piece[-1].isalpha():
+            out[1:-1] = [self._resplit(pieces, before, k, piece[:i]) for i in range(1, len(piece))]
+        elif k and piece[0].isspace() and pieces[k - 1].isspace():
+            out[1] = self._resplit(pieces, before, k, piece[0])
+        return out
 
     def prefixes(self, text: str) -> list[int]:
         """Tokens of every prefix text[:i], i from 0 to the length, from the stored tables."""
         pieces, each = self.counts(text)
         before = [0, *accumulate(each)]
         out = [0]
-        for k, piece in enumerate(pieces):
-            out += [self._cut(pieces, before, k, piece[:i]) for i in range(1, len(piece))]
-            out.append(before[k] + each[k] if not piece.isspace() else self._cut(pieces, before, k, piece))
+        for k in range(len(pieces)):
+            out += self._inside(pieces, before, each, k)[1:]
         return out
 
     def longest_prefix(self, text: str, budget: int, known: tuple[list[str], list[int]] | None = None) -> int:
@@ -190,10 +215,10 @@ class PrefixCounter:
         k = min(len(pieces) - 1, bisect_right(before, budget + 1))
         length = sum(map(len, pieces[:k]))
         while True:
-            piece = pieces[k]
-            for i in range(len(piece), 0, -1):
-                whole = i == len(piece) and not piece.isspace()
-                if (before[k + 1] if whole else self._cut(pieces, before, k, piece[:i])) <= budget:
+            # counts need not rise with the prefix, so the last that fits is looked for from the end
+            inside = self._inside(pieces, before, each, k)
+            for i in range(len(inside) - 1, 0, -1):
+                if inside[i] <= budget:
                     return length + i
             if not k:
                 return 0
