@@ -12,7 +12,8 @@ blocks of at most `block_seeds` n-grams, so a large benchmark makes more passes,
    copy. Pairs of `least` or more are reported, so copies with words replaced, inserted or left out count. A copy without
    two intact n-grams (every third word replaced, say) has no seeds and is not found.
 
-The pass is narrow: text never moves, and nothing comes to the driver but the benchmark.
+Texts and items are joined by seed inside the tasks that read the texts: a block of seeds is a table of bounded size, sent
+to every executor, so text never moves. The driver reads the benchmark, a partition at a time.
 
 Edge cases: null or empty texts and items match nothing. An item of one or two words is its own seed and must occur
 whole. Repeated rows give repeated pairs, repeated items are items. Null ids stay. Extra columns are ignored; an empty
@@ -21,19 +22,19 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import common
 
 GRAM = 3
 MATCH, OTHER, GAP = 2, -1, -1
-PAIRS = "doc_id long, item_id long, score double, n_matched long, first_word long, last_word long"
+PAIRS = "doc_id long, fp long, item_id long, score double, n_matched long, first_word long, last_word long"
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,21 +89,27 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, word) in enumerate(items):
-            n = min(GRAM, len(word))
-            for at, h in enumerate(grams(word, n).tolist() if n else ()):
-                found[h].append((k, at))
-        self.hashes = np.array(sorted(found), np.uint64)
-        places = [found[h] for h in self.hashes.tolist()]
-        self.sizes = sorted({min(GRAM, len(w)) for _, w in items if len(w)})
-        # the places (item, word) of seed s are those from place_at[s] to place_at[s + 1]
-        self.place_at = np.concatenate(([0], np.cumsum([len(p) for p in places], dtype=np.int64)))
-        self.item, self.place = np.array([x for p in places for x in p], np.int64).reshape(-1, 2).T
         self.length = np.array([len(w) for _, w in items], np.int64)
-        self.need = np.minimum(2, np.bincount([k for p in places for k in {k for k, _ in p}], minlength=len(items)))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        first = np.concatenate(([0], np.cumsum(self.length)))
+        word = np.concatenate([w for _, w in items])
+        owner = np.repeat(np.arange(len(items)), self.length)
+        size = np.minimum(GRAM, self.length)
+        self.sizes = np.unique(size[size > 0]).tolist()
+        found = []  # (hash, item, word) of every n-gram
+        for n in self.sizes:
+            at = np.flatnonzero((size[owner] == n)[: len(word) - n + 1] & (owner[: len(word) - n + 1] == owner[n - 1 :]))
+            found.append((grams(word, n)[at], owner[at], at - first[owner[at]]))
+        h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, item, h))
+        h, self.item, self.place = h[order], item[order], place[order]
+        self.hashes, begin = np.unique(h, return_index=True)
+        # the places (item, word) of seed s are those from place_at[s] to place_at[s + 1]
+        self.place_at = np.append(begin, len(h))
+        different = np.unique(np.repeat(np.arange(len(begin)), np.diff(self.place_at)) * len(items) + self.item) % len(items)
+        self.need = np.minimum(2, np.bincount(different, minlength=len(items)))
+        self.shift = np.uint64(64 - min(26, max(20, len(begin).bit_length() + 3)))
+        self.maybe = np.zeros(1 << int(64 - self.shift), bool)
+        self.maybe[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def hits(self, word: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, seed) of every seed in the texts, in order."""
@@ -111,7 +118,7 @@ class Seeds:
         owner = np.repeat(np.arange(rows), np.diff(row_at))
         for n in self.sizes:
             h = grams(word, n)
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.flatnonzero(self.maybe[(h >> self.shift).astype(np.int64)])
             at = at[owner[at] == owner[at + n - 1]]
             seed = np.searchsorted(self.hashes, h[at])
             ok = seed < len(self.hashes)
@@ -188,8 +195,8 @@ def _aligned(shared, least: float):
                 found = list(found_in(seeds, *tokens(batch.column("text")), least))
                 if found:
                     row, item, score, matched, first, last = zip(*found, strict=True)
-                    ids = batch.column("doc_id").take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(score), *(pa.array(x, pa.int64()) for x in (matched, first, last))], names=["doc_id", "item_id", "score", "n_matched", "first_word", "last_word"])
+                    ids = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "fp")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(item, pa.int64()), pa.array(score), *(pa.array(x, pa.int64()) for x in (matched, first, last))], names=["doc_id", "fp", "item_id", "score", "n_matched", "first_word", "last_word"])
 
     return run
 
@@ -211,11 +218,15 @@ def blocks_of(benchmark: DataFrame, block_seeds: int):
         yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block_seeds: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, score, n_matched, first_word, last_word): the pairs of a row of docs and a benchmark item it
-    copies, with the best aligned stretch (word numbers from 0)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, block_seeds: int = 2_000_000) -> DataFrame:
+    """(doc_id, fp, item_id, score, n_matched, first_word, last_word): the pairs of a row of docs and a benchmark item it
+    copies, with the best aligned stretch (word numbers from 0); fp is the text's hash, which tells rows of one id apart.
+
+    block_seeds: about so many n-grams (some 40 bytes each) are sent to the executors at once; a benchmark of more takes
+    a pass for each block. An item of more words than that is a block of its own."""
     spark = docs.sparkSession
     slim = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text"))
+    slim = slim.withColumn("fp", F.xxhash64("text"))
     scratch = common.Scratch(spark, "decontaminate")
     out = []
     for items in blocks_of(benchmark, block_seeds):
@@ -225,4 +236,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, bloc
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("fp")
