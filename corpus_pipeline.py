@@ -28,14 +28,12 @@ def _fp(docs: DataFrame) -> Column:
 
 
 def without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose (doc_id, fp) are in rejected; fp may be missing there."""
+    """docs without the rows whose (doc_id, fp) are in rejected."""
     rejected = rejected.distinct().toDF(*(f"__gone_{c}" for c in rejected.columns))
     rejected = common.Scratch(docs.sparkSession, name).save(rejected)
     if rejected.count() <= FEW:
         rejected = F.broadcast(rejected)
-    same = common.column(docs, "doc_id", "long").eqNullSafe(F.col("__gone_doc_id"))
-    if "__gone_fp" in rejected.columns:
-        same = same & (_fp(docs) == F.col("__gone_fp"))
+    same = common.column(docs, "doc_id", "long").eqNullSafe(F.col("__gone_doc_id")) & (_fp(docs) == F.col("__gone_fp"))
     return docs.join(rejected, same, "left_anti")
 
 
@@ -55,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pairs = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, pairs.select("doc_id"), "pipeline-decontaminate")
+    return without(docs, pairs.select("doc_id", "fp"), "pipeline-decontaminate")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "pipeline-mixing")
     key = {"__id": common.column(docs, "doc_id", "long"), "__source": common.column(docs, "source", "string"), "__fp": _fp(docs)}
     drawn = scratch.save(draws(docs).withColumnsRenamed({"doc_id": "__id", "source": "__source", "fp": "__fp", "size": "__size", "pass": "__pass", "words": "__words", "stretches": "__stretches"}))
+    if "text" not in docs.columns:
+        return docs.limit(0)  # no words, so nothing is taken
     rows = docs.withColumns(key)
     if not rows.groupBy(*key).count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(list(key))
