@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import octets as O
 from siltstone.functions.scratch import Scratch
+from siltstone.operators.joins import hot_join, hot_keys
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that can be reached.
 
-    Alternates large-star and small-star (Kiveris et al. 2014) until the links are stars. Joins on an id are inner
-    joins that Spark may split where one id has very many links; each round is written to the scratch folder."""
+    Alternates large-star and small-star (Kiveris et al. 2014) until the links are stars. Each round is written to the
+    scratch folder; an id with very many links is dealt over several tasks (hot_join)."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = scratch.save(e)
     state = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = hot_join(both.where("v > u"), least.select("u", "m"), ["u"], hot_keys(least, ["u"], scratch))
+        large = scratch.save(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = hot_join(large, low.select("u", "m"), ["u"], hot_keys(low, ["u"], scratch))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         old, e = e, scratch.save(small)
-        scratch.drop(old)
+        scratch.drop(old, least, large, low)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -17,6 +17,7 @@ from siltstone.functions.scratch import Scratch
 from siltstone.operators import chunks as C
 from siltstone.operators import exfat as X
 from siltstone.operators import graph as G
+from siltstone.operators import joins as J
 from siltstone.operators import links as L
 from siltstone.operators import report as T
 from siltstone.operators import streams as A
@@ -147,6 +148,24 @@ def test_components_of_a_long_chain(spark):
     assert got.count() == 201 and got.agg(F.max("component")).first()[0] == 0
 
 
+def test_components_of_hot_ids(spark):
+    star = spark.range(1, 1500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionAll(spark.range(2000, 3000).select(F.col("id").alias("a"), F.lit(5000).cast("long").alias("b")))
+    got = G.components(star, Scratch(spark, "t")).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, 1500), (2000, 1001)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_join(spark, how):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40).alias("k"), "id")
+    small = spark.createDataFrame([(7, "a"), (8, "b"), (99, "c"), (None, "d")], "k long, v string")
+    hot = J.hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"], Scratch(spark, "t"), rows=100)
+    assert {(r.k, r.parts) for r in hot.collect()} == {(7, 11), (None, 10)}
+    assert [(r.k, r.parts) for r in J.hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"], Scratch(spark, "t"), rows=10, limit=2).orderBy("k").collect()] == [(None, 33), (7, 34)]  # of two keys, no shorter parts fit
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(J.hot_join(big, small, ["k"], hot, how)) == key(big.join(small, ["k"], how))
+    assert J.hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"], Scratch(spark, "t"), rows=5000) is None
+
+
 def test_pair_score(spark):
     lit = F.lit
     assert one(spark, G.pair_score(lit(1.0), lit(1 / 3), lit(1.0)))[0] == pytest.approx(0.55 + 0.25 / 3 + 0.2)
