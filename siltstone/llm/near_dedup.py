@@ -2,7 +2,8 @@
 
 1. One pass turns every text into its set of distinct five-word shingles (64-bit hashes) and keeps the set's size, a
    128-bit fingerprint, a signature of 128 minima and 32 band keys of four minima each.
-2. Rows with equal fingerprints are one class; only the class's smallest id goes on.
+2. Rows with equal fingerprints are one class, with a number of its own; from here on classes are linked, and one row
+   (of the smallest id, whatever other texts that id has) speaks for each.
 3. Two classes that share a band key are candidates. Instead of all pairs of a bucket, each member is first compared with
    the bucket's leader, the member that meets most others over all its buckets (of a group of edited copies, one close to
    the original). Links found make components. Buckets that still hold several components are the rest: small ones
@@ -13,11 +14,13 @@
    Beta; a pair goes as soon as the probability that it reaches the threshold falls under `miss`.
 5. What survives is confirmed on the full shingle sets, in integers: 100 * intersection >= 75 * union.
 
-Hot groups: class sizes and leaders are partial aggregates; joins on a band key or id are plain inner joins, which
-adaptive execution splits. Recall: a pair at similarity 0.75 shares no band with probability 5e-6.
+Hot groups: class sizes and leaders are partial aggregates. Joins on a band key, a shingle, a leader or a class deal the
+rows of keys with very many over several tasks (joins.hot_join). Recall: a pair at similarity 0.75 shares no band with
+probability 5e-6.
 
 Edge cases: null, empty or blank text has an empty set (n_shingles 0), is linked with nothing and kept. A repeated row
-(same id and text) stays repeated in the output. Rows with a null id are linked with nothing and have a null component.
+(same id and text) stays repeated in the output. An id with several texts has a component for each of them, the smallest
+id its text reaches. Rows with a null id are linked with nothing and have a null component.
 Empty tables give an empty result. Extra columns are ignored.
 """
 
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import common
+from siltstone.operators.joins import hot_join, hot_keys
 
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 BATCH = 16
@@ -163,7 +167,7 @@ def _exploded(batches):
         for batch in common.pieces(whole, "text"):
             sets = _sets(batch.column("text"))
             if total := sum(map(len, sets)):
-                ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in sets])
+                ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
                 del total
 
@@ -184,58 +188,75 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "near-dedup")
     signed = scratch.save(sign(docs))
-    texts = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text"))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes)
-    # one row of a class speaks for it: its smallest id (and of repeated rows of that id any one, as they are equal)
-    reps = scratch.save(signed.join(classes.select("n_shingles", "fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "fp1", "fp2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles"]))
+    same = ["n_shingles", "fp1", "fp2"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.count("*").alias("n"))
+    classes = scratch.save(classes.select("rep.doc_id", "rep.fp", *same, "n", F.monotonically_increasing_id().alias("id")))
+    # repeated rows of a class's first row are equal: any one will do
+    reps = signed.join(classes.drop("n"), ["doc_id", "fp", *same]).select("id", "sig", "bands")
+    reps = scratch.save(reps.dropDuplicates(["id"]))
     member = reps.select("id", F.explode("bands").alias("key"))
-    full = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = scratch.save(member.join(full, "key"))
-    met = member.groupBy("id").agg(F.sum("c").alias("met"))
-    leader = member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
+    full = scratch.save(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(full, ["key"], scratch)
+    member = scratch.save(hot_join(member, full, ["key"], hot))
+    met = member.groupBy("id").agg(F.sum("n").alias("met"))
+    leader = scratch.save(member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
     sigs = reps.select("id", "sig")
     survivors = _survivors(percent / 100, miss)
+    texts = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text")).withColumn("fp", F.xxhash64("text"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of the classes with these ids."""
+        rows = scratch.save(classes.select("doc_id", "fp", "id").join(ids, "id", "left_semi"))
+        rows = F.broadcast(rows) if rows.count() <= broadcast_ids else rows
+        return texts.join(rows, ["doc_id", "fp"]).groupBy("id").agg(F.min("text").alias("text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a < b, distinct)."""
-        kept = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        hot = {end: hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), [end], scratch) for end in "ab"}
+        kept = pairs
+        for end in "ab":
+            kept = hot_join(kept, sigs.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}")), [end], hot[end])
         kept = scratch.save(kept.select("a", "b", "sig_a", "sig_b").mapInArrow(survivors, "a long, b long"))
-        ids = kept.select(F.col("a").alias("doc_id")).unionAll(kept.select(F.col("b").alias("doc_id"))).distinct()
-        ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        # a repeated id may have several texts: the class's is the one whose id is its smallest
-        own = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        paired = kept.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        own = texts_of(kept.select(F.col("a").alias("id")).unionAll(kept.select(F.col("b").alias("id"))).distinct())
+        paired = kept
+        for end in "ab":
+            paired = hot_join(paired, own.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), [end], hot[end])
         return scratch.save(paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
-    first = member.join(leader, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    links = confirmed(first.distinct())
-    comp = common.components(links, scratch)
-    at = scratch.save(member.join(comp, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("comp")))
-    open_ = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = scratch.save(at.join(open_, "key"))
-    small = rest.where(F.col("c") <= small_bucket)
+    first = hot_join(member, leader, ["key"], hot).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    links = confirmed(scratch.save(first.distinct()))
+    comp = scratch.save(common.components(links, scratch))
+    at = scratch.save(member.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    open_ = scratch.save(at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    rest = scratch.save(hot_join(at, open_.select("key"), ["key"], hot_keys(open_, ["key"], scratch), "left_semi"))
+    small = rest.where(F.col("n") <= small_bucket)
     pairs = small.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    large = rest.where(F.col("c") > small_bucket).select("id", "comp").distinct()
+    large = rest.where(F.col("n") > small_bucket).select("id", "comp").distinct()
     if not large.isEmpty():
         large = scratch.save(large)
-        own = texts.join(large.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        token = scratch.save(own.mapInArrow(_exploded, "id long, h long"))
-        df = token.groupBy("h").agg(F.count("*").alias("df"))
-        listed = token.join(df, "h").groupBy("id").agg(F.collect_list(F.struct("df", "h")).alias("entries"))
+        token = scratch.save(texts_of(large).mapInArrow(_exploded, "id long, h long"))
+        df = scratch.save(token.groupBy("h").agg(F.count("*").alias("n")))
+        listed = hot_join(token, df, ["h"], hot_keys(df, ["h"], scratch)).groupBy("id").agg(F.collect_list(F.struct(F.col("n").alias("df"), "h")).alias("entries"))
         prefix = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(large, "id"))
         # a token makes pairs only if several components hold it; a row of it only if some holder is within its reach
-        mixed = prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")).where("low < high").select("token", "least")
-        prefix = scratch.save(prefix.join(mixed, "token").where("least <= reach").drop("least"))
-        still = prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        prefix = prefix.join(still, "token")
+        mixed = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("n")).where("low < high").select("token", "least", "n"))
+        prefix = scratch.save(hot_join(prefix, mixed.drop("n"), ["token"], hot_keys(mixed, ["token"], scratch)).where("least <= reach").drop("least"))
+        still = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("token", "n"))
+        prefix = scratch.save(hot_join(prefix, still.select("token"), ["token"], hot_keys(still, ["token"], scratch), "left_semi"))
         x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "reach"))) for s in "xy")
         near = x.join(y, "token").where("id_x < id_y and comp_x <> comp_y and n_y <= reach_x and n_x <= reach_y")
         pairs = pairs.unionAll(near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
-    links = links.unionAll(confirmed(pairs.distinct()))
-    comp = common.components(links, scratch)
-    named = scratch.save(classes.join(comp, classes["rep"] == comp["id"], "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")))
-    out = signed.select("doc_id", "fp", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"], "left")
+    pairs = scratch.save(pairs.distinct())
+    if not pairs.isEmpty():
+        links = scratch.save(links.unionAll(confirmed(pairs)))
+        comp = scratch.save(common.components(links, scratch))
+    # a component is named by the smallest id of its classes
+    named = comp.join(classes.select("id", "doc_id"), "id")
+    names = scratch.save(named.groupBy("component").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")))
+    named = hot_join(named.select("id", "component"), names.drop("n"), ["component"], hot_keys(names, ["component"], scratch))
+    named = scratch.save(classes.join(named, "id", "left").select(*same, F.coalesce("name", "doc_id").alias("component_id")))
+    out = signed.select("doc_id", "fp", *same)
+    out = hot_join(out, named, same, hot_keys(classes, same, scratch), "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "fp", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

@@ -82,6 +82,23 @@ def test_near_dedup_equals_brute_force(spark, small_bucket):
     assert all(r.n_shingles == len(shingles(texts[i])) and r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    rng = random.Random(17)
+    a, z = prose(rng, 100), prose(rng, 100)
+    rows = [(1, z), (1, a), (2, edited(rng, a, 2)), (2, edited(rng, a, 2)), (3, z), (3, z), (None, a), (4, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_near_dedup_of_hot_groups(spark):
+    """More copies and near copies of one text than a task's share of a key."""
+    rng = random.Random(19)
+    base, other = prose(rng, 120), prose(rng, 50)
+    texts = [base] * 700 + [edited(rng, base, 1 + i % 3) for i in range(900)] + [prose(rng, 50) for _ in range(50)] + [other] * 2
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 1600 else i if i < 1651 else 1650 for i in range(1652)}
+
+
 def test_bayesian_bound():
     for n, least in near_dedup.needed(0.75, 1e-7):
         assert 0 < least < 0.75 * n
