@@ -6,9 +6,9 @@ overlap. A window's occurrences are ordered by (doc_id, text hash, position); al
 The positions covered by later occurrences are merged per document and these lines are removed. A line's earliest
 occurrence is never removed, so no line vanishes from the corpus.
 
-Every window takes part, however common: the first occurrence and the count are partial aggregates, and the join of
-occurrences with them is a plain inner join, which adaptive execution splits at hot windows. Texts are read twice, not
-shuffled, while the removals have at most `broadcast_rows` rows; beyond that they are joined by id.
+Every window takes part, however common: the first occurrence and the count are partial aggregates, and the occurrences of
+a very common window are dealt over several tasks when joined with them (joins.hot_join). Texts are read twice, not
+shuffled, while the removals take at most `broadcast_mb`; beyond that they are joined by id.
 
 Edge cases: null text stays null with 0 lines; empty text has no lines. Fewer than three lines make no window. Rows
 equal in id and text are one document here and get the same result, each. Null ids come first in the order. Extra
@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.octets import once
 from siltstone.llm import common
+from siltstone.operators.joins import hot_join, hot_keys
 
 SPAN = 3
 _SPACE = np.isin(np.arange(256), [9, 11, 12, 13, 32])
@@ -69,21 +71,24 @@ def _emit(batches):
             )
 
 
-def line_dedup(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def line_dedup(docs: DataFrame, broadcast_mb: int = 64) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of each row of docs (doc_id, text): text without the removed lines."""
     scratch = common.Scratch(docs.sparkSession, "line-dedup")
     text = common.column(docs, "text", "string")
     rows = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
     found = scratch.save(rows.mapInArrow(_emit, "doc_id long, fp long, lines array<int>, h1 long, h2 long"))
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "fp", F.col("lines")[0].alias("at"))).alias("first")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "fp", F.col("lines")[0].alias("at")).eqNullSafe(F.col("first")))
+    place = F.struct("doc_id", "fp", F.col("lines")[0].alias("at"))
+    first = scratch.save(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    later = hot_join(found, first.drop("n"), ["h1", "h2"], hot_keys(first, ["h1", "h2"], scratch)).where(~place.eqNullSafe(F.col("first")))
     cover = scratch.save(later.select("doc_id", "fp", F.explode("lines").alias("line")).groupBy("doc_id", "fp").agg(F.collect_set("line").alias("cover")))
     cover = cover.select(F.col("doc_id").alias("c_id"), F.col("fp").alias("c_fp"), "cover")
-    if cover.count() <= broadcast_rows:
+    n_rows, n_lines = cover.agg(F.count("*"), F.sum(F.size("cover").cast("long"))).first()
+    if 64 * n_rows + 4 * (n_lines or 0) <= broadcast_mb << 20:
         cover = F.broadcast(cover)
     joined = rows.join(cover, (F.col("fp") == F.col("c_fp")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("cover", i)), "\n")
+    left = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "cover")
+    kept = once(lines, lambda all_: F.array_join(F.transform(left(all_), lambda i: F.get(all_, i)), "\n"))
     return joined.select("doc_id", F.when(F.col("cover").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size("cover"), F.lit(0)).cast("long").alias("n_removed"))
 
 
