@@ -12,7 +12,8 @@ at the end: the largest `greedy` of them go one by one to the emptiest shard, th
 consecutive stretches of it, as long as what they lack. Shard sizes then differ by about one small document, and by
 `slack` or a small group more where groups fill almost everything. The law is `bytes`.
 
-Sums along a row are two-level (buckets, then inside a bucket), with buckets in proportion to the rows, so no shard or
+A document with very many links, and the members of a very large group, are dealt over several tasks where they are joined
+with what holds for all of them (joins.hot_join). Sums along a row are two-level (buckets, then inside a bucket), with buckets in proportion to the rows, so no shard or
 group is gathered in one task. Only the `greedy` largest sizes of groups and documents and per-shard sums come to the driver.
 
 Edge cases: null text counts 8 bytes and belongs to no group; empty texts are a group. Repeated rows are rows of a
@@ -30,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm import common
+from siltstone.operators.joins import hot_join, hot_keys
 
 
 def numbered(df: DataFrame, group: list[str], order: list[Column], size: Column, scratch: common.Scratch, bucket_rows: int) -> DataFrame:
@@ -54,17 +56,20 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scr
 
     quota: bytes of linked nodes that a shard may hold. content: the node sits where its votes want it."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    degree = both.groupBy("a").agg(F.count("*").alias("degree"))
-    rank = F.struct("degree", F.xxhash64("a").alias("h"))
-    ranks = scratch.save(degree.select("a", "degree", rank.alias("rank")))
-    up = both.join(ranks.select("a", F.col("rank").alias("rank_a")), "a").join(ranks.select(F.col("a").alias("b"), F.col("rank").alias("rank_b")), "b")
-    up = scratch.save(up.where("rank_b > rank_a").select("a", "b"))
-    at = scratch.save(nodes.join(ranks, nodes["uid"] == ranks["a"]).select("uid", "size", "shard", "degree"))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("n").alias("degree"), F.xxhash64("a").alias("h"))
+    ranks = scratch.save(degree.select("a", "n", rank.alias("rank")))
+    hot = hot_keys(ranks, ["a"], scratch)  # of both ends, as links are there in both directions
+    hot_b = hot.withColumnRenamed("a", "b") if hot else None
+    up = hot_join(both, ranks.select("a", F.col("rank").alias("rank_a")), ["a"], hot)
+    up = hot_join(up, ranks.select(F.col("a").alias("b"), F.col("rank").alias("rank_b")), ["b"], hot_b)
+    up = scratch.save(up.where("rank_b > rank_a").select("a", "b", "rank_b"))
+    at = scratch.save(nodes.join(ranks, nodes["uid"] == ranks["a"]).select("uid", "size", "shard"))
+    # the group a mover belongs to, for the order of admission: its strongest neighbour
+    lead = scratch.save(up.groupBy("a").agg(F.max("rank_b").alias("lead")))
     wish = None
     while True:  # ends: a node's votes are settled once those of its neighbours of higher rank are
-        votes = up.join(at.select(F.col("uid").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("votes"))
-        # the group a mover belongs to, for the order of admission: its strongest neighbour
-        lead = up.join(ranks.select(F.col("a").alias("b"), F.col("rank").alias("lead")), "b").groupBy("a").agg(F.max("lead").alias("lead"))
+        votes = hot_join(up, at.select(F.col("uid").alias("b"), F.col("shard").alias("to")), ["b"], hot_b).groupBy("a", "to").agg(F.count("*").alias("votes"))
         wish = votes.groupBy("a").agg(F.max_by("to", F.struct("votes", "to")).alias("to")).join(lead, "a")
         asked = at.join(wish, at["uid"] == wish["a"]).where("to <> shard").select("uid", "size", "to", "lead")
         asked = scratch.save(asked)
@@ -73,22 +78,23 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scr
         used = dict(at.groupBy("shard").agg(F.sum("size")).collect())
         room = F.element_at(F.array(*(F.lit(float(quota - used.get(s, 0))) for s in range(shards))), F.col("to") + 1)
         # groups queue by size, then a hash; a group's members stand together
-        queue = asked.groupBy("to", "lead").agg(F.sum("size").alias("bytes"))
+        queue = scratch.save(asked.groupBy("to", "lead").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+        crowds = hot_keys(queue, ["to", "lead"], scratch)
         queue = queue.withColumn("before", F.coalesce(F.sum("bytes").over(W.partitionBy("to").orderBy("lead").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         whole = queue.where(F.col("before") + F.col("bytes") <= room).select("to", "lead")
         partly = queue.where((F.col("before") + F.col("bytes") > room) & (F.col("before") < room)).select("to", "lead", "before")
-        admitted = asked.join(whole, ["to", "lead"], "left_semi").select("uid", "to")
+        admitted = hot_join(asked, whole, ["to", "lead"], crowds, "left_semi").select("uid", "to")
         cut = asked.join(F.broadcast(partly), ["to", "lead"])  # at most one group of each shard
         cut = numbered(cut, ["to"], [F.xxhash64("uid")], F.col("size"), scratch, bucket_rows)
         admitted = scratch.save(admitted.unionAll(cut.where(F.col("before") + F.col("ahead") + F.col("size") <= room).select("uid", "to")))
         if admitted.isEmpty():
             break
-        moved = at.join(admitted, "uid", "left").select("uid", "size", F.coalesce("to", "shard").alias("shard"), "degree")
+        moved = at.join(admitted, "uid", "left").select("uid", "size", F.coalesce("to", "shard").alias("shard"))
         at = scratch.save(moved)
     if wish is None:
         return at.select("uid", "size", "shard", F.lit(True).alias("content"))
     # a node is content if its best-ranked votes agree with its place
-    votes = up.join(at.select(F.col("uid").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("votes"))
+    votes = hot_join(up, at.select(F.col("uid").alias("b"), F.col("shard").alias("to")), ["b"], hot_b).groupBy("a", "to").agg(F.count("*").alias("votes"))
     best = votes.groupBy("a").agg(F.max_by("to", F.struct("votes", "to")).alias("to"))
     return at.join(best, at["uid"] == best["a"], "left").select("uid", "size", "shard", (F.col("to").isNull() | (F.col("to") == F.col("shard"))).alias("content"))
 
@@ -112,11 +118,12 @@ def together(linked: DataFrame, links: DataFrame, shards: int, share: float, scr
     content = linked.where("content").select("uid", "shard", "size")
     members = links.select(F.col("a").alias("uid"), F.col("b").alias("lead")).unionAll(links.select(F.col("b").alias("uid"), F.col("b").alias("lead")).distinct())
     members = scratch.save(linked.join(members, "uid").select("uid", "size", "shard", "lead"))
-    groups = members.groupBy("lead").agg(F.sum("size").alias("size"), F.min("shard").alias("low"), F.max("shard").alias("high"))
-    split = scratch.save(groups.where((F.col("low") < F.col("high")) & (F.col("size") <= share)).select("lead", "size"))
+    groups = members.groupBy("lead").agg(F.sum("size").alias("size"), F.min("shard").alias("low"), F.max("shard").alias("high"), F.count("*").alias("n"))
+    split = scratch.save(groups.where((F.col("low") < F.col("high")) & (F.col("size") <= share)).select("lead", "size", "n"))
     if split.isEmpty():
         return content
-    out = scratch.save(members.join(split.select("lead"), "lead", "left_semi").select("uid", "size", "lead"))
+    crowds = hot_keys(split, ["lead"], scratch)
+    out = scratch.save(hot_join(members, split.select("lead"), ["lead"], crowds, "left_semi").select("uid", "size", "lead"))
     kept = scratch.save(content.join(out, "uid", "left_anti"))
     heap = [(used, s) for s, used in fill(kept, shards).items()]
     heapq.heapify(heap)
@@ -131,7 +138,7 @@ def together(linked: DataFrame, links: DataFrame, shards: int, share: float, scr
     small = scratch.save(numbered(split.join(large, "lead", "left_anti"), [], [F.xxhash64("lead", F.lit(seed))], F.col("size"), scratch, bucket_rows))
     rest = small.agg(F.sum("size")).first()[0] or 0
     spot = large.where("shard is not null").unionAll(small.select("lead", stretch({s: used for used, s in heap}, share, rest).alias("shard")))
-    return kept.unionAll(out.join(scratch.save(spot), "lead").select("uid", "shard", "size"))
+    return kept.unionAll(hot_join(out, scratch.save(spot), ["lead"], crowds).select("uid", "shard", "size"))
 
 
 def shard(docs: DataFrame, shards: int = 24, greedy: int = 4096, slack: float = 0.01, seed: int = 29, bucket_rows: int = 20_000) -> DataFrame:
@@ -146,8 +153,9 @@ def shard(docs: DataFrame, shards: int = 24, greedy: int = 4096, slack: float =
     rows = scratch.save(rows)
     # equal rows are told apart by a number; which of them gets which number does not matter
     rows = scratch.save(numbered(rows, [], [F.xxhash64("doc_id", "key"), F.col("doc_id"), F.col("key")], F.lit(0), scratch, bucket_rows).withColumnRenamed("index", "uid").drop("ahead"))
-    groups = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("b")).where("n > 1").select("key", "b")
-    links = scratch.save(rows.join(groups, "key").where("uid <> b").select(F.col("uid").alias("a"), "b"))
+    groups = scratch.save(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("b")).where("n > 1"))
+    links = hot_join(rows.select("key", "uid"), groups.select("key", "b"), ["key"], hot_keys(groups, ["key"], scratch))
+    links = scratch.save(links.where("uid <> b").select(F.col("uid").alias("a"), "b"))
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     share = (total or 0) / shards
     nodes = rows.select("uid", "size", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
