@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -375,6 +377,110 @@ def test_html_math_and_xmp():
     assert html_text.main_text(f"<article><p>{LONG}</p><script>var a = 1; <p>no") == LONG.strip()
 
 
+@pytest.mark.parametrize("element", ['<article class="thread">', '<div class="article reviews">', '<main id="discussion">', '<article class="layout sidebar">'])
+def test_html_articles_with_boilerplate_names(element):
+    end = element[1:].split()[0]
+    page = f'<nav><a href=x>Menu</a></nav><div class="promo">Buy.</div>{element}<div class="post-header"><h1>Title</h1></div><header><p>By A</p></header><p>{LONG}</p><p>So.</p></{end}><div>Plain notice of the site, which goes on.</div>'
+    assert html_text.main_text(page) == f"Title\nBy A\n{LONG.strip()}\nSo."
+
+
+def test_html_cut_weighs_a_region_against_its_name():
+    p = f"<p>{LONG}</p>"
+    assert html_text.main_text(f'<div class="side">{p * 2}</div>') == ""
+    assert html_text.main_text(f'<div class="side">{p * 8}<p>So.</p></div>').count("\n") == 8  # more text than a name outweighs
+    assert html_text.main_text(f'<form action=x><div>{p * 8}</div></form>').count("\n") == 7
+    assert html_text.main_text(f"<div>{p * 8}</div><article><p>Teaser.</p></article>").count("\n") == 8  # the page's text is outside
+    assert html_text.main_text(f"<article>{p}</article><div>{p}</div>") == LONG.strip()
+    assert html_text.main_text(f'<div>{p}<p>No.</p>{p}</div><ul><li><a href=x>Home</a><li><a href=y>News of the day</a></ul>') == f"{LONG.strip()}\nNo.\n{LONG.strip()}"
+    assert html_text.main_text(f"<h1>Title</h1><article>{p}</article>") == f"Title\n{LONG.strip()}"
+
+
+def page_of(rng):
+    """(html, main text) of a page of known parts."""
+    words = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    sentence = lambda: words(rng.randrange(6, 40)).capitalize() + "."
+    text, parts = [], []
+    for _ in range(rng.randrange(1, 12)):
+        kind, x = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "ad", "div"]), sentence() if rng.random() < 0.8 else words(2)
+        if kind == "ad":
+            parts.append(f'<div class="ad-box"><p>{x}</p></div>')
+            continue
+        parts.append(f"<ul><li>{x}</ul>" if kind == "li" else f"<{kind}>{x}</{kind}>")
+        text.append(x)
+    body = "".join(parts)
+    opening, closing = rng.choice([("<article>", "</article>"), ('<main id="x"><div>', "</div></main>"), ('<div class="sidebar-left"><div class="entry-content">', "</div></div>"), ('<div role="main">', "</div>")])
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">{words(2)}</a></li>' for i in range(6)) + "</ul>"
+    before = rng.choice([f"<nav>{menu}</nav>", f"<header><h1>{words(2)}</h1>{menu}</header>", f'<div id="topMenu">{menu}</div>', f'<div class="cookie-notice">{sentence()}</div>', f"<!-- x --><form><p>{sentence()}<input></p></form>"])
+    after = rng.choice([f"<footer>{sentence()}</footer>", f"<aside><p>{sentence()}</p></aside>", f'<section class="comments"><article><p>{sentence()}</p></article></section>', f"<div>{sentence()}</div>", f'<div style="display:none"><p>{sentence()}</p></div><script>x = "<p>{words(3)}</p>"</script>'])
+    return f"<html><head><title>{words(3)}</title></head><body>{before}{opening}{body}{closing}{after}</body></html>", "\n".join(text)
+
+
+def test_html_query_extracts_known_articles(spark, tmp_path):
+    rng = random.Random(23)
+    pages = [page_of(rng) for _ in range(400)]
+    spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = html_text.op10_html_text(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.text for r in got} == {i: t for i, (_, t) in enumerate(pages)} and all(r.n_chars == len(r.text) for r in got)
+    # it is the cut that tells them: the blocks' own odds do not
+    own = ["\n".join(b.text for b in html_text.blocks(h)[0] if html_text.odds(b) > 0) for h, _ in pages]
+    assert sum(x == t for x, (_, t) in zip(own, pages, strict=True)) < 0.1 * len(pages)
+
+
+def test_html_labels_are_a_cheapest_labelling():
+    """Every labelling of blocks and regions of small pages, priced as the module's docstring says."""
+    rng = random.Random(29)
+    names = ["article", 'div class="side"', 'div class="content"', 'div class="page-text"', "form", "div"]
+    for _ in range(60):
+        page = ""
+        for _ in range(rng.randrange(1, 4)):
+            name = rng.choice(names)
+            page += f"<{name}>" + "".join(rng.choice([f"<p>{LONG * rng.randrange(1, 3)}</p>", "<p>x</p>", "<li><a>Link</a>", "<div>Some words</div>"]) for _ in range(rng.randrange(1, 3))) + f"</{name.split()[0]}>"
+        found, regions = html_text.blocks(page)
+        n, kinds = len(found), ["named" if r.kind == "outside" else r.kind for r in regions]
+        declared = any(k in ("article", "content") for k in kinds)
+        gone = [declared and not r.inside and k == "named" for r, k in zip(regions, kinds, strict=True)]
+
+        def cost(block, region, page_):
+            total = 0.0 if page_ is False else -html_text.REGIONS["page"][0]
+            for r, k, x in zip(regions, kinds, region, strict=True):
+                g = html_text.REGIONS[k][0]
+                total += max(-g, 0) if x else max(g, 0)
+                total += html_text.NESTED * (r.up >= 0 and region[r.up] != x)
+            for i, (b, x) in enumerate(zip(found, block, strict=True)):
+                g = html_text.odds(b)
+                total += max(-g, 0) if x else max(g, 0)
+                if i + 1 < n:
+                    total += (html_text.ADJACENT + html_text.SIBLING * (b.parent == found[i + 1].parent)) * (x != block[i + 1])
+                if b.region >= 0 and gone[b.region]:
+                    total += 1e9 * x
+                elif b.region >= 0 or declared:
+                    sign, tie = html_text.REGIONS[kinds[b.region] if b.region >= 0 else "page"]
+                    holds = region[b.region] if b.region >= 0 else page_
+                    total += tie * ((holds and not x) if sign > 0 else (x and not holds))
+            return total
+
+        free = lambda block: min(cost(block, r, q) for r in itertools.product([False, True], repeat=len(regions)) for q in (False, True))
+        best = min(free(x) for x in itertools.product([False, True], repeat=n))
+        assert free(tuple(html_text.labels(found, regions))) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("part", ['<p class="x ', "<a x='", "<a ", '<span class="ad">', "<li>", "<div></section>", "<div><li></li>", "<video>", '<span class="ad">x<p>', "<!--", "<", "&amp;", "<td>", f"<div>{LONG}</div><div>No</div>", '<div class="side"><p>x</div>'])
+def test_html_time_is_in_proportion(part):
+    began = time.process_time()
+    html_text.main_text(part * 20_000)
+    assert time.process_time() - began < 10
+
+
+def test_min_cut_of_directed_edges():
+    rng = random.Random(27)
+    for _ in range(150):
+        n = rng.randrange(1, 8)
+        excess = [rng.choice([0.0, rng.uniform(-2, 2)]) for _ in range(n)]
+        edges = [(rng.randrange(n), rng.randrange(n), rng.uniform(0, 1.5), rng.choice([0.0, rng.uniform(0, 1.5)])) for _ in range(2 * n)]
+        cost = lambda x: sum(-e for e, s in zip(excess, x) if s and e < 0) + sum(e for e, s in zip(excess, x) if not s and e > 0) + sum(c * (x[a] and not x[b]) + d * (x[b] and not x[a]) for a, b, c, d in edges)  # noqa: B023, B905, E731
+        assert cost(html_text.min_cut(excess, edges)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=n)))
+
+
 def test_min_cut_equals_brute_force():
     rng = random.Random(13)
     for _ in range(150):
