@@ -10,6 +10,10 @@ two models over its n-grams:
 * word pairs (2^16 buckets): the mean ratio per n-gram (words and pairs), scaled to `pair_length` n-grams, where it is
   below that of typical text.
 
+This is not the plain sum of log ratios: buckets of weak evidence (under `z`, or a ratio between `least` and that of a
+typical word) count only through the mean. The plain sum over words and pairs was tried with several strengths of smoothing and tells
+less (README has the figures): a long text sums up noise of its many weak buckets.
+
 Each document's key is its log weight plus Gumbel noise drawn from its id; the k largest keys are a sample without
 replacement with chances in proportion to the weights. k is `share` of the rows, by default the target's share of the
 labelled documents. `kept` marks the sample; every document is returned.
@@ -18,7 +22,7 @@ Counting covers all text: each task adds up its partition and hands on one row p
 depend on skew. The driver gets one row per bucket. The k-th key is found exactly by refining a histogram.
 
 Edge cases: null, empty or blank text has log weight 0 and competes with its noise. Without labels of either kind all
-weights are 0. Rows equal in id get equal noise; at the k-th key, ties go by id, then any. A null id is hashed like
+weights are 0. Rows equal in id get equal noise; at the k-th key, ties go by id, then any of the equal rows. A null id is hashed like
 others. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -161,8 +165,13 @@ def quality_classifier(
     low, high, m = kth_largest(scored, "sample_key", k)
     edge = (F.col("sample_key") >= low) & (F.col("sample_key") < high)
     sure = scored.where(~edge).withColumn("kept", F.col("sample_key") >= high)
-    ranked = scored.where(edge).withColumn("kept", F.row_number().over(W.orderBy(F.desc("sample_key"), "doc_id")) <= m)
-    return sure.unionAll(ranked)
+    # few keys, or one: equal rows are counted, ranked as one and dealt out again, so that many of them do not meet in a task
+    same = ["doc_id", "log_weight", "sample_key"]
+    before = F.sum("n").over(W.orderBy(F.desc("sample_key"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    ranked = scored.where(edge).groupBy(*same).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    some = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).alias("at"))
+    each = some.select(*same, "before", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + 4095, F.col("n") - 1))).alias("at"))
+    return sure.unionAll(each.select(*same, (F.col("before") + F.col("at") < m).alias("kept")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
