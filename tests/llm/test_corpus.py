@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,62 @@ def test_quality_classifier(spark):
     assert none.where("kept").count() == 300
 
 
+def test_quality_classifier_equals_plain_dictionaries(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(33)
+    texts = [" ".join(rng.choice(["zap", "Zip", f"w{rng.randrange(60)}", f"w{rng.randrange(9)}"]) for _ in range(rng.randrange(120))) for _ in range(120)] + [None, "", "w1"]
+    rows = [*enumerate(texts), (None, "zap zap"), *[(7, texts[7])] * 40]
+    label = {i: int("zap" not in (t or "")[:30]) for i, t in enumerate(texts) if i % 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = quality_classifier.quality_classifier(docs, spark.createDataFrame([(i, q, None) for i, q in label.items()], "doc_id long, quality int, toxic int"), z=1.0).collect()
+
+    def grams(text):
+        one, _, two, _ = quality_classifier.features(pa.array([text]))
+        return [("one", x) for x in one.tolist()], [("two", x) for x in two.tolist()]
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        for part in grams(t):
+            raw.update(part)
+            if label.get(i) == 1:
+                good.update(part)
+    ratio, typical, deviance = {}, {}, {}
+    for kind in ("one", "two"):
+        n, g = (sum(v for k, v in c.items() if k[0] == kind) for c in (raw, good))
+        for k in [k for k in raw if k[0] == kind]:
+            e = raw[k] * g / n
+            ratio[k] = np.log((good[k] + 0.5) / (e + 0.5))
+            deviance[k] = 2 * (e - good[k] + (good[k] * np.log(good[k] / e) if good[k] else 0))
+        seen = 0
+        for k in sorted((k for k in raw if k[0] == kind), key=lambda k: ratio[k]):
+            seen += raw[k]
+            if seen >= n / 2:
+                typical[kind] = ratio[k]
+                break
+
+    def weight(t):
+        one, two = grams(t)
+        if not one:
+            return 0.0
+        clear = [ratio[k] - typical["one"] for k in one if deviance[k] > 1.0]
+        mean = sum(ratio[k] for k in one + two) / len(one + two)
+        return sum(x for x in clear if x > 0 or x < -2) + 100 * min(mean - min(0, *typical.values()), 0)
+
+    by = {i: weight(t) for i, t in rows}
+    assert len(got) == len(rows) and all(r.log_weight == pytest.approx(by[r.doc_id], abs=1e-3) for r in got)
+    k = round(len(rows) * sum(label.values()) / len(label))
+    key = sorted((r.sample_key for r in got), reverse=True)
+    assert sum(r.kept for r in got) == k and all(r.sample_key >= key[k - 1] for r in got if r.kept) and all(r.sample_key <= key[k - 1] for r in got if not r.kept)
+
+
+def test_quality_classifier_of_equal_rows(spark):
+    docs = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = quality_classifier.quality_classifier(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), share=0.3)
+    assert {(r.kept, r["count"]) for r in got.groupBy("kept").count().collect()} == {(True, 15_000), (False, 35_000)}
+
+
 def test_kth_largest(spark):
     rng = random.Random(6)
     values = [rng.choice([1.0, 2.5, rng.random(), -1e9]) for _ in range(3000)]
@@ -226,6 +283,51 @@ def test_url_rules(spark):
     assert url_rules.url_rules(pages.limit(0), labels).count() == 0 and url_rules.url_rules(pages, labels.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+def url_items(url):
+    scheme, rest = url.split("://")
+    host, _, tail = rest.partition("/")
+    path, _, query = tail.partition("?")
+    return {f"s:{scheme}"} | {f"h{i}:{x}" for i, x in enumerate(host.split(".")[::-1], 1)} | {f"p{i}:{re.sub('[0-9]+', '#', x)}" for i, x in enumerate((x for x in path.split("/") if x), 1)} | {f"q:{x.split('=')[0]}" for x in query.split("&") if x}
+
+
+def test_url_mining_equals_a_plain_count(spark):
+    """Every item set of the labelled URLs counted: the confidence of the best rule (and so the verdict) of every URL."""
+    rng = random.Random(18)
+    word = lambda *x: rng.choice(x)
+    urls = [f"{word('http', 'https')}://{word('a', 'b')}.{word('spam', 'fine')}.{word('org', 'info')}/{word('en', 'de')}/x/{rng.randrange(9)}" + word("", "?ref=1", "?ref=2&page=3") for _ in range(700)]
+    bad = {i for i, u in enumerate(urls) if (".spam." in u and "/de/" in u or "ref" in u and "info" in u) != (rng.random() < 0.1)}
+    known = range(0, 700, 2)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in known], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.confidence for r in url_rules.url_rules(pages, labels, rules=(), support=0.05, confidence=0.6, lift=1.5).collect()}
+    n, hit = Counter(), Counter()
+    for i in known:
+        items = sorted(url_items(urls[i]))
+        for size in range(1, len(items) + 1):
+            for x in itertools.combinations(items, size):
+                n[x] += 1
+                hit[x] += i in bad
+    share = sum(i in bad for i in known) / len(known)
+    least = max(0.05 * len(known), 20)
+    rules = {frozenset(x): hit[x] / n[x] for x in n if hit[x] >= least and hit[x] / n[x] >= 0.6 and hit[x] / n[x] / share >= 1.5}
+    assert rules
+    for i, u in enumerate(urls):
+        want = max((c for x, c in rules.items() if x <= url_items(u)), default=None)
+        assert got[i] == (None if want is None else pytest.approx(want)), u
+
+
+def test_url_mining_of_long_paths(spark):
+    long = "https://deep.example.org/" + "/".join(f"seg{chr(97 + k)}" for k in range(40))
+    nested = ["http://n.example.org/" + "/".join(f"d{chr(97 + k)}" for k in range(1 + i % 30)) for i in range(900)]
+    urls = [long] * 60 + [f"https://ok.example.org/{i}" for i in range(200)] + nested
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(u != long), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.url_rules(pages, labels, rules=()).collect()}
+    assert all(got[i] == ("block" if u == long else "allow") for i, u in enumerate(urls))
+    chain = labels.where("doc_id < 260").unionAll(labels.where("doc_id >= 260").withColumn("quality", F.lit(0)))  # thirty nested supports
+    assert {r.verdict for r in url_rules.url_rules(pages, chain, rules=(), lift=1.0).where("page_id >= 260").collect()} == {"block"}
+
+
 def waterfill(sizes, repeat=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
