@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -198,7 +199,9 @@ def word_set(text: Column, data: Column) -> Column:
 
 
 def media_group(name: Column) -> Column:
-    """Bracketed 11-character id of a file name; else NOID_ and the name without a known extension."""
+    """Bracketed 11-character id of a file name; else NOID_ and the name without its media ending, or else without its last
+    extension."""
     found = F.regexp_extract(name, r"\[([A-Za-z0-9_-]{11})\]", 1)
-    stem = F.regexp_replace(name, r"\.info\.json$|\.[a-z]{2}\.vtt$|\.(?:" + "|".join(P.EXTENSIONS) + ")$", "")
+    known = "(?:" + "|".join(re.escape(x) for x in P.MEDIA_ENDINGS) + ")$"
+    stem = F.when(name.rlike(known), F.regexp_replace(name, known, "")).otherwise(F.regexp_replace(name, r"(?s)^(.+)\.[^.]+$", "$1"))
     return F.when(found != "", found).otherwise(F.concat(F.lit("NOID_"), stem))

@@ -38,8 +38,8 @@ def fragment_score(target: Column, entropy: Column, checks: Column, html: Column
         (~compressed & best, 10.0, "optimal_entropy"),
         (vj, 30.0, "valid_json"),
         (~vj & pj, 15.0, "probably_json"),
-        (vl, 25.0, "valid_link"),
-        (~vl & pl, 10.0, "probably_link"),
+        (vl, 25.0, "valid_youtube_url"),
+        (~vl & pl, 10.0, "probably_youtube"),
         (html, 20.0, "valid_html"),
         (csv, 15.0, "valid_csv"),
         (target_size, 10.0, "target_size"),
@@ -50,7 +50,7 @@ def fragment_score(target: Column, entropy: Column, checks: Column, html: Column
     reasons = F.filter(F.array(*(F.when(test, name) for test, _, name in parts)), lambda x: x.isNotNull())
     return F.struct(
         F.greatest(total, F.lit(0.0)).alias("overall_score"), vj.alias("is_valid_json"), html.alias("is_valid_html"), csv.alias("is_valid_csv"),
-        vl.alias("is_valid_link"), structured.alias("has_structured_text"), compressed.alias("is_compressed"), reasons.alias("reasons"),
+        vl.alias("is_valid_youtube_url"), structured.alias("has_structured_text"), compressed.alias("is_compressed"), reasons.alias("reasons"),
     )
 
 

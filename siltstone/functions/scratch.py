@@ -9,17 +9,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is named."""
+    """The cluster's shared checkpoint folder: spark.checkpoint.dir, or what setCheckpointDir was told. Where neither is
+    set, a temporary folder of this machine if Spark runs on it alone, else the home folder of the default file system if
+    that is a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = tempfile.mkdtemp(prefix="siltstone-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    spark.sparkContext.setCheckpointDir(f"file://{root}")
-    return f"file://{root}"
+    told = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if root or told.isDefined():
+        return (root or told.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        system = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{system.getHomeDirectory().toString()}/siltstone-scratch"
+    else:
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+    spark.conf.set("spark.checkpoint.dir", root)
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Deletes all tables this process has written; what reads them cannot be run again."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 class Scratch:
@@ -29,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _MADE.append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -39,8 +63,5 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, t._scratch_path)

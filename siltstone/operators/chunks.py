@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as V
+from siltstone.sources.images import bytes_at, spread
 
 
 def aligned_chunk_size(size: Column) -> Column:
@@ -26,9 +27,9 @@ def chunk_ranges(images: DataFrame, length: str, chunk: int, overlap: int, start
 
 
 def chunks(images: DataFrame, chunk: int, overlap: int, start: int = 0, reverse: bool = False) -> DataFrame:
-    """(path, chunk_id, offset, size, chunk_seq, data) of images (path, length, content)."""
-    out = chunk_ranges(images, "length", chunk, overlap, start, reverse)
-    return out.select("path", "chunk_id", "offset", "size", "chunk_seq", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("data"))
+    """(path, chunk_id, offset, size, chunk_seq, data) of images (path, length), with content or read by ranges."""
+    out = chunk_ranges(images.select("path", "length"), "length", chunk, overlap, start, reverse).drop("length")
+    return bytes_at(spread(out, images), images, "offset", "size", "data").select("path", "chunk_id", "offset", "size", "chunk_seq", "data")
 
 
 def slice_of(content: Column, length: Column, offset: Column, size: Column) -> Column:

@@ -37,10 +37,10 @@ class Matcher:
                     return text
         return None
 
-    def scan(self, data: bytes, base: int, dedup: bool):
+    def scan(self, data: bytes, base: int, dedup: bool, seen: set | None = None):
         """Links of one chunk in the order found: needle, pattern, match. Without dedup a match that several windows
-        show is given once, by place and pattern."""
-        seen: set = set()
+        show is given once, by place and pattern. seen: ids found before, if they count too."""
+        seen = set() if seen is None else seen
         for needle in self.needles.finditer(data):
             start = max(0, needle.start() - P.BEFORE)
             window = data[start : min(len(data), needle.end() + P.AFTER)]
@@ -59,18 +59,22 @@ class Matcher:
 _MATCHER: list[Matcher] = []
 
 
+def matcher() -> Matcher:
+    if not _MATCHER:
+        _MATCHER.append(Matcher())
+    return _MATCHER[0]
+
+
 def _scan(dedup: bool):
     names = [f.split()[0] for f in OUT.split(", ")]
 
     def run(batches):
-        if not _MATCHER:
-            _MATCHER.append(Matcher())
         for batch in batches:
             rows = []
             for r in zip(*(batch.column(c).to_pylist() for c in ("path", "chunk_id", "chunk_seq", "offset", "data")), strict=True):
                 path, chunk_id, seq, offset, data = r
                 try:
-                    found = list(_MATCHER[0].scan(data or b"", offset, dedup))
+                    found = list(matcher().scan(data or b"", offset, dedup))
                 except Exception as e:  # one bad chunk must not end the scan: it gives an error row
                     rows.append((path, chunk_id, seq, 0, *(None,) * 7, f"{type(e).__name__}: {e}"))
                     continue
@@ -92,10 +96,8 @@ def matches(text: Column) -> Column:
     """Array of all matches of all patterns in a text: (pattern_idx, pattern_name, url, video_id, confidence); JVM only."""
 
     def one(idx: int, name: str, pattern: str, priority: int) -> Column:
-        urls = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        row = lambda u, v: F.struct(F.lit(idx).alias("pattern_idx"), F.lit(name).alias("pattern_name"), u.alias("url"), v.alias("video_id"), F.lit(priority / 10).alias("confidence"))
-        return F.zip_with(urls, ids, row)
+        row = lambda u: F.struct(F.lit(idx).alias("pattern_idx"), F.lit(name).alias("pattern_name"), u.alias("url"), F.regexp_extract(u, pattern, 1).alias("video_id"), F.lit(priority / 10).alias("confidence"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), row)  # the id is read from the short match
 
     return F.flatten(F.array(*(one(i, *p) for i, p in enumerate(P.LINK_PATTERNS))))
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as V
+from siltstone.sources.images import bytes_at
 
 
 def gathered(streams: DataFrame, images: DataFrame) -> DataFrame:
     """(image, stream, confidence, total_score, start_offset, end_offset, data): the bytes of each stream's fragments,
     in order. streams: a row per fragment (image, stream, position, offset, size, confidence, total_score); images:
-    image, content. One value per stream, as the file is one value."""
-    part = streams.join(images, "image").select("image", "stream", "position", "offset", "size", "confidence", "total_score", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("part"))
+    image, path and content or none. One value per stream, as the file is one value."""
+    part = bytes_at(streams.join(images.select("image", "path"), "image"), images, "offset", "size")
     whole = part.groupBy("image", "stream").agg(
         F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.first("confidence").alias("confidence"), F.first("total_score").alias("total_score"),
         F.min("offset").alias("start_offset"), F.max(F.col("offset") + F.col("size")).alias("end_offset"),

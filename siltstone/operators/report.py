@@ -33,9 +33,8 @@ def checksum(timestamp: Column, rate: Column, n_files: Column) -> Column:
 
 def data_clusters(fragments: DataFrame) -> DataFrame:
     """Numbered clusters of fragments (image, offset, size, n_links, cyrillic, score), by offset in each image."""
-    hex_ = lambda c: F.concat(F.lit("0x"), F.hex(c))
     return fragments.select(
-        "image", F.row_number().over(W.partitionBy("image").orderBy("offset")).alias("cluster_id"), hex_(F.col("offset")).alias("start_offset_hex"), hex_(F.col("offset") + F.col("size")).alias("end_offset_hex"),
+        "image", F.row_number().over(W.partitionBy("image").orderBy("offset")).alias("cluster_id"), hex_offset(F.col("offset")).alias("start_offset_hex"), hex_offset(F.col("offset") + F.col("size")).alias("end_offset_hex"),
         F.col("size").alias("size_bytes"), F.floor(F.col("size") / 1024).alias("size_kb"), F.col("n_links").alias("link_count"), F.col("cyrillic").alias("density"), F.col("score").alias("confidence"),
     )
 
@@ -50,13 +49,64 @@ def heatmap(found: DataFrame, total: Column, blocks: int, scanned_to: Column) ->
     return joined.select("block", F.when(F.col("edge").isNotNull(), 2).when(F.col("block") < F.col("all_edge"), 1).otherwise(0).alias("state"))
 
 
-def throughput(events: DataFrame, key: str, order: str, mb: str, seconds: str, memory: int = 400) -> DataFrame:
-    """Speed of each step and its running average (0.9 old + 0.1 new, from the first), per key.
+#: Rows of a stretch, and stretches whose sums can still count: 0.9 to the power of their rows is 0 in doubles.
+STRETCH, REACH = 64, 128
 
-    The average is folded over the last `memory` steps only: what came before weighs 0.9^400, under 1e-18, so a step costs
-    the same however many its key has."""
+
+def throughput(events: DataFrame, key: str, order: str, mb: str, seconds: str, remaining_mb: str | None = None) -> DataFrame:
+    """Speed of each step and its running average (0.9 old + 0.1 new, from the first), per key; with remaining_mb also eta,
+    the seconds left at that average (null at 0).
+
+    The average is folded over the step's own stretch of rows, from a value that stands for all rows before the stretch. That
+    value is a sum over stretches, weighted by powers of 0.9; weights that are 0 in doubles end the sum."""
     now = F.when(F.col(seconds) > 0, F.col(mb) / F.col(seconds)).otherwise(0.0)
-    w = W.partitionBy(key).orderBy(order, "current").rowsBetween(-memory, 0)
-    steps = events.select(key, order, now.alias("current")).withColumn("seen", F.collect_list("current").over(w))
-    average = F.aggregate(F.slice("seen", F.lit(2), F.size("seen")), F.element_at("seen", 1), lambda old, new: old * 0.9 + new * 0.1)
-    return steps.select(key, order, "current", average.alias("average"))
+    more = [remaining_mb] if remaining_mb else []
+    rn = F.row_number().over(W.partitionBy(key).orderBy(order, "current")) - 1
+    steps = events.select(key, order, now.alias("current"), *more).withColumn("_rn", rn).withColumn("_stretch", F.floor(F.col("_rn") / STRETCH))
+    fold = lambda values, start: F.aggregate(values, start, lambda old, new: old * 0.9 + new * 0.1)
+    seeded = lambda values: fold(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1))
+    steps = steps.withColumn("_seen", F.collect_list("current").over(W.partitionBy(key, "_stretch").orderBy("_rn")))
+    ends = steps.groupBy(key, "_stretch").agg(F.max_by("_seen", "_rn").alias("_all"))
+    ends = ends.withColumn("_sum", F.when(F.col("_stretch") == 0, seeded(F.col("_all"))).otherwise(fold(F.col("_all"), F.lit(0.0))))
+    earlier = F.collect_list("_sum").over(W.partitionBy(key).orderBy("_stretch").rowsBetween(-REACH, -1))
+    ends = ends.select(key, "_stretch", F.aggregate(earlier, F.lit(0.0), lambda old, new: old * 0.9**STRETCH + new).alias("_before"))
+    average = F.when(F.col("_stretch") == 0, seeded(F.col("_seen"))).otherwise(fold(F.col("_seen"), F.col("_before")))
+    out = steps.join(ends, [key, "_stretch"]).select(key, order, "current", average.alias("average"), *more)
+    if remaining_mb:
+        out = out.withColumn("eta", F.when(F.col("average") > 0, F.col(remaining_mb) / F.col("average"))).drop(remaining_mb)
+    return out
+
+
+def last_entries(log: DataFrame, key: str, *order: str, n: int = 10) -> DataFrame:
+    """The last n rows of each key."""
+    newest = W.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    return log.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
+
+
+def counters(chunks: DataFrame, links: DataFrame, hot: DataFrame) -> DataFrame:
+    """One row of totals of a scan: bytes_scanned, links_found, hot_fragments, chunks_processed, errors."""
+    c = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes_scanned"), F.count("*").alias("chunks_processed"))
+    n = links.agg(F.count_if(F.col("error").isNull()).alias("links_found"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return c.join(n).join(hot.agg(F.count("*").alias("hot_fragments"))).select("bytes_scanned", "links_found", "hot_fragments", "chunks_processed", "errors")  # one row each
+
+
+def completion(done: Column, total: Column) -> Column:
+    """Per cent of total that is done; 0 of nothing."""
+    return F.when(total > 0, done / total * 100.0).otherwise(0.0)
+
+
+def hex_offset(at: Column) -> Column:
+    return F.concat(F.lit("0x"), F.hex(at))
+
+
+def duration(seconds: Column) -> Column:
+    """HH:MM:SS."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, F.floor(seconds) % 60)
+
+
+def kilobytes(kb: Column) -> Column:
+    return kb * 1024
+
+
+def megabytes(size: Column) -> Column:
+    return size / MB

@@ -50,16 +50,19 @@ class Options:
         return None
 
 
-def features(chunks: DataFrame, links: DataFrame | None = None, n_links: Column | None = None) -> DataFrame:
-    """Adds to chunks (path, chunk_id, offset, size, data): file_type, n_links, links, cyrillic, brackets, entropy,
-    is_empty, target_score, fast_score, fragment_score. Links are counted by chunk, or given as a number."""
+def features(chunks: DataFrame, links: DataFrame | None = None, n_links: Column | None = None, vector: bool = False) -> DataFrame:
+    """Of chunks (path, chunk_id, offset, size, data): their columns without the data, and file_type, n_links, links,
+    cyrillic, brackets, entropy, is_empty, target_score, fast_score, fragment_score, on demand vector (byte frequencies).
+    Links are counted by chunk, or given as a number. Only narrow columns are joined; the bytes stay where they are read."""
     data, text = F.col("data"), V.text_of(F.col("data"))
+    own = {"file_type": V.file_type(data), "cyrillic": V.cyrillic_density(data), "brackets": O.count_bytes(data, "{}[]"), "is_empty": F.length(F.translate(O.latin(data), "\x00", "")) == 0, "entropy": O.entropy(data), "checks": V.validation(text), "html": V.is_html(text), "csv": V.is_csv(text)}
+    out = chunks.withColumns(own | ({"vector": O.byte_frequency(data)} if vector else {})).drop("data")
     if links is not None:
         n = links.where("error is null").groupBy("path", "chunk_id").agg(F.count("*").alias("n_links"), F.collect_set("video_id").alias("links"))
-        chunks = chunks.join(n, ["path", "chunk_id"], "left")
+        out = out.join(n, ["path", "chunk_id"], "left")
     else:
-        chunks = chunks.withColumn("n_links", F.lit(0) if n_links is None else n_links).withColumn("links", F.array().cast("array<string>"))
-    out = chunks.withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "links": F.coalesce("links", F.array().cast("array<string>")), "file_type": V.file_type(data), "cyrillic": V.cyrillic_density(data), "brackets": O.count_bytes(data, "{}[]"), "is_empty": F.length(F.translate(O.latin(data), "\x00", "")) == 0, "entropy": O.entropy(data), "checks": V.validation(text), "html": V.is_html(text), "csv": V.is_csv(text)})
+        out = out.withColumn("n_links", F.lit(0) if n_links is None else n_links).withColumn("links", F.array().cast("array<string>"))
+    out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "links": F.coalesce("links", F.array().cast("array<string>"))})
     out = out.withColumn("target_score", S.target_score(F.col("n_links"), F.col("cyrillic"), F.col("brackets") > 0, F.col("size")))
     out = out.withColumn("fast_score", S.target_score(F.col("n_links"), F.col("cyrillic"), F.col("brackets") > 10, F.col("size")))
     score = S.fragment_score(F.col("target_score"), F.col("entropy"), F.col("checks"), F.col("html"), F.col("csv"), F.col("size"))
@@ -74,40 +77,40 @@ def hot(featured: DataFrame, profile: str = "validated") -> DataFrame:
 
 
 def scan(images: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(links, hot fragments) of images (path, length, content)."""
+    """(links, hot fragments) of images (path, length), with content or large ones read by ranges."""
     if wrong := options.check():
         raise ValueError(wrong)
     chunk = max(64, options.chunk_kb * 1024 // 64 * 64)
     parts = C.chunks(images, chunk, options.overlap_kb * 1024, options.start, options.reverse)
-    raw = L.extract(parts, options.dedup)
+    raw = Scratch(images.sparkSession, "scan").save(L.extract(parts, options.dedup))
     links = L.at_least(L.best_links(raw.where("error is null"), "path"), options.min_confidence).orderBy("path", "offset", "pattern_idx")
     if options.links_only:
         return links, parts.limit(0)
-    found = hot(features(parts, raw), options.profile)
+    found = hot(features(parts, raw, vector=True), options.profile)
     if options.target_max_kb:
         found = found.where(F.col("size").between(options.target_min_kb * 1024, options.target_max_kb * 1024))
     return links, found
 
 
 def carve(images: DataFrame, options: Options = Options(), weights: A.Weights = A.Weights()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, hot fragments, recovered files) of images (path, length, content)."""
+    """(links, hot fragments, recovered files) of images (path, length), with content or large ones."""
     scratch = Scratch(images.sparkSession, "carve")
     links, found = scan(images, options)
-    numbered = images.select("path", F.xxhash64("path").alias("image"), "content")
-    found = scratch.save(found.select(F.xxhash64("path").alias("image"), "chunk_id", "offset", "size", "file_type", "n_links", "links", "cyrillic", "score", "target_score", "fragment_score", O.byte_frequency(F.col("data")).alias("vector")))
+    numbered = images.withColumn("image", F.xxhash64("path"))
+    found = scratch.save(found.select(F.xxhash64("path").alias("image"), "chunk_id", "offset", "size", "file_type", "n_links", "links", "cyrillic", "score", "target_score", "fragment_score", "vector"))
     nodes = found.select("image", F.col("chunk_id").alias("id"), "offset", "size", "file_type", (F.col("score") + F.col("fragment_score.overall_score")).alias("score"), S.has_valid_structure(F.col("fragment_score")).alias("structured"), "links", "vector")
     streams = A.assemble(nodes, weights, options.max_streams)
     kind = found.select("image", "offset", "file_type")
     first = streams.where("position = 0").select("image", "stream", "offset").join(kind, ["image", "offset"]).select("image", "stream", "file_type")
-    files = R.recovered(R.gathered(streams, numbered.select("image", "content")).join(first, ["image", "stream"]))
+    files = R.recovered(R.gathered(streams, numbered).join(first, ["image", "stream"]))
     if options.early_exit:
         files = files.orderBy("image", "stream").limit(options.early_exit)
     return links, found, files
 
 
 def run(spark: SparkSession, images: DataFrame, directory: str, options: Options = Options()) -> tuple[str, str]:
-    """Carves one image, writes its files, notes and reports; the paths of the JSON and HTML reports. What is collected is
-    bounded: max_streams files and the clusters' numbers."""
+    """Carves one image, writes its files, notes and reports; the paths of the JSON and HTML reports. The driver holds the
+    files' rows (max_streams of them) and totals; clusters pass through it one by one."""
     began, started = datetime.now(), datetime.now()
     path, length = images.select("path", "length").first()
     sinks.write_session(spark, directory, image=path, started=str(started), chunk_kb=str(options.chunk_kb))
@@ -116,12 +119,13 @@ def run(spark: SparkSession, images: DataFrame, directory: str, options: Options
     files = scratch.save(files.withColumn("data", F.encode("text", "UTF-8")))
     status = sinks.write_files(files, directory)
     done = scratch.save(files.drop("data", "text").join(status, "filename"))
-    clusters = [r.asDict() for r in T.data_clusters(found).orderBy("cluster_id").collect()]
-    stats = T.recovery_stats(done, len(clusters)).first().asDict()
+    clusters = scratch.save(T.data_clusters(found).orderBy("cluster_id"))
+    n_clusters = clusters.count()
+    stats = T.recovery_stats(done, n_clusters).first().asDict()
     listed = [r.asDict() | {"id": i} for i, r in enumerate(done.orderBy("stream").collect(), 1)]
     seconds = (datetime.now() - began).total_seconds()
     stamp = started.strftime("%Y-%m-%d %H:%M:%S")
     check = spark.range(1).select(T.checksum(F.lit(stamp), F.lit(float(stats["success_rate"])), F.lit(len(listed)))).first()[0]
-    scanned = spark.range(1).select(*T.scan_results(F.lit(length), F.lit(length), F.lit(length), F.lit(len(clusters)), F.lit(seconds))).first().asDict()
-    report = {"metadata": {"timestamp": stamp, "image_path": path, "output_dir": directory}, "scan_results": scanned | {"files_recovered": len(listed)}, "clusters": clusters, "recovered_files": listed, "stats": stats, "success": bool(listed), "report_checksum": check}
-    return sinks.write_report(spark, directory, report, started)
+    scanned = spark.range(1).select(*T.scan_results(F.lit(length), F.lit(length), F.lit(length), F.lit(n_clusters), F.lit(seconds))).first().asDict()
+    report = {"metadata": {"timestamp": stamp, "image_path": path, "output_dir": directory}, "scan_results": scanned | {"files_recovered": len(listed)}, "recovered_files": listed, "stats": stats, "success": bool(listed), "report_checksum": check}
+    return sinks.write_report(spark, directory, report, started, lambda: (r.asDict() for r in clusters.orderBy("cluster_id").toLocalIterator()))

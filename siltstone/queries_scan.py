@@ -284,12 +284,12 @@ def titles_context(spark, sf_dir):
     return d.select("page_id", L.title_of(F.col("html")).alias("title"))
 
 
-_NAME = "trim(regexp_replace(substr(text, 1, 90), '[^\\p{L}\\p{N} _-]', '', 'g'))"
+_NAME = "trim(regexp_replace(text, '[^\\p{L}\\p{N} _-]', '', 'g'))"
 
 
 @query(f"SELECT doc_id, CASE WHEN octet_length(encode(s)) <= 50 THEN s ELSE concat(substr(s, 1, list_max(list_filter(range(48), lambda k: octet_length(encode(substr(s, 1, k::INT))) <= 47))::INT), '...') END AS name FROM (SELECT doc_id, {_NAME} AS s FROM documents)")
 def sanitize_filename(spark, sf_dir):
-    return D.documents(spark, sf_dir).select("doc_id", V.sanitized(F.substring("text", 1, 90)).alias("name"))
+    return D.documents(spark, sf_dir).select("doc_id", V.sanitized(F.col("text")).alias("name"))
 
 
 _DIRTY = "concat(chr(1), text, chr(31), ' a', chr(9), 'b', chr(10), chr(12), 'c')"

@@ -15,6 +15,7 @@ from siltstone.functions.scratch import Scratch
 from siltstone.operators import chunks as C
 from siltstone.operators import exfat as X
 from siltstone.operators import graph as G
+from siltstone.operators import media as M
 from siltstone.operators import report as T
 from siltstone.operators import streams as A
 from siltstone.plans import scan as N
@@ -222,6 +223,35 @@ def exfat_carve(spark, sf_dir):
     return X.extract_files(images, entries, boots).select("path", "offset", "name", F.length("data").alias("size"), F.sha2("data", 256).alias("sha256"), "is_deleted")
 
 
+def combined_image() -> bytes:
+    """The volume with links in two of its files' clusters."""
+    image = bytearray(exfat_image())
+    image[1536:1580] = b"see https://youtu.be/dQw4w9WgXcQ here".ljust(44)
+    image[3600:3640] = b"https://youtu.be/dQw4w9WgXcQ".ljust(40)
+    return bytes(image)
+
+
+@query()
+def exfat_combined(spark, sf_dir):
+    """Directory entries and links of one walk over a volume."""
+    raw = combined_image()
+    images = spark.createDataFrame([("volume", len(raw), bytearray(raw))], "path string, length long, content binary")
+    entries, links = X.entries_and_links(C.chunks(images, 8192, X.OVERLAP))
+    return entries.select(F.lit("entry").alias("kind"), "offset", F.col("filename").alias("name")).unionAll(links.select(F.lit("link"), "offset", "video_id"))
+
+
+@query()
+def exfat_extract(spark, sf_dir):
+    """Files by cluster and by the place of their entry, with what is wrong where there are none."""
+    images = _volume(spark)
+    by_cluster = [X.extract_file(images, c, n, flat).select(F.lit(f"cluster {c}").alias("asked"), F.length("data").alias("size"), "error") for c, n, flat in ((3, 1200, False), (7, 700, True), (1, 10, True))]
+    by_entry = [X.extract_entry(images, at).select(F.lit(f"entry {at}").alias("asked"), F.length("data").alias("size"), "error") for at in (1024, 1056, 1 << 20)]
+    out = by_cluster[0]
+    for df in (*by_cluster[1:], *by_entry):
+        out = out.unionAll(df)
+    return out
+
+
 # ---------------------------------------------------------------- recovery, reports
 
 
@@ -305,23 +335,40 @@ def throughput(spark, sf_dir):
 )
 def resume_validation(spark, sf_dir):
     d, n = D.documents(spark, sf_dir), F.col("n_chars")
-    part = F.when(n > 0, F.least("doc_id", "n_chars") / n * 100.0).otherwise(0.0)
-    took = F.format_string("%02d:%02d:%02d", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)
     refused = R.resume_verdict(F.lit("a"), F.when(F.col("doc_id") % 5 == 1, "b").otherwise("a"), F.lit("h"), F.when(F.col("doc_id") % 5 == 2, "g").otherwise("h"), F.col("doc_id"), n)
-    return d.select("doc_id", F.round(part, 6).alias("completion"), F.concat(F.lit("0x"), F.hex(F.col("doc_id") * 4096)).alias("place"), took.alias("took"), refused.alias("refused"))
+    return d.select("doc_id", F.round(T.completion(F.least("doc_id", "n_chars"), n), 6).alias("completion"), T.hex_offset(F.col("doc_id") * 4096).alias("place"), T.duration(n).alias("took"), refused.alias("refused"))
+
+
+_FILE = "concat(source, '-', cast(doc_id - doc_id % 36 AS STRING), CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(' [', substr(md5(cast(doc_id - doc_id % 3 AS STRING)), 1, 11), ']') END, CASE doc_id % 9 WHEN 0 THEN '.info.json' WHEN 1 THEN '.en.vtt' WHEN 2 THEN '.mp4' WHEN 3 THEN '.jpg' WHEN 4 THEN '.fr.vtt' WHEN 5 THEN '.part.xyz' WHEN 6 THEN '.webp' WHEN 7 THEN '.srt' ELSE '' END)"
+_ENDS = "\\.info\\.json$|\\.en\\.vtt$|\\.ru\\.vtt$|\\.vtt$|\\.srt$|\\.webp$|\\.jpg$|\\.mp4$|\\.mkv$|\\.webm$"
+_GROUPS = f"""n AS (SELECT doc_id, text, {_FILE} AS name FROM documents), g AS (SELECT *, CASE WHEN regexp_extract(name, '\\[([A-Za-z0-9_-]{{11}})\\]', 1) <> '' THEN regexp_extract(name, '\\[([A-Za-z0-9_-]{{11}})\\]', 1)
+  WHEN regexp_matches(name, '{_ENDS}') THEN concat('NOID_', regexp_replace(name, '{_ENDS}', '')) ELSE concat('NOID_', regexp_replace(name, '^(.+)\\.[^.]+$', '\\1')) END AS media_group FROM n)"""
 
 
-_FILE = "concat(source, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(' [', substr(md5(cast(doc_id - doc_id % 3 AS STRING)), 1, 11), ']') END, CASE doc_id % 3 WHEN 0 THEN '.info.json' WHEN 1 THEN '.en.vtt' ELSE '.mp4' END)"
+@query(f"WITH {_GROUPS} SELECT media_group, count(*) AS n, arg_min(name, (CASE WHEN ends_with(name, '.info.json') THEN 0 WHEN ends_with(name, '.vtt') THEN 1 ELSE 2 END, name)) AS best FROM g GROUP BY media_group")
+def media_groups(spark, sf_dir):
+    return M.grouped(D.documents(spark, sf_dir).select(F.expr(_FILE).alias("name")))
+
+
+_TEXT = """CASE WHEN doc_id % 9 = 0 THEN concat('{"title": "t', cast(doc_id AS STRING), '", "description": "', source, '"}') ELSE text END"""
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, {_FILE} AS name FROM documents), g AS (SELECT *, CASE WHEN regexp_extract(name, '\\[([A-Za-z0-9_-]{{11}})\\]', 1) <> '' THEN regexp_extract(name, '\\[([A-Za-z0-9_-]{{11}})\\]', 1) ELSE concat('NOID_', regexp_replace(name, '\\.info\\.json$|\\.[a-z]{{2}}\\.vtt$|\\.mp4$', '')) END AS media_group FROM n)
-    SELECT media_group, count(*) AS n, arg_min(name, (CASE WHEN ends_with(name, '.info.json') THEN 0 WHEN ends_with(name, '.vtt') THEN 1 ELSE 2 END, name)) AS best FROM g GROUP BY media_group"""
+    f"""WITH {_GROUPS}, t AS (SELECT doc_id, name, media_group, CASE WHEN ends_with(name, '.info.json') THEN concat('t', cast(doc_id AS STRING), ' ', source) ELSE text END AS read, CASE WHEN ends_with(name, '.info.json') THEN 0 WHEN ends_with(name, '.vtt') THEN 1 ELSE 2 END AS rank FROM (SELECT g.*, d.source FROM g JOIN documents d USING (doc_id))),
+    c AS (SELECT *, CASE WHEN contains(read, 'the') THEN 'English' ELSE 'Other' END AS category, length(read) % 10 / 10.0 AS confidence FROM t WHERE rank < 2),
+    i AS (SELECT media_group, arg_min(CASE WHEN confidence > 0.2 THEN category ELSE '' END, name) FILTER (rank = 0) AS info, arg_min(category, name) FILTER (rank = 1 AND confidence > 0.2) AS captions FROM c GROUP BY media_group)
+    SELECT t.doc_id, t.media_group, coalesce(nullif(i.info, ''), i.captions, 'Unknown') AS category FROM t LEFT JOIN i ON i.media_group = t.media_group"""
 )
-def media_groups(spark, sf_dir):
-    d = D.documents(spark, sf_dir).select(F.expr(_FILE).alias("name"))
-    rank = F.when(F.col("name").endswith(".info.json"), 0).when(F.col("name").endswith(".vtt"), 1).otherwise(2)
-    return d.withColumn("media_group", V.media_group(F.col("name"))).groupBy("media_group").agg(F.count("*").alias("n"), F.min_by("name", F.struct(rank, "name")).alias("best"))
+def media_categories(spark, sf_dir):
+    classify = lambda t: F.struct(F.when(t.contains("the"), "English").otherwise("Other").alias("category"), (F.length(t) % 10 / 10.0).alias("confidence"))
+    files = D.documents(spark, sf_dir).select("doc_id", F.concat(F.expr(_FILE)).alias("name"), F.expr(_TEXT).alias("text"))
+    return M.categorised(files, classify).select("doc_id", "media_group", "category")
+
+
+@query("SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10")
+def log_tail(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    return T.last_entries(d, "event_type", "ts", "event_id")
 
 
 @query(f"WITH {D.P_SQL} SELECT vid, count(*) AS n FROM (SELECT DISTINCT vid, lang FROM p) GROUP BY vid")
@@ -330,10 +377,7 @@ def stream_dedup(spark, sf_dir):
     scratch = Scratch(spark, "stream-dedup")
     rows = scratch.save(D.bodies(spark, sf_dir).select("doc_id", "vid", "lang", F.concat("vid", F.lit("/"), "lang").alias("key")))
     feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(rows._scratch_path)
-    out = f"{scratch.base}/out"
-    q = feed.dropDuplicates(["key"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{scratch.base}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out).groupBy("vid").agg(F.count("*").alias("n"))
+    return R.stream_dedup(feed, "key", f"{scratch.base}/out", f"{scratch.base}/state").groupBy("vid").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {D.P_SQL} SELECT doc_id FROM p WHERE vid NOT IN (SELECT vid FROM p WHERE doc_id % 6 = 0)")

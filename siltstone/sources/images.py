@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,6 +30,61 @@ def link_list(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     return rows.select(F.explode(links).alias("link")).limit(limit)
 
 
+def large_image(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of files of any size, one or many; what reads them asks for ranges of bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def bytes_at(rows: DataFrame, images: DataFrame, at: str, size: str, out: str = "part") -> DataFrame:
+    """Adds to rows (path, ...) the bytes of their image at `at`, `size` of them or as many as there are.
+
+    Images with a content column are joined; of others (large_image) each task reads the ranges of its own rows from the
+    file, so no image is ever whole in memory."""
+    if "content" in images.columns:
+        content = images.select("path", F.col("content").alias("_content"))
+        part = F.substring("_content", (F.col(at) + 1).cast("int"), F.col(size).cast("int"))
+        return rows.join(content, "path").withColumn(out, part).drop("_content")
+    columns = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        opened = {}
+        for whole in batches:
+            begin = 0
+            where = [whole.column(columns.index(c)).to_pylist() for c in ("path", at, size)]
+            while begin < whole.num_rows:  # a few MiB at a time, and one row at least
+                end, total, data = begin, 0, []
+                while end < whole.num_rows and (end == begin or total + where[2][end] <= 32 << 20):
+                    path, offset, n = (x[end] for x in where)
+                    if path not in opened:
+                        system, name = _open(path)
+                        opened[path] = system.open_input_file(name)
+                    opened[path].seek(offset)
+                    data.append(opened[path].read(n))
+                    total += n
+                    end += 1
+                part = whole.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*columns, out])
+                begin = end
+
+    return rows.mapInArrow(run, rows.withColumn(out, F.lit(b"").cast("binary")).schema)
+
+
+def spread(rows: DataFrame, images: DataFrame, per_task: int = 64 << 20) -> DataFrame:
+    """rows of large images dealt over tasks, about per_task bytes of the images for each; narrow rows, without bytes."""
+    if "content" in images.columns:
+        return rows
+    total = images.agg(F.sum("length")).first()[0] or 0
+    return rows.repartition(max(1, min(20_000, ceil(total / per_task))))
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, chunk_id: int, offset: int, size: int):
         self.path, self.chunk_id, self.offset, self.size = path, chunk_id, offset, size
@@ -56,9 +113,7 @@ class _RangeReader(DataSourceReader):
         self.start, self.limit = int(options.get("start", 0)), int(options.get("limit", 0))
 
     def _file(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+        return _open(self.path)
 
     def partitions(self):
         system, name = self._file()
@@ -78,6 +133,20 @@ def byte_ranges(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("byte_ranges").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
+def first_bytes(images: DataFrame, n: int = 512) -> DataFrame:
+    """(path, head) of images (path, content): a smoke read."""
+    return images.select("path", F.substring("content", 1, n).alias("head"))
+
+
+def memory_mb(text: str) -> int | None:
+    """MB of a node from its meminfo text; None without a total."""
+    for line in text.splitlines():
+        words = line.split()
+        if line.startswith("Node") and "MemTotal:" in line and words[-2].isdigit():
+            return int(words[-2]) // 1024
+    return None
+
+
 def cpu_list(text: str) -> list[int]:
     """"0-3,8-11" as numbers; parts that are no number or range are skipped."""
     out: list[int] = []

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +14,29 @@ _PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Rec
 <h1>Recovery report</h1><p>{timestamp} &middot; {image}</p>
 <table><tr><th>Candidates</th><td>{candidates}</td></tr><tr><th>Files</th><td>{files}</td></tr><tr><th>Success</th><td>{rate:.1f} %</td></tr><tr><th>Bytes</th><td>{total}</td></tr></table>
 <h2>Clusters</h2><table><tr><th>#</th><th>Start</th><th>Size KB</th><th>Links</th><th>Score</th></tr>{clusters}</table>
-<h2>Files</h2><table><tr><th>#</th><th>Name</th><th>Size KB</th><th>SHA-256</th></tr>{names}</table></body></html>
+<h2>Files</h2><table><tr><th>#</th><th>Name</th><th>Size KB</th><th>SHA-256</th></tr>{names}</table><h2>Size of files (KB)</h2>{chart}</body></html>
 """
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes one small text through the cluster's file system, in place at once (temporary name, then rename)."""
+def write_pieces(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
+    """Writes a text, given in pieces, through the cluster's file system. It is written under another name that then takes
+    the place of the old file in one step, so there is a whole file at any time."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
     system = to.getFileSystem(conf)
+    to, part = system.makeQualified(to), system.makeQualified(part)
     out = system.create(part, True)
-    out.write(bytearray(text.encode()))
+    for piece in pieces:
+        out.write(bytearray(piece.encode()))
     out.close()
-    system.delete(to, False)
-    system.rename(part, to)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part, to, how)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_pieces(spark, path, [text])
 
 
 def write_files(files: DataFrame, directory: str) -> DataFrame:
@@ -58,18 +69,31 @@ def report_paths(directory: str, now: datetime | None = None) -> tuple[str, str]
     return f"{stem}.json", f"{stem}.html"
 
 
-def write_report(spark: SparkSession, directory: str, report: dict, now: datetime | None = None) -> tuple[str, str]:
-    """Writes the report (a document of bounded size: totals, clusters and files kept) as JSON and HTML."""
+def _bars(values: list[tuple[str, float]]) -> str:
+    """A bar chart as SVG."""
+    most = max([v for _, v in values] + [1.0])
+    row = '<rect x="90" y="{y}" width="{w:.0f}" height="14"/><text x="0" y="{t}">{name}</text><text x="{x:.0f}" y="{t}">{v}</text>'
+    rows = (row.format(y=20 * i, t=20 * i + 12, w=300 * v / most, x=96 + 300 * v / most, name=html.escape(name), v=round(v, 2)) for i, (name, v) in enumerate(values))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="480" height="{20 * len(values)}" font-size="12">{"".join(rows)}</svg>'
+
+
+def write_report(spark: SparkSession, directory: str, report: dict, now: datetime | None = None, clusters: Callable[[], Iterable[dict]] = list) -> tuple[str, str]:
+    """Writes the report as JSON and HTML: totals and files kept from the dictionary, the clusters from an iterator each."""
     as_json, as_html = report_paths(directory, now)
-    write_text(spark, as_json, json.dumps(report, indent=2, ensure_ascii=False, default=str))
+    text = json.dumps(report | {"clusters": []}, indent=2, ensure_ascii=False, default=str)
+    head, tail = text.split('"clusters": []')
+    rows = ((",\n    " if i else "\n    ") + json.dumps(c, ensure_ascii=False, default=str) for i, c in enumerate(clusters()))
+    write_pieces(spark, as_json, itertools.chain([head + '"clusters": ['], rows, ["\n  ]" + tail]))
     row = lambda *cells: "<tr>" + "".join(f"<td>{html.escape(str(c))}</td>" for c in cells) + "</tr>"
     page = _PAGE.format(
         timestamp=html.escape(report["metadata"]["timestamp"]), image=html.escape(report["metadata"]["image_path"]), candidates=report["scan_results"]["candidates_found"], files=report["stats"]["total_processed"],
-        rate=report["stats"]["success_rate"], total=report["stats"]["total_bytes_recovered"],
-        clusters="".join(row(c["cluster_id"], c["start_offset_hex"], c["size_kb"], c["link_count"], round(c["confidence"], 2)) for c in report["clusters"]),
+        rate=report["stats"]["success_rate"], total=report["stats"]["total_bytes_recovered"], clusters="\0",
+        chart=_bars([(f["filename"][:12], float(f["size_kb"])) for f in report["recovered_files"]]),
         names="".join(row(f["id"], f["filename"], f["size_kb"], f["sha256"]) for f in report["recovered_files"]),
     )
-    write_text(spark, as_html, page)
+    head, tail = page.split("\0")
+    rows = (row(c["cluster_id"], c["start_offset_hex"], c["size_kb"], c["link_count"], round(c["confidence"], 2)) for c in clusters())
+    write_pieces(spark, as_html, itertools.chain([head], rows, [tail]))
     return as_json, as_html
 
 

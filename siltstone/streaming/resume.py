@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +42,57 @@ def resume_verdict(path_a: Column, path_b: Column, hash_a: Column, hash_b: Colum
     return F.when(path_a != path_b, "path").when(hash_a != hash_b, "hash").when(position > size, "position")
 
 
-def stream_links(spark: SparkSession, chunk_dir: str, schema: str, out: str, checkpoint: str) -> None:
-    """Scans the chunk files (Parquet: path, chunk_id, chunk_seq, offset, data) that are new since the last call and
-    appends their links; the checkpoint folder holds the position. Sends each batch's counts to `<out>/progress`."""
-    found = L.extract(spark.readStream.schema(schema).parquet(chunk_dir))
+#: Bytes between two calls of a progress callback.
+PROGRESS = 5 * 1024 * 1024
+
+
+def result(links: DataFrame, bytes_scanned: int, seconds: float) -> dict:
+    """What a scan gives back: the links as a table, bytes and time."""
+    return {"links": links, "bytes_scanned": bytes_scanned, "duration_secs": seconds}
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(f"{out}/links")
-        counts = batch.groupBy("path").agg(F.count("*").alias("n_links"), F.max("offset").alias("last_offset")).withColumn("epoch", F.lit(epoch))
-        counts.write.mode("append").parquet(f"{out}/progress")
 
-    found.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def stream_links(spark: SparkSession, chunk_dir: str, schema: str, out: str, checkpoint: str, progress: Callable[[dict], None] | None = None, on_hot: Callable[[dict], None] | None = None) -> dict:
+    """Scans the chunk files (Parquet: path, chunk_id, chunk_seq, offset, size, data) that are new since the last call, writes their links
+    to `<out>/links` and each batch's counts to `<out>/progress`; the checkpoint folder holds the position. The result is
+    result() of this call.
 
+    A batch writes the partition of its own number, so a batch that is run again after a failure replaces what it wrote.
+    progress: called with the bytes so far whenever over PROGRESS came since the last call; on_hot: called with each hot
+    fragment (offset, size, file_type, score, confidence = score / 10), one at a time."""
+    from siltstone.plans.scan import features, hot
 
-def stream_dedup(events: DataFrame, key: str, name: str, checkpoint: str) -> None:
-    """First row of each key over all micro-batches, as a memory table; the state is the set of keys seen."""
-    q = events.dropDuplicates([key]).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    began, seen, told = time.time(), 0, 0
+    chunks = spark.readStream.schema(schema).parquet(chunk_dir)
+
+    def write(df: DataFrame, epoch: int, name: str) -> None:
+        df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(f"{out}/{name}")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        nonlocal seen, told
+        size = F.length("data").cast("long")
+        write(L.extract(batch), epoch, "links")
+        links = spark.read.parquet(f"{out}/links").where(F.col("epoch") == epoch).drop("epoch")
+        counts = links.groupBy("path").agg(F.count("*").alias("n_links"), F.max("offset").alias("last_offset"))
+        read = batch.groupBy("path").agg(F.sum(size).alias("bytes_scanned"), F.count("*").alias("chunks"))
+        write(read.join(counts, "path", "left").na.fill(0, ["n_links"]), epoch, "progress")
+        seen += batch.agg(F.sum(size)).first()[0] or 0
+        if progress and seen - told > PROGRESS:
+            told = seen
+            progress({"bytes_scanned": seen, "epoch": epoch})
+        if on_hot:
+            for r in hot(features(batch.withColumn("size", size), links)).select("path", "offset", "size", "file_type", "score").toLocalIterator():
+                on_hot(r.asDict() | {"confidence": r.score / 10})
+
+    chunks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        links = spark.read.parquet(f"{out}/links")
+    except AnalysisException:  # nothing came yet
+        links = spark.createDataFrame([], f"{L.OUT}, epoch int")
+    return result(links, seen, time.time() - began)
+
+
+def stream_dedup(events: DataFrame, key: str, out: str, checkpoint: str) -> DataFrame:
+    """First row of each key over all micro-batches, written to `out`; the state is the set of keys seen."""
+    q = events.dropDuplicates([key]).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+    return events.sparkSession.read.schema(events.schema).parquet(out)

@@ -6,6 +6,7 @@ import glob
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from siltstone.operators import exfat as X
 from siltstone.operators import graph as G
 from siltstone.operators import joins as J
 from siltstone.operators import links as L
+from siltstone.operators import media as M
 from siltstone.operators import report as T
 from siltstone.operators import streams as A
 from siltstone.plans import scan as N
@@ -99,7 +101,9 @@ def test_names_and_cleaning(spark):
     assert one(spark, V.cleaned(F.col("t"), F.lit("txt")), t="a\x00b\x01c\n\td")[0] == "ab c\n\td"
     assert one(spark, V.cleaned(F.col("t"), F.lit("png")), t="a\x01")[0] == "a\x01"
     assert one(spark, V.media_group(F.col("t")), t="clip [dQw4w9WgXcQ].mp4")[0] == "dQw4w9WgXcQ"
-    assert one(spark, V.media_group(F.col("t")), t="clip.info.json")[0] == "NOID_clip"
+    stems = {"clip.info.json": "clip", "clip.jpg": "clip", "clip.mp4": "clip", "clip.webp": "clip", "clip.fr.vtt": "clip.fr", "clip.ru.vtt": "clip", "clip.part.xyz": "clip.part", "clip": "clip", ".hidden": ".hidden"}
+    for name, stem in stems.items():
+        assert one(spark, V.media_group(F.col("t")), t=name)[0] == f"NOID_{stem}"
     assert V.safe_name(None) is None
 
 
@@ -203,11 +207,98 @@ def test_exfat(spark):
     assert "recovered_0x540.bin" in files
 
 
+def test_exfat_boot_behind_the_start(spark):
+    """A sector number of 0 is wrong only where the boot sector lies at offset 0."""
+    raw = bytearray(Q.exfat_image())
+    raw[80:84] = bytes(4)
+    rows = [("a", len(raw), raw), ("b", 512 + len(raw), bytearray(512) + raw)]
+    got = {r.path: r.boot for r in X.boot_sectors(spark.createDataFrame(rows, "path string, length long, content binary")).collect()}
+    assert got["a"] is None and got["b"].fat_offset == 512 and got["b"].boot_sector_offset == 512
+
+
+def entry_bytes(name_slots, length, cluster=3, size=10):
+    head = bytes([0x85, 1 + len(name_slots)]).ljust(32, b"\0")
+    ext = bytearray(32)
+    ext[0], ext[3], ext[20], ext[24] = 0xC0, length, cluster, size
+    return head + bytes(ext) + b"".join(name_slots)
+
+
+def test_exfat_names():
+    slot = lambda text, kind=0xC1: bytes([kind, 0]) + text.encode("utf-16-le", "surrogatepass")[:30].ljust(30, b"\0")
+    name = lambda *slots, n=40: X.parse_entry_set(entry_bytes(slots, n))[0]["filename"]
+    assert name(slot("a" * 15), slot("bc")) == "a" * 15 + "bc"
+    assert name(slot("ab"), slot("cd")) == "abcd"  # a NUL ends its own slot only
+    assert name(slot("ab"), slot("cd", 0xC0), slot("ef")) == "ab"  # a foreign slot ends the name
+    assert name(slot("a\ud800b" + "c" * 12), n=3) == "abc"  # half of a pair does not count
+    assert name(slot("abcdef"), n=3) == "abc"
+
+
+def test_exfat_extracts_and_errors(spark):
+    got = {r.asked: (r["size"], r.error) for r in Q.exfat_extract(spark, "").collect()}
+    assert got == {"cluster 3": (1200, None), "cluster 7": (700, None), "cluster 1": (0, None), "entry 1024": (1200, None), "entry 1056": (None, "No valid exFAT entry set at offset 0x420"), "entry 1048576": (None, "Entry offset 0x100000 is beyond image size")}
+    none = spark.createDataFrame([("w", 4096, bytearray(4096))], "path string, length long, content binary")
+    assert X.extract_file(none, 3, 10, True).first().error == X.NO_BOOT == X.extract_entry(none, 0).first().error
+
+
+def plain_walk(data, base):
+    """The same walk a block at a time."""
+    pos, cold, seen, out = 0, 0, set(), []
+    while pos + 32 <= len(data):
+        block = data[pos : pos + 32]
+        if any(block):
+            found = X.parse_entry_set(data, pos)
+            if found:
+                out.append(("entry", base + pos))
+                pos += 32 * found[1]
+                continue
+            if set(block) & set(b"yh{v/") and pos >= cold:
+                end = min(pos + 4096, len(data))
+                out += [("link", x[3]) for x in L.matcher().scan(data[pos:end], base + pos, True, seen)]
+                cold = max(end - 128, 0)
+        pos += 32
+    return out
+
+
+def test_combined_scan_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(20):
+        data = bytearray(rng.randrange(20_000))
+        for _ in range(12):
+            at = rng.randrange(len(data) + 1) // 32 * 32
+            data[at:at] = rng.choice([entry_bytes([bytes([0xC1, 0]) + b"a\0" * 15], 15), b"see https://youtu.be/dQw4w9WgX%02d " % rng.randrange(99) + b"h" * 40, bytes(320), b"yyyy" * 100])
+        assert [(r[0], r[1]) for r in X.combined(bytes(data), 7)] == plain_walk(bytes(data), 7)
+    got = Q.exfat_combined(spark, "").collect()
+    assert [(r.kind, r.name) for r in got if r.kind == "link"] == [("link", "dQw4w9WgXcQ")] and sum(r.kind == "entry" for r in got) == 4
+
+
+def test_large_image(spark, tmp_path):
+    """A sparse file of over 2 GiB: carving, entries and files come from byte ranges."""
+    far = (2 << 30) + (5 << 20)
+    path = str(tmp_path / "disk.img")
+    volume = bytearray(Q.exfat_image())
+    with open(path, "wb") as f:
+        f.write(volume)
+        f.seek(far)
+        f.write(Q.golden_image())
+    image = images.large_image(spark, f"file://{path}")
+    links, found, files = N.carve(image, N.Options(chunk_kb=1024))
+    assert [r.video_id for r in links.collect()] == ["dQw4w9WgXcQ"] and links.first().offset >= far
+    assert (files.first().start_offset, files.first().sha256) == (far, "aa9f3519e0f5cfe505c0ee678b5898a027d224e8cc13b4ccf369f429004f943b")
+    entries, _ = X.scan_range(spark, f"file://{path}", limit=8192)
+    small = Q._volume(spark)
+    boots = X.boot_sectors(image)
+    parts = X.extract_files(image, X.entry_sets(C.chunks(image, 8192, X.OVERLAP).where("offset < 8192")), boots)
+    want = {r.name: bytes(r.data) for r in X.extract_files(small, X.entry_sets(C.chunks(small, 8192, X.OVERLAP)), X.boot_sectors(small)).collect()}
+    assert {r.name: bytes(r.data) for r in parts.collect()} == want and [r.filename for r in entries.collect()] == [r.filename for r in X.entry_sets(C.chunks(small, 8192, X.OVERLAP)).orderBy("offset").collect()]
+
+
 def test_golden(spark, tmp_path):
     links, found, files = N.carve(Q.golden(spark))
     assert [(r.video_id, r.pattern_name) for r in links.collect()] == [("dQw4w9WgXcQ", "standard")]
     f = found.first()
-    assert (f.offset, f.size, f.n_links, f.file_type) == (0, 1 << 20, 1, "unknown") or f.file_type == "txt"
+    assert (f.offset, f.size, f.n_links, f.file_type) == (0, 1 << 20, 1, "txt")
     assert f.score == pytest.approx(20.12)
     r = files.first()
     assert (r.filename, r.sha256, r.size_kb) == ("recovered_0001_Title Secret Plan.txt", "aa9f3519e0f5cfe505c0ee678b5898a027d224e8cc13b4ccf369f429004f943b", 39)
@@ -226,6 +317,38 @@ def test_report(spark):
     assert (empty.total_processed, empty.success_rate, empty.candidates_rejected) == (0, 0.0, 3)
 
 
+def test_small_helpers(spark):
+    got = one(spark, T.completion(F.lit(1), F.lit(4)), T.completion(F.lit(1), F.lit(0)), T.hex_offset(F.lit(255)), T.duration(F.lit(3725)), T.kilobytes(F.lit(2)), T.megabytes(F.lit(1 << 20)))
+    assert got[:] == (25.0, 0.0, "0xFF", "01:02:05", 2048, 1.0)
+    assert images.memory_mb("Node 0 MemFree: 1 kB\nNode 0 MemTotal:       32768 kB\n") == 32 and images.memory_mb("x") is None
+    raw = spark.createDataFrame([("a", 600, bytearray(range(200)) * 3)], "path string, length long, content binary")
+    assert len(images.first_bytes(raw).first().head) == 512
+    eta = T.throughput(spark.createDataFrame([("k", i, 10.0, 2.0, 100.0 - 10 * i) for i in range(300)], "k string, t long, mb double, s double, left double"), "k", "t", "mb", "s", "left").where("t = 4").first()
+    assert (eta.current, round(eta.average, 9), round(eta.eta, 9)) == (5.0, 5.0, 12.0)
+
+
+def test_throughput_is_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [rng.random() * 10 ** rng.randrange(9) for _ in range(700)]
+    got = [r.average for r in T.throughput(spark.createDataFrame([("k", i, v, 1.0) for i, v in enumerate(values)], "k string, t long, mb double, s double"), "k", "t", "mb", "s").orderBy("t").collect()]
+    want = [values[0]]
+    for v in values[1:]:
+        want.append(want[-1] * 0.9 + v * 0.1)
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_media_categories(spark, tmp_path):
+    classify = lambda t: F.struct(F.substring(t, 1, 1).alias("category"), F.when(t.contains("?"), 0.2).otherwise(0.9).alias("confidence"))
+    rows = [("a.info.json", '{"title": "News", "description": "d"}'), ("a.mp4", None), ("b.info.json", '{"title": "Who?"}'), ("b.en.vtt", "?"), ("b.vtt", "Sport"), ("c.mp4", "x"), ("d.info.json", "broken")]
+    files = spark.createDataFrame(rows, "name string, text string")
+    got = {r.name: r.category for r in M.categorised(files, classify).collect()}
+    assert got == {"a.info.json": "N", "a.mp4": "N", "b.info.json": "S", "b.en.vtt": "S", "b.vtt": "S", "c.mp4": "Unknown", "d.info.json": " "}
+    M.sort_into(M.categorised(files, classify), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "category=N").is_dir()
+
+
 def test_options():
     assert N.Options().check() is None
     assert N.Options(chunk_kb=0).check() and N.Options(chunk_min_kb=4096).check() and N.Options(profile="x").check()
@@ -256,11 +379,36 @@ def test_resume(spark, tmp_path):
 def test_stream_links(spark, tmp_path):
     schema = "path string, chunk_id long, chunk_seq long, offset long, data binary"
     where = [str(tmp_path / x) for x in ("chunks", "out", "state")]
+    told, hot = [], []
     for i in range(2):
-        rows = [("p", i, i, i * 100, bytearray(b"see https://youtu.be/dQw4w9WgXc%d" % i))]
+        text = b"see https://youtu.be/dQw4w9WgXc%d " % i + "Привет, как дела ".encode() * 1000
+        rows = [("p", i, i, i * 100, bytearray(text))] + [("q", i, i, 0, bytearray(6 << 20))]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(where[0])
-        R.stream_links(spark, where[0], schema, where[1], where[2])
-        assert spark.read.parquet(f"{where[1]}/links").count() == i + 1
+        got = R.stream_links(spark, where[0], schema, where[1], where[2], told.append, hot.append)
+        assert got["links"].count() == i + 1 and got["bytes_scanned"] == (6 << 20) + len(text)
+    assert [x["bytes_scanned"] > R.PROGRESS for x in told] == [True, True]
+    assert [(x["path"], x["confidence"] == x["score"] / 10) for x in hot] == [("p", True)] * 2
+    # a batch that is run again replaces its rows
+    import shutil
+
+    shutil.rmtree(where[2])
+    R.stream_links(spark, where[0], schema, where[1], where[2])
+    assert spark.read.parquet(f"{where[1]}/links").where("epoch = 0").count() == 2
+    assert spark.read.parquet(f"{where[1]}/progress").where("epoch = 0").count() == 2
+
+
+def test_a_bad_chunk_gives_an_error_row(spark, monkeypatch):
+    rows = [("p", i, i, 0, d) for i, d in enumerate([bytearray(b"https://youtu.be/dQw4w9WgXcQ"), bytearray(b"boom v=")])]
+
+    def scan(self, data, base, dedup, seen=None, plain=L.Matcher.scan):
+        if b"boom" in data:
+            raise ValueError("bad")
+        return plain(self, data, base, dedup, seen)
+
+    monkeypatch.setattr(L.Matcher, "scan", scan)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("path", "chunk_id", "chunk_seq", "offset", "data"), (*r[:4], bytes(r[4])), strict=True)) for r in rows])
+    got = [x for out in L._scan(True)([batch]) for x in out.to_pylist()]
+    assert [(r["chunk_id"], r["video_id"], r["error"]) for r in got] == [(0, "dQw4w9WgXcQ", None), (1, None, "ValueError: bad")]
 
 
 def test_sink_writes_in_place(spark, tmp_path):
