@@ -41,22 +41,28 @@ def jaccard_pairs(rows: DataFrame, id_: str, items: str, threshold: float, *equa
 
     Prefix filter: items are ranked by document frequency, and two sets that are similar enough share one of the rarest
     n - ceil(threshold * n) + 1 items of each. Only these are posted, so a very common item is joined on only where a
-    set has nothing rarer. Pairs that meet are confirmed on the full sets."""
+    set has nothing rarer. Where two sets meet at an item, what is left of both behind it must still suffice (it does at the
+    first item they share). Pairs that meet are confirmed on the full sets. Items are numbered once; rows and sets are
+    written to the scratch folder, so that no set is worked out twice."""
     if threshold <= 0:
         raise ValueError("threshold must be over 0: at 0 all pairs match")
-    one = rows.select(*equal, F.col(id_).alias("id"), F.array_distinct(items).alias("set")).where(F.size("set") > 0)
+    scratch = Scratch(rows.sparkSession, "jaccard")
+    one = scratch.save(rows.select(*equal, F.col(id_).alias("id"), F.array_distinct(items).alias("set")).where(F.size("set") > 0))
     post = one.select("id", F.explode("set").alias("item"))
-    df = post.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = post.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
-    n = F.size("ranked")
-    prefix = ranked.select("id", n.alias("n"), F.explode(F.slice("ranked", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("r"))
-    prefix = prefix.where("r.df > 1").select("id", "n", F.col("r.item").alias("item")).join(one.select("id", *equal), "id")
+    df = scratch.save(post.groupBy("item").agg(F.count("*").alias("n")).select("item", "n", F.monotonically_increasing_id().alias("code")))
+    coded = hot_join(post, df, ["item"], hot_keys(df, ["item"], scratch))
+    ranked = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "code"))).alias("r"))
+    sets = scratch.save(ranked.select("id", F.size("r").alias("n"), F.col("r.n").alias("df"), F.col("r.code").alias("codes")).join(one.select("id", *equal), "id"))
+    n = F.col("n")
+    prefix = sets.select("id", "n", "df", *equal, F.posexplode(F.slice("codes", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("at", "item"))
+    prefix = prefix.where(F.get("df", F.col("at")) > 1).drop("df")
     keys = [*equal, "item"]
-    x = prefix.select(*keys, F.col("id").alias("a"), F.col("n").alias("na"))
-    y = prefix.select(*keys, F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = x.join(y, keys).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    sets = one.select("id", "set")
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    x = prefix.select(*keys, F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = prefix.select(*keys, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # the least overlap that suffices is threshold / (1 + threshold) of both sizes; the tolerance covers rounding
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    met = x.join(y, keys).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & enough).select("a", "b").distinct()
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("codes").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("codes").alias("sb")), "b")
     return both.select("a", "b", O.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -71,11 +77,22 @@ def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 def affinity_pairs(fragments: DataFrame, threshold: float = 0.75, decay: float = 10.0) -> DataFrame:
     """(a, b, affinity) of fragments (id, offset, words, links, vector): the words' Jaccard, or the vectors' cosine
     where one has no words; the links' Jaccard if over 0.5 and larger; times exp(-decay * distance / 100 MB). Pairs whose
-    decay factor is under 0.1 are out of reach, which bounds the band."""
+    decay factor is under 0.1 are out of reach, which bounds the band.
+
+    Where both have words, a pair reaches the threshold only by its words or its links, so such pairs come from two
+    Jaccard joins; only fragments without words are compared with all in reach."""
     mb = 1024.0 * 1024.0
-    side = lambda s: fragments.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "offset", "words", "links", "vector")))
+    columns = ("id", "offset", "words", "links", "vector")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in columns))
     reach = 100.0 * 2.302585092994046 / decay * mb
-    pairs = band_join(side("a"), side("b"), "offset_a", "offset_b", reach, F.col("id_a") < F.col("id_b"))
+    bare, worded = fragments.where("words is null"), fragments.where("words is not null")
+    near = lambda x, y: band_join(side(x, "a"), side(y, "b"), "offset_a", "offset_b", reach, F.col("id_a") < F.col("id_b"))
+    if threshold > 0:
+        alike = jaccard_pairs(worded, "id", "words", threshold).select("a", "b").unionAll(jaccard_pairs(worded, "id", "links", threshold).select("a", "b")).distinct()
+        pairs = alike.join(side(worded, "a"), F.col("a") == F.col("id_a")).join(side(worded, "b"), F.col("b") == F.col("id_b")).drop("a", "b")
+        pairs = pairs.unionByName(near(bare, fragments)).unionByName(near(worded, bare))
+    else:
+        pairs = near(fragments, fragments)
     factor = F.exp(-decay * F.abs(F.col("offset_a") - F.col("offset_b")) / mb / 100.0)
     like = F.when(F.col("words_a").isNotNull() & F.col("words_b").isNotNull(), O.jaccard(F.col("words_a"), F.col("words_b"))).otherwise(O.cosine(F.col("vector_a"), F.col("vector_b")))
     linked = O.jaccard(F.col("links_a"), F.col("links_b"))

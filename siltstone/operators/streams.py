@@ -1,16 +1,21 @@
-"""Assembly of fragments into ordered streams."""
+"""Assembly of fragments into ordered streams.
+
+An image's fragments, in order of offset, are cut into pieces wherever a gap over max_gap follows all that came before: no
+edge crosses it, so pieces are independent. Edges are worked out in blocks of max_lookback rows with the block before
+them, as products of small matrices. The heaviest path of a piece is one pass over its edges; the path of an image is
+that of its best piece, and what is left is solved again for the next stream."""
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions import octets as O
+from siltstone.functions.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -28,98 +33,133 @@ class Weights:
     max_lookback: int = 200
 
 
+def pieces(fragments: DataFrame, max_gap: int, group: str = "image") -> DataFrame:
+    """Adds `piece`, the offset at which the row's piece begins.
+
+    Running maxima are two-level (ranges of offsets, then rows inside one), so no task orders a whole image."""
+    width = max(1, max_gap) * 256
+    rows = fragments.withColumn("_end", F.col("offset") + F.col("size")).withColumn("_range", F.floor(F.col("offset") / width))
+    inside, before = W.partitionBy(group, "_range").orderBy("offset", "id"), W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy(group, "_range").agg(F.max("_end").alias("_m")).select(group, "_range", F.max("_m").over(before).alias("_far"))
+    # end of all rows before this one
+    so_far = F.greatest("_far", F.max("_end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    begins = F.when(so_far.isNull() | (F.col("offset") - so_far > max_gap), F.col("offset"))
+    rows = rows.join(ends, [group, "_range"]).withColumn("_begins", begins)
+    starts = rows.groupBy(group, "_range").agg(F.max("_begins").alias("_m")).select(group, "_range", F.max("_m").over(before).alias("_last"))
+    piece = F.greatest("_last", F.max("_begins").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.join(starts, [group, "_range"]).withColumn("piece", piece).drop("_end", "_range", "_far", "_begins", "_last")
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def _jaccard(sets: list) -> np.ndarray:
+    """Jaccard similarity of every two of the sets; 0 of empty ones."""
+    names = {x: k for k, x in enumerate(sorted({x for s in sets for x in s or ()}))}
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[x] for x in s or ()]] = 1
+    both = held @ held.T
+    size = held.sum(axis=1)
+    union = size[:, None] + size[None, :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0).astype(float)
+
+
+def _scored(w: Weights, group: str):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("rn").to_numpy(),))
+        table = table.take(pa.array(order))
+        get = lambda c: table.column(c).to_numpy()
+        rn, at, size = get("rn"), get("offset"), get("size")
+        kind, ok = np.array(table.column("file_type").to_pylist(), object), np.array(table.column("structured").to_pylist(), bool)
+        new = np.flatnonzero(get("own"))  # the rows of this block look back; those of the block before are looked at
+        end = at + size
+        gap, overlap = (np.maximum(x, 0) for x in (at[None, new] - end[:, None], end[:, None] - at[None, new]))
+        reach = (rn[:, None] < rn[None, new]) & (rn[None, new] - rn[:, None] <= w.max_lookback)
+        # the nearest earlier row with too large a gap ends the look-back
+        stop = np.where(reach & (gap > w.max_gap), rn[:, None], -1).max(axis=0)
+        good = reach & (rn[:, None] > stop[None, :]) & (overlap <= w.max_overlap)
+        unit = _unit(np.array(table.column("vector").to_pylist(), float))
+        score = w.cosine_weight * (unit @ unit[new].T) + w.jaccard_weight * _jaccard(table.column("links").to_pylist())[:, new]
+        score += np.where(kind[:, None] == kind[None, new], w.type_match_bonus, -w.type_mismatch_penalty) + w.structure_bonus * (ok[:, None] & ok[None, new])
+        for weight, x, most in ((w.gap_penalty, gap, w.max_gap), (w.overlap_penalty, overlap, w.max_overlap)):
+            score -= weight * x / most if most else 0.0
+        i, j = np.nonzero(good & (score >= w.min_edge_score))
+        ids, k = get("id"), new[j]
+        image = table.column(group).combine_chunks().take(pa.array(i))
+        piece = table.column("piece").combine_chunks().take(pa.array(i))
+        return pa.table([image, piece, pa.array(ids[i]), pa.array(ids[k]), pa.array(gap[i, j]), pa.array(overlap[i, j]), pa.array(score[i, j])], names=[group, "piece", "a", "b", "gap", "overlap", "score"])
+
+    return run
+
+
 def edges(fragments: DataFrame, weights: Weights = Weights(), group: str = "image") -> DataFrame:
-    """(image, a, b, gap, overlap, score) of fragments (image, id, offset, size, file_type, structured, links, vector)
-    with an edge: b follows a by offset, at most max_lookback rows later and before the first gap over max_gap.
-
-    A row's reach back is found with window functions; pairs are an equi-join on (image, stretch of rows)."""
-    w = W.partitionBy(group).orderBy("offset", "id")
-    rows = fragments.withColumn("rn", F.row_number().over(w)).withColumn("end", F.col("offset") + F.col("size"))
-    n = weights.max_lookback
-    cut = F.floor(F.col("rn") / n)
-    left = rows.select(group, *(F.col(c).alias(f"{c}_a") for c in ("id", "rn", "offset", "end", "file_type", "structured", "links", "vector")), cut.alias("stretch"))
-    right = rows.select(group, *(F.col(c).alias(f"{c}_b") for c in ("id", "rn", "offset", "file_type", "structured", "links", "vector")), F.explode(F.array(cut, cut - 1)).alias("stretch"))
-    near = left.join(right, [group, "stretch"]).where((F.col("rn_a") < F.col("rn_b")) & (F.col("rn_b") - F.col("rn_a") <= n))
-    gap = F.greatest(F.col("offset_b") - F.col("end_a"), F.lit(0))
-    overlap = F.greatest(F.col("end_a") - F.col("offset_b"), F.lit(0))
-    # the look-back of b ends at the nearest earlier row whose gap is too large
-    near = near.withColumn("gap", gap).withColumn("overlap", overlap)
-    stop = F.max(F.when(F.col("gap") > weights.max_gap, F.col("rn_a"))).over(W.partitionBy(group, "id_b"))
-    near = near.withColumn("stop", F.coalesce(stop, F.lit(0))).where("rn_a > stop").where(F.col("overlap") <= weights.max_overlap)
-    score = -weights.gap_penalty * F.col("gap") / weights.max_gap - weights.overlap_penalty * F.col("overlap") / weights.max_overlap
-    score = score + F.when(F.col("file_type_a") == F.col("file_type_b"), weights.type_match_bonus).otherwise(-weights.type_mismatch_penalty)
-    score = score + weights.cosine_weight * O.cosine(F.col("vector_a"), F.col("vector_b")) + weights.jaccard_weight * O.jaccard(F.col("links_a"), F.col("links_b"))
-    score = score + F.when(F.col("structured_a") & F.col("structured_b"), weights.structure_bonus).otherwise(0.0)
-    return near.select(group, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "gap", "overlap", score.alias("score")).where(F.col("score") >= weights.min_edge_score)
-
-
-def edge_score(a: dict, b: dict, w: Weights) -> float | None:
-    """Score of b after a, plain; None without an edge."""
-    end = a["offset"] + a["size"]
-    gap, overlap = max(b["offset"] - end, 0), max(end - b["offset"], 0)
-    if gap > w.max_gap or overlap > w.max_overlap:
-        return None
-    score = (-w.gap_penalty * gap / w.max_gap if w.max_gap else 0.0) - (w.overlap_penalty * overlap / w.max_overlap if w.max_overlap else 0.0)
-    score += w.type_match_bonus if a["file_type"] == b["file_type"] else -w.type_mismatch_penalty
-    va, vb = np.asarray(a["vector"], float), np.asarray(b["vector"], float)
-    norm = np.linalg.norm(va) * np.linalg.norm(vb)
-    both, union = len(a["links"] & b["links"]), len(a["links"] | b["links"])
-    score += w.cosine_weight * (float(va @ vb) / norm if norm else 0.0) + w.jaccard_weight * (both / union if union else 0.0)
-    if a["structured"] and b["structured"]:
-        score += w.structure_bonus
-    return score if score >= w.min_edge_score else None
-
-
-def best_path(rows: list[dict], w: Weights) -> tuple[list[int], list[float], float]:
-    """Heaviest path over rows sorted by offset: (indices, edge scores, total). Of equal ends the last wins, of equal
-    predecessors the nearest."""
-    best, back, into = [], [], []
-    for i, b in enumerate(rows):
-        own = b["score"]
-        top, prev, edge_in = own, None, 0.0
-        for j in range(i - 1, max(-1, i - 1 - w.max_lookback), -1):
-            a = rows[j]
-            if b["offset"] - (a["offset"] + a["size"]) > w.max_gap:
-                break
-            e = edge_score(a, b, w)
-            if e is not None and best[j] + e + own > top:
-                top, prev, edge_in = best[j] + e + own, j, e
-        best.append(top)
-        back.append(prev)
-        into.append(edge_in)
-    at: int | None = max(range(len(rows)), key=lambda i: (best[i], i))
-    total = best[at]
-    path, scores = [], []
-    while at is not None:
+    """(image, piece, a, b, gap, overlap, score) of fragments (image, id, offset, size, file_type, structured, links, vector)
+    with an edge: b follows a by offset, at most max_lookback rows later and before the first gap over max_gap."""
+    rows = fragments if "piece" in fragments.columns else pieces(fragments, weights.max_gap, group)
+    rows = rows.withColumn("rn", F.row_number().over(W.partitionBy(group, "piece").orderBy("offset", "id")).cast("long"))
+    block = F.floor(F.col("rn") / max(1, weights.max_lookback))
+    rows = rows.select(group, "piece", F.col("id").cast("long").alias("id"), "rn", F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"), "file_type", "structured", "links", "vector", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))).alias("x"))
+    rows = rows.select("*", "x.block", "x.own").drop("x")
+    image = rows.schema[group].dataType.simpleString()
+    return rows.groupBy(group, "piece", "block").applyInArrow(_scored(weights, group), f"{group} {image}, piece long, a long, b long, gap long, overlap long, score double")
+
+
+def _heaviest(table: pa.Table) -> pa.Table:
+    """The heaviest path of one piece's rows (id, offset, score, into: edges from earlier rows), in order. Of equal ends the
+    last wins, of equal predecessors the nearest."""
+    table = table.take(pa.array(np.lexsort((table.column("id").to_numpy(), table.column("offset").to_numpy()))))
+    place = {x: i for i, x in enumerate(table.column("id").to_pylist())}
+    own, into = table.column("score").to_pylist(), table.column("into").to_pylist()
+    weight, back, step = list(own), [-1] * len(own), [0.0] * len(own)
+    for i, arcs in enumerate(into):
+        # a path that adds nothing is not taken up
+        top, nearest = max(((weight[place[e["a"]]] + e["score"], place[e["a"]]) for e in arcs or ()), default=(0.0, -1))
+        if top > 0:
+            weight[i], back[i] = own[i] + top, nearest
+            step[i] = top - weight[nearest]
+    at = max(range(len(own)), key=lambda i: (weight[i], i))
+    total, path = weight[at], []
+    while at >= 0:
         path.append(at)
-        if back[at] is not None:
-            scores.append(into[at])
         at = back[at]
-    return path[::-1], scores[::-1], total
+    path.reverse()
+    out = table.select(["image", "piece", "id", "offset", "size"]).take(pa.array(path))
+    scores = [step[i] for i in path[1:]]
+    mean = sum(scores) / len(scores) if scores else 0.0
+    for name, value in (("position", list(range(len(path)))), ("total", [total] * len(path)), ("mean", [mean] * len(path)), ("length", [len(path)] * len(path))):
+        out = out.append_column(name, pa.array(value))
+    return out
 
 
-STREAM = "image long, stream long, position long, id long, offset long, size long, total_score double, confidence double, reasons array<string>"
+PATH = "image {image}, piece long, id long, offset long, size long, position long, total double, mean double, length long"
 
 
 def assemble(fragments: DataFrame, weights: Weights = Weights(), max_streams: int = 3) -> DataFrame:
-    """Up to max_streams streams of each image, peeled off one by one: the heaviest path, then that of the rest.
-
-    The path is a sequential fold, so an image's fragments (not its bytes) meet in one task; images run in parallel.
-    fragments: image, id, offset, size, file_type, score (base + overall), structured, links, vector."""
-    w, most = asdict(weights), max(1, max_streams)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r | {"links": set(r["links"] if r["links"] is not None else ())} for r in pdf.sort_values(["offset", "id"]).to_dict("records")]
-        out = []
-        for s in range(most):
-            if not rows:
-                break
-            path, scores, total = best_path(rows, Weights(**w))
-            mean = sum(scores) / len(scores) if scores else 0.0
-            reasons = [f"fragments={len(path)}", f"avg_edge_score={mean:.2f}", f"path_score={total:.2f}"]
-            out += [(rows[i]["image"], s, k, rows[i]["id"], rows[i]["offset"], rows[i]["size"], total, max(total / len(path), 0.0), reasons) for k, i in enumerate(path)]
-            used = set(path)
-            rows = [r for i, r in enumerate(rows) if i not in used]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STREAM.split(", ")])
-
-    return fragments.groupBy("image").applyInPandas(run, STREAM)
+    """(image, stream, position, id, offset, size, total_score, confidence, reasons): up to max_streams streams of each image,
+    peeled off one by one: the heaviest path, then that of the rest.
+
+    fragments: image, id, offset, size, file_type, score (base + overall), structured, links, vector. A task holds the rows
+    of one piece without their vectors; images and pieces run in parallel."""
+    scratch = Scratch(fragments.sparkSession, "assemble")
+    left = scratch.save(fragments.withColumns({c: F.col(c).cast("long") for c in ("id", "offset", "size")}))
+    streams = []
+    for stream in range(max(1, max_streams)):
+        rows = pieces(left, weights.max_gap)
+        arcs = edges(rows, weights).groupBy("image", "piece", F.col("b").alias("id")).agg(F.collect_list(F.struct("a", "score")).alias("into"))
+        nodes = rows.select("image", "piece", "id", "offset", "size", "score").join(arcs, ["image", "piece", "id"], "left")
+        image = nodes.schema["image"].dataType.simpleString()
+        paths = scratch.save(nodes.groupBy("image", "piece").applyInArrow(_heaviest, PATH.format(image=image)))
+        best = paths.where("position = 0").groupBy("image").agg(F.max(F.struct("total", "piece")).alias("b")).select("image", "b.piece")
+        path = scratch.save(paths.join(best, ["image", "piece"], "left_semi"))
+        if path.isEmpty():
+            break
+        streams.append(path.withColumn("stream", F.lit(stream).cast("long")))
+        left = scratch.save(left.join(path.select("image", "id"), ["image", "id"], "left_anti"))
+    out = streams[0] if streams else path.withColumn("stream", F.lit(0).cast("long"))
+    for more in streams[1:]:
+        out = out.unionAll(more)
+    reasons = F.array(F.format_string("fragments=%d", "length"), F.format_string("avg_edge_score=%.2f", "mean"), F.format_string("path_score=%.2f", "total"))
+    return out.select("image", "stream", "position", "id", "offset", "size", F.col("total").alias("total_score"), F.greatest(F.col("total") / F.col("length"), F.lit(0.0)).alias("confidence"), reasons.alias("reasons"))

@@ -156,6 +156,26 @@ def stream_paths(spark, sf_dir):
     return A.assemble(_nodes(spark, sf_dir), _W, 3)
 
 
+@query()
+def stream_edges_full(spark, sf_dir):
+    """The edges at the default weights: 200 rows back, gaps of 1 MiB."""
+    nodes = Scratch(spark, "nodes").save(_nodes(spark, sf_dir))
+    return A.edges(nodes).select("image", "a", "b", "gap", "overlap", F.round("score", 5).alias("score"))
+
+
+@query()
+def stream_paths_full(spark, sf_dir):
+    return A.assemble(_nodes(spark, sf_dir))
+
+
+@query()
+def cluster_edges_full(spark, sf_dir):
+    """The affinities at the default decay and threshold, by words where both fragments have some."""
+    words = V.word_set(F.col("text"), F.encode("text", "UTF-8"))
+    f = D.fragments(spark, sf_dir).select(F.col("doc_id").alias("id"), "offset", words.alias("words"), F.array("vid").alias("links"), O.byte_frequency("data").alias("vector"))
+    return G.affinity_pairs(Scratch(spark, "affinity").save(f)).select("a", "b", F.round("affinity", 6).alias("affinity"))
+
+
 # ---------------------------------------------------------------- exFAT
 
 

@@ -190,6 +190,78 @@ def test_streams(spark):
     assert edges[0, 2] == 28.8487
 
 
+def plain_streams(rows, w, most):
+    """Edges and streams of one image's rows (id, offset, size, kind, score, structured, links, vector) by definition."""
+    import itertools
+    import math
+
+    def score(a, b):
+        gap, overlap = max(b[1] - a[1] - a[2], 0), max(a[1] + a[2] - b[1], 0)
+        dot = sum(x * y for x, y in zip(a[7], b[7], strict=True))
+        size = math.sqrt(sum(x * x for x in a[7])) * math.sqrt(sum(x * x for x in b[7]))
+        union = len(set(a[6]) | set(b[6]))
+        s = w.cosine_weight * (dot / size if size else 0) + w.jaccard_weight * (len(set(a[6]) & set(b[6])) / union if union else 0)
+        s += (w.type_match_bonus if a[3] == b[3] else -w.type_mismatch_penalty) + w.structure_bonus * (a[5] and b[5])
+        return gap, overlap, s - w.gap_penalty * gap / w.max_gap - w.overlap_penalty * overlap / w.max_overlap
+
+    def edges_of(rows):
+        out = {}
+        for j, b in enumerate(rows):
+            for a in itertools.takewhile(lambda a: b[1] - a[1] - a[2] <= w.max_gap, reversed(rows[max(0, j - w.max_lookback) : j])):  # noqa: B023
+                gap, overlap, s = score(a, b)
+                if overlap <= w.max_overlap and s >= w.min_edge_score:
+                    out[a[0], b[0]] = s
+        return out
+
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    first, streams = edges_of(rows), []
+    while rows and len(streams) < most:
+        arcs, best = edges_of(rows), {}
+        for i, r in enumerate(rows):  # every path's weight, by its last row
+            best[r[0]] = max([(r[4], 1, [r[0]])] + [(best[a[0]][0] + arcs[a[0], r[0]] + r[4], 2 + k, [*best[a[0]][2], r[0]]) for k, a in enumerate(rows[:i]) if (a[0], r[0]) in arcs and best[a[0]][0] + arcs[a[0], r[0]] > 0], key=lambda x: x[:2])
+        total, _, path = max(((*best[r[0]][:1], i, best[r[0]][2]) for i, r in enumerate(rows)), key=lambda x: x[:2])
+        streams.append((total, path))
+        rows = [r for r in rows if r[0] not in path]
+    return first, streams
+
+
+def test_streams_equal_a_plain_solution(spark):
+    import random
+
+    rng = random.Random(5)
+    w = A.Weights(max_gap=100, max_overlap=40, max_lookback=4)
+    images_, rows = {}, []
+    for image in range(12):
+        at, mine = 0, []
+        for k in range(rng.randrange(1, 40)):
+            at += rng.choice([0, 10, 60, 90, 130, 400])
+            mine.append((k, at, rng.choice([5, 50, 120]), rng.choice("ab"), rng.choice([-30.0, 5.0, 20.0, rng.random()]), rng.random() < 0.5, rng.sample("wxyz", rng.randrange(3)), [rng.random() for _ in range(4)]))
+        images_[image] = mine
+        rows += [(image, *r) for r in mine]
+    df = spark.createDataFrame(rows, "image long, id long, offset long, size long, file_type string, score double, structured boolean, links array<string>, vector array<double>").repartition(3)
+    found, got = {}, {}
+    for r in A.edges(df, w).collect():
+        found.setdefault(r.image, {})[r.a, r.b] = r.score
+    for r in sorted(A.assemble(df, w, 3).collect(), key=lambda r: (r.stream, r.position)):
+        got.setdefault((r.image, r.stream), (r.total_score, []))[1].append(r.id)
+    for image, mine in images_.items():
+        arcs, streams = plain_streams(mine, w, 3)
+        assert found.get(image, {}) == pytest.approx(arcs)
+        assert [got[image, k][1] for k in range(len(streams))] == [p for _, p in streams] and (image, len(streams)) not in got
+        assert [got[image, k][0] for k in range(len(streams))] == pytest.approx([t for t, _ in streams])
+
+
+def test_affinity_by_words_links_and_distance(spark):
+    import math
+
+    mb = 1 << 20
+    rows = [(0, 0, ["aaaa", "bbbb"], ["x"], [1.0, 0.0]), (1, mb, ["aaaa", "bbbb"], ["x"], [0.0, 1.0]), (2, 2 * mb, None, ["x"], [1.0, 0.0]), (3, 30 * mb, ["aaaa", "bbbb"], [], [1.0, 0.0]), (4, 2 * mb, ["cccc"], ["x"], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, offset long, words array<string>, links array<string>, vector array<double>")
+    got = {(r.a, r.b): r.affinity for r in G.affinity_pairs(df).collect()}
+    e = lambda d: math.exp(-d / 10)
+    assert got == pytest.approx({(0, 1): e(1), (0, 2): e(2), (1, 2): e(1), (2, 4): 1.0, (0, 4): e(2), (1, 4): e(1)})
+
+
 def test_exfat(spark):
     boot = X.boot_sectors(Q._volume(spark)).first().boot
     assert (boot.sector_size, boot.cluster_size, boot.fat_offset, boot.cluster_heap_offset, boot.cluster_count, boot.root_dir_cluster) == (512, 512, 512, 1024, 12, 2)
