@@ -219,25 +219,45 @@ def _volume_entries(spark):
     return images, boots, X.entry_sets(parts)
 
 
-@query()
+def _int(at: str, n: int) -> str:
+    """DuckDB: little-endian integer of n bytes of the hexadecimal string x, from byte `at` on."""
+    return "try_cast('0x' || " + " || ".join(f"substr(x, (2 * ({at} + {i}) + 1)::INT, 2)" for i in reversed(range(n))) + " AS BIGINT)"
+
+
+#: DuckDB: the volume's bytes (i), boot parameters (b), directory entries (e), table (t), chains (h), from the hexadecimal string.
+_EXFAT = f"""WITH RECURSIVE i AS (SELECT '{exfat_image().hex().upper()}' AS x),
+b AS (SELECT x, 2 ** {_int("108", 1)} AS sector, 2 ** {_int("109", 1)} * 2 ** {_int("108", 1)} AS cluster, {_int("80", 4)} AS fat, {_int("84", 4)} AS fat_length, {_int("88", 4)} AS heap, {_int("92", 4)} AS clusters, {_int("96", 4)} AS root FROM i WHERE substr(x, 7, 16) = '4558464154202020'),
+s AS (SELECT x, 32 * k AS o, {_int("32 * k", 1)} AS kind, {_int("32 * k + 1", 1)} AS more, {_int("32 * k + 32", 1)} AS ext FROM i, (SELECT unnest(range(255)) AS k)),
+e AS (SELECT o, 1 + more AS consumed, kind = 5 AS is_deleted, {_int("o + 35", 1)} AS letters, {_int("o + 52", 4)} AS first_cluster, {_int("o + 56", 7)} AS size, {_int("o + 33", 1)} & 2 = 2 AS no_fat_chain,
+  coalesce(list_aggregate(list_slice(list_filter(list_transform(range(15 * (more - 1)), lambda u: {_int("o + 64 + 32 * (u // 15) + 2 + 2 * (u % 15)", 2)}), lambda u: u > 0), 1, {_int("o + 35", 1)}), 'string_agg', ','), '') AS units FROM s WHERE kind IN (133, 5) AND more >= 2 AND ext IN (192, 64)),
+f AS (SELECT e.*, CASE WHEN units = '' THEN '' ELSE array_to_string(list_transform(string_split(units, ','), lambda u: chr(u::INT)), '') END AS filename, ceil(size / 512)::BIGINT AS n FROM e WHERE first_cluster >= 2 OR size = 0),
+t AS (SELECT c, {_int("512 + 4 * c", 4)} AS next FROM i, (SELECT unnest(range(2, 14)) AS c)),
+h AS (SELECT o, n, 0 AS position, first_cluster AS c, [first_cluster] AS seen FROM f WHERE n > 0
+  UNION ALL SELECT h.o, h.n, position + 1, z, list_append(seen, z) FROM (SELECT h.*, CASE WHEN f.no_fat_chain THEN h.c + 1 ELSE t.next END AS z FROM h JOIN f ON f.o = h.o JOIN t ON t.c = h.c) h WHERE position + 1 < n AND z BETWEEN 2 AND 13 AND NOT list_contains(seen, z))"""
+
+
+@query(f"{_EXFAT} SELECT 'volume' AS path, sector::BIGINT AS sector_size, cluster::BIGINT AS cluster_size, (fat * sector)::BIGINT AS fat_offset, fat_length AS fat_length_sectors, (heap * sector)::BIGINT AS cluster_heap_offset, clusters AS cluster_count, root AS root_dir_cluster, 0::BIGINT AS boot_sector_offset FROM b")
 def exfat_boot(spark, sf_dir):
     return X.boot_sectors(_volume(spark)).select("path", "boot.*")
 
 
-@query()
+@query(f"{_EXFAT} SELECT 'volume' AS path, o::BIGINT AS \"offset\", consumed::INT AS consumed, is_deleted, filename, size, first_cluster, no_fat_chain, (heap * sector + (first_cluster - 2) * cluster)::BIGINT AS data_offset FROM f, b")
 def exfat_entries(spark, sf_dir):
     images, boots, entries = _volume_entries(spark)
     return X.with_data_offset(entries, boots).drop("boot")
 
 
-@query()
+@query(f"{_EXFAT} SELECT 'volume' AS path, o::BIGINT AS \"offset\", position::INT AS position, c AS cluster FROM h")
 def exfat_chains(spark, sf_dir):
     images, boots, entries = _volume_entries(spark)
     files = entries.select("path", "offset", "first_cluster", F.ceil(F.col("size") / 512).alias("n_clusters"), "no_fat_chain")
     return X.cluster_chains(files, X.fat_table(images, boots))
 
 
-@query()
+@query(
+    f"""{_EXFAT}, d AS (SELECT h.o, string_agg(substr(x, (2 * (heap * sector + (c - 2) * cluster) + 1)::INT, (2 * cluster)::INT), '' ORDER BY position) AS bytes FROM h, b GROUP BY h.o)
+    SELECT 'volume' AS path, f.o::BIGINT AS "offset", CASE WHEN filename <> '' THEN filename ELSE concat('recovered_0x', printf('%X', f.o), '.bin') END AS name, (length(substr(bytes, 1, 2 * size)) // 2)::INT AS size, sha256(unhex(substr(bytes, 1, 2 * size))) AS sha256, is_deleted FROM f JOIN d ON d.o = f.o"""
+)
 def exfat_carve(spark, sf_dir):
     images, boots, entries = _volume_entries(spark)
     return X.extract_files(images, entries, boots).select("path", "offset", "name", F.length("data").alias("size"), F.sha2("data", 256).alias("sha256"), "is_deleted")
