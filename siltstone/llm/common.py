@@ -7,10 +7,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.scratch import Scratch
+from siltstone.functions import scratch
 from siltstone.operators.graph import components
 
 __all__ = ["Scratch", "components"]
+BATCH_ROWS = 1000
+
+
+class Scratch(scratch.Scratch):
+    """Scratch tables whose rows reach Python in batches of BATCH_ROWS at most: texts may be long, pairs of texts more so."""
+
+    def save(self, df: DataFrame) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(BATCH_ROWS))
+        try:
+            return super().save(df)
+        finally:
+            self.spark.conf.set(name, before)
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,7 +147,7 @@ def shingles(word: np.ndarray, row_at: np.ndarray, k: int = 5) -> tuple[np.ndarr
     return out, at
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """Slices of the batch with about `most` bytes of text each (a longer text stands alone)."""
     at = np.frombuffer(batch.column(text).cast(pa.large_string()).buffers()[1], dtype=np.int64)[: batch.num_rows + 1] if batch.num_rows else np.zeros(1, np.int64)
     i = 0
