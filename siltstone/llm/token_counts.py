@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import common
 
-CACHE = 500_000
+CACHE = 1_000_000
 #: A table of so many code points has counts under 256.
 SHORT = 60
+#: Bytes of a pre-token whose states are kept for others that begin alike; bytes up to which states are lists.
+HEAD, LISTS = 5, 4096
 #: The pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,17 +53,23 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tables(dict):
-    """Prefix tables by pre-token; what is missing is worked out, and kept if it is short."""
+    """Prefix tables by pre-token; what is missing is worked out, and kept if it is short. When half of CACHE is full, these
+    become the older half, of which only those met again are taken over, so that common pre-tokens stay."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece: str):
-        out = self.make(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = out = bytes(out.tolist())
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = self.make(piece)
+            if len(piece) > SHORT:
+                return out
+            out = bytes(out if isinstance(out, list) else out.tolist())
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
@@ -97,6 +105,7 @@ class PrefixCounter:
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
         self.tables = Tables(self._table)
 
     def _valid(self, a: int, b: int) -> bool:
@@ -115,11 +124,18 @@ class PrefixCounter:
             else:
                 next_b, b = b, self.left[b]
 
-    def _counts(self, raw: bytes) -> array:
+    def _counts(self, raw: bytes) -> list[int] | array:
         """Tokens of each prefix of a pre-token's bytes."""
-        endings, pairs, n = self.endings.get, self.pairs, len(raw)
-        last, count = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
-        for i in range(1, n + 1):
+        endings, pairs, n, start = self.endings.get, self.pairs, len(raw), 1
+        head = raw[:HEAD] if n > HEAD else None
+        known = self.heads.get(head) if head else None
+        if n > LISTS:
+            last, count = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        elif known:
+            last, count, start = known[0] + [0] * (n - HEAD), known[1] + [0] * (n - HEAD), HEAD + 1
+        else:
+            last, count = [0] * (n + 1), [0] * (n + 1)
+        for i in range(start, n + 1):
             found = []
             for j in range(i - 1, -1, -1):
                 token = endings(raw[j:i])
@@ -139,9 +155,13 @@ class PrefixCounter:
                         continue
                 last[i], count[i] = token, count[j] + 1
                 break
+        if head and known is None:
+            if len(self.heads) >= CACHE // 8:
+                self.heads.clear()
+            self.heads[head] = list(last[: HEAD + 1]), list(count[: HEAD + 1])
         return count
 
-    def _table(self, piece: str) -> array:
+    def _table(self, piece: str) -> list[int] | array:
         """Tokens of each prefix of one pre-token, by its code points (entry 0: the empty prefix)."""
         raw = piece.encode()
         count = self._counts(raw)
