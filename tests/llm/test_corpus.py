@@ -185,6 +185,50 @@ def test_alignment():
         assert score == plain(a, b) and (not score or plain(a, b[first : last + 1]) == score)
 
 
+def test_decontamination_equals_plain_pairs(spark):
+    """All pairs of a text and an item, by sets of n-grams and a whole table of alignment."""
+
+    def plain_score(a, b):
+        above, best = [0] * (len(b) + 1), 0
+        for x in a:
+            here = [0]
+            for j, y in enumerate(b, 1):
+                here.append(max(0, above[j - 1] + (2 if x == y else -1), above[j] - 1, here[j - 1] - 1))
+            above, best = here, max(best, *here)
+        return best
+
+    def plain_words(text):
+        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    rng = random.Random(31)
+    items = [prose(rng, rng.choice([1, 2, 3, 4, 12, 40, 90]), 900).replace("\n", "") for _ in range(40)] + ["", None, "Straße, ÉTÉ 3.5!"]
+    texts = [None, "", "straße été", "die Straße ÉTÉ: 3 5."]
+    for i in range(160):
+        text = prose(rng, 60, 900)
+        if i % 2:
+            part = items[rng.randrange(40)].split(" ")
+            part = part[rng.randrange(1 + len(part) // 3) :]
+            change = lambda w: rng.choice([w.upper() + ",", f"n{rng.randrange(10**6)}", "", w + " " + w])
+            text += " " + " ".join(change(w) if rng.random() < i % 7 / 10 else w for w in part) + " " + prose(rng, 20, 900)
+        texts.append(text)
+    want = {}
+    for i, text in enumerate(texts):
+        words = plain_words(text)
+        for k, item in enumerate(items):
+            asked = plain_words(item)
+            n = min(3, len(asked))
+            grams = lambda w: {tuple(w[x : x + n]) for x in range(len(w) - n + 1)}  # noqa: E731, B023
+            if n and len(grams(words) & grams(asked)) >= min(2, len(grams(asked))):
+                score = plain_score(asked, words) / (2 * len(asked))
+                if score >= (0.4 if len(asked) >= 3 else 1):
+                    want[i, k] = score
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert len(got) == len(want) > 50 and any(s < 0.6 for s in want.values())
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(4)
     bad = [" ".join(rng.choice(["zap", "zip", "zop", f"w{rng.randrange(400)}"]) for _ in range(100)) for _ in range(60)]
@@ -367,6 +411,32 @@ def test_mixing(spark):
     assert slots.groupBy("source", "pass", "block").count().where("count > 1").isEmpty()
 
 
+def test_mixing_takes_what_the_slots_cover(spark):
+    rng = random.Random(32)
+    rows = rows_of([prose(rng, rng.choice([0, 1, 63, 64, 65, 400])) for _ in range(200)], lambda i: "hot" if i % 3 == 0 else rng.choice("abc"))
+    df = spark.createDataFrame(rows, DOCS)
+    mixed, slots = mixing.mix(df, shard_slots=64)
+    draw = dict(df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17))).collect())
+    slots = slots.collect()
+    want = {}
+    for source in "hot a b c".split(" "):
+        places, at = [], 0  # (document, first word, word behind) in the source's sequence
+        for i, t, *_ in sorted((r for r in rows if r[3] == source), key=lambda r: draw[r[0]]):
+            n = len(WORDS.findall(t))
+            places.append((i, at, at + n))
+            at += n
+        mine = [s for s in slots if s.source == source]
+        for i, begin, end in places:
+            want[i] = sum(max(0, min(end, s.block * 64 + s.n_words) - max(begin, s.block * 64)) for s in mine)
+        each: dict = {}
+        for s in mine:
+            each.setdefault(s["pass"], []).append(s)
+        last = max(each)
+        for k, found in each.items():  # every pass but the last takes each word of the source once
+            assert k == last or (sorted(s.block for s in found) == list(range(-(-at // 64))) and sum(s.n_words for s in found) == at)
+    assert {r.doc_id: r.taken for r in mixed.collect()} == want and len({(s.shard, s.position) for s in slots}) == len(slots)
+
+
 def test_pipeline_mixes_drawn_blocks(spark):
     hot = " ".join(f"h{i}" for i in range(64 * 50 + 7))
     texts = [hot] + [" ".join(f"d{k}w{i}" for i in range(rng)) for k, rng in enumerate([300, 90, 1, 700, 64, 500])]
