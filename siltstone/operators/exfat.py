@@ -201,9 +201,11 @@ def cluster_chains(files: DataFrame, fat: DataFrame) -> DataFrame:
     scratch = Scratch(files.sparkSession, "chains")
     flat = files.where("no_fat_chain and n_clusters > 0").select("path", "offset", F.posexplode(F.sequence(F.col("first_cluster"), F.col("first_cluster") + F.col("n_clusters") - 1)).alias("position", "cluster"))
     linked = files.where("not no_fat_chain and n_clusters > 0")
-    known = scratch.save(linked.select("path", "offset", "n_clusters", F.lit(0).alias("position"), F.col("first_cluster").alias("cluster")))
-    jump = scratch.save(fat)
     longest = linked.agg(F.max("n_clusters")).first()[0] or 0
+    if not longest:
+        return flat.select("path", "offset", F.col("position").cast("int").alias("position"), "cluster")
+    known = scratch.save(linked.select("path", "offset", "n_clusters", F.lit(0).alias("position"), F.col("first_cluster").alias("cluster")))
+    jump = scratch.save(fat) if longest > 1 else fat
     step = 1
     while step < longest:
         further = known.join(jump, ["path", "cluster"]).select("path", "offset", "n_clusters", (F.col("position") + step).alias("position"), F.col("next").alias("cluster")).where("position < n_clusters")
@@ -244,7 +246,7 @@ NO_BOOT = "exFAT boot sector not found in image"
 
 def extract_file(images: DataFrame, first_cluster: int, size: int, no_fat_chain: bool) -> DataFrame:
     """(path, data, error) of the file that starts at a cluster of each image: no bytes for a cluster under 2 or size 0."""
-    boots = boot_sectors(images)
+    boots = Scratch(images.sparkSession, "boots").save(boot_sectors(images))
     asked = images.select("path", F.lit(0).cast("long").alias("offset"), F.lit(first_cluster).cast("long").alias("first_cluster"), F.lit(size).cast("long").alias("size"), F.lit(no_fat_chain).alias("no_fat_chain"))
     got = contents(images, asked.where("first_cluster >= 2 and size > 0"), boots)
     out = boots.join(got, "path", "left")
@@ -253,7 +255,7 @@ def extract_file(images: DataFrame, first_cluster: int, size: int, no_fat_chain:
 
 def extract_entry(images: DataFrame, entry_offset: int) -> DataFrame:
     """(path, name, data, error) of the file whose entry set starts at an offset of each image."""
-    boots = boot_sectors(images)
+    boots = Scratch(images.sparkSession, "boots").save(boot_sectors(images))
     at = F.lit(entry_offset).cast("long")
     here = images.select("path", "length", at.alias("offset"), F.least(F.lit(OVERLAP), F.col("length") - at).alias("n"))
     sets = bytes_at(here.where(at + 3 * ENTRY <= F.col("length")), images, "offset", "n", "data").select("path", "offset", "data")
