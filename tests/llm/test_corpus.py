@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,6 +373,67 @@ def test_url_mining_of_long_paths(spark):
     assert {r.verdict for r in url_rules.url_rules(pages, chain, rules=(), lift=1.0).where("page_id >= 260").collect()} == {"block"}
 
 
+def test_url_mining_of_long_urls_loses_no_rule(spark):
+    """A few blocked pages beside a family of long URLs; and plain counts where most URLs are longer than most_items."""
+    long = ["http://n.example.org/" + "/".join(f"d{chr(97 + k)}" for k in range(1 + i % 20)) for i in range(600)]
+    urls = [f"https://spam.example.com/{i}" for i in range(30)] + long + [f"https://ok{i % 7}.example.com/{i}" for i in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 30 and not (i < 630 and i % 2)), 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.url_rules(pages, labels, rules=(), support=0.01).collect()}
+    assert {got[i] for i in range(30)} == {"block"} and {got[i] for i in range(630, 730)} == {"allow"}
+    rng = random.Random(29)
+    names = [f"k{x}" for x in "abcdef"]
+    urls = [f"{rng.choice(['http', 'https'])}://a.example.org/{rng.choice(['en', 'de'])}?" + "&".join(f"{x}=1" for x in names if rng.random() < 0.6) for _ in range(600)]
+    bad = {i for i, u in enumerate(urls) if (("ka=" in u and "kb=" in u) or ("kc=" in u and "/de" in u and "kd=" not in u)) != (rng.random() < 0.15)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    n, hit = Counter(), Counter()
+    for i in range(0, 600, 2):
+        items = sorted(url_items(urls[i]))
+        for x in itertools.chain.from_iterable(itertools.combinations(items, k) for k in range(1, len(items) + 1)):
+            n[x] += 1
+            hit[x] += i in bad
+    share = sum(i in bad for i in range(0, 600, 2)) / 300
+    rules = {frozenset(x): hit[x] / n[x] for x in n if hit[x] >= 20 and hit[x] / n[x] >= 0.6 and hit[x] / n[x] / share >= 1.2}
+    want = [max((c for x, c in rules.items() if x <= url_items(u)), default=None) for u in urls]
+    assert len(set(want)) > 5
+    for most_items in (3, 14):
+        got = {r.page_id: r.confidence for r in url_rules.url_rules(pages, labels, rules=(), lift=1.2, most_items=most_items).collect()}
+        assert [got[i] for i in range(600)] == [None if c is None else pytest.approx(c) for c in want]
+
+
+def test_url_mining_counts_all_labelled_urls(spark):
+    """20 of 147 are 20, and clean URLs without a frequent item lower the share of blocked ones."""
+    for clean in ("https://b.fine.org/", "http://c.good/"):
+        urls = ["https://a.spam.net/"] * 20 + [clean] * 127
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        labels = spark.createDataFrame([(i, int(i >= 20), 0) for i in range(147)], "doc_id long, quality int, toxic int")
+        for most_items in (0, 14):
+            got = {r.page_id: r.confidence for r in url_rules.url_rules(pages, labels, rules=(), most_items=most_items).collect()}
+            assert got == {i: 1.0 if i < 20 else None for i in range(147)}
+
+
+def test_best_sets_equal_all_sets():
+    rng = random.Random(31)
+    for _ in range(300):
+        k = rng.randrange(1, 8)
+        rows = {}
+        for _ in range(rng.randrange(1, 40)):
+            x = frozenset(rng.choice([range(rng.randrange(k + 1)), [y for y in range(k) if rng.random() < 0.6]]))
+            b, c = rows.get(x, (0, 0))
+            rows[x] = rng.choice([(b + rng.randrange(1, 4), c), (b, c + rng.randrange(1, 4)), (b, c)])
+        sets, least, floor = [sorted(x) for x in rows], rng.randrange(1, 6), rng.choice([0.0, 0.3, 0.6])
+        at = np.cumsum([0] + [len(x) for x in sets])
+        got = url_rules.best_sets(at, np.array(list(itertools.chain(*sets)), np.int64), *np.array(list(rows.values()), float).T, least, floor)
+        count = lambda x: tuple(sum(n[j] for y, n in rows.items() if x <= y) for j in (0, 1))
+        counts = {frozenset(x): count(frozenset(x)) for m in range(k + 1) for x in itertools.combinations(range(k), m)}
+        assert all(counts[frozenset(x)] == (b, c) for x, b, c in got)
+        for y in rows:
+            want = max((b / (b + c) for x, (b, c) in counts.items() if b >= least and x <= y), default=0)
+            have = max((b / (b + c) for x, b, c in got if y >= set(x)), default=0)
+            assert have == want or have == 0 and want <= floor
+
+
 def waterfill(sizes, repeat=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
