@@ -3,7 +3,7 @@
 1. One pass turns every text into its set of distinct five-word shingles (64-bit hashes) and keeps the set's size, a
    128-bit fingerprint, a signature of 128 minima and 32 band keys of four minima each.
 2. Rows with equal fingerprints are one class, with a number of its own; from here on classes are linked, and one row
-   (of the smallest id, whatever other texts that id has) speaks for each.
+   (of the smallest id, whatever other texts that id has) speaks for each. Equal sets have equal signatures and bands.
 3. Two classes that share a band key are candidates. Instead of all pairs of a bucket, each member is first compared with
    the bucket's leader, the member that meets most others over all its buckets (of a group of edited copies, one close to
    the original). Links found make components. Buckets that still hold several components are the rest: small ones
@@ -15,8 +15,8 @@
 5. What survives is confirmed on the full shingle sets, in integers: 100 * intersection >= 75 * union.
 
 Hot groups: class sizes and leaders are partial aggregates. Joins on a band key, a shingle, a leader or a class deal the
-rows of keys with very many over several tasks (joins.hot_join). Recall: a pair at similarity 0.75 shares no band with
-probability 5e-6.
+rows of keys with very many over several tasks (joins.hot_join); components, open keys and their counts are sent whole to
+the rows while they are small (joins.fitting). Recall: a pair at similarity 0.75 shares no band with probability 5e-6.
 
 Edge cases: null, empty or blank text has an empty set (n_shingles 0), is linked with nothing and kept. A repeated row
 (same id and text) stays repeated in the output. An id with several texts has a component for each of them, the smallest
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import common
-from siltstone.operators.joins import hot_join, hot_keys
+from siltstone.operators.joins import dealt_join, fitting, hot_join, hot_keys
 
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 BATCH = 16
@@ -189,18 +189,16 @@ def near_duplicates(
     scratch = common.Scratch(spark, "near-dedup")
     signed = scratch.save(sign(docs))
     same = ["n_shingles", "fp1", "fp2"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.count("*").alias("n"))
-    classes = scratch.save(classes.select("rep.doc_id", "rep.fp", *same, "n", F.monotonically_increasing_id().alias("id")))
-    # repeated rows of a class's first row are equal: any one will do
-    reps = signed.join(classes.drop("n"), ["doc_id", "fp", *same]).select("id", "sig", "bands")
-    reps = scratch.save(reps.dropDuplicates(["id"]))
-    member = reps.select("id", F.explode("bands").alias("key"))
+    rep = F.min(F.struct("doc_id", "fp")).alias("rep")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(rep, F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.select("rep.doc_id", "rep.fp", *same, "n", "sig", "bands", F.monotonically_increasing_id().alias("id")))
+    member = classes.select("id", F.explode("bands").alias("key"))
     full = scratch.save(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     hot = hot_keys(full, ["key"], scratch)
     member = scratch.save(hot_join(member, full, ["key"], hot))
-    met = member.groupBy("id").agg(F.sum("n").alias("met"))
-    leader = scratch.save(member.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
-    sigs = reps.select("id", "sig")
+    met = member.groupBy("id").agg(F.sum("n").alias("met"), F.collect_list("key").alias("keys"))
+    leader = scratch.save(met.select("id", "met", F.explode("keys").alias("key")).groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
+    sigs = classes.select("id", "sig")
     survivors = _survivors(percent / 100, miss)
     texts = docs.select(common.column(docs, "doc_id", "long").alias("doc_id"), common.column(docs, "text", "string").alias("text")).withColumn("fp", F.xxhash64("text"))
 
@@ -212,7 +210,9 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a < b, distinct)."""
-        hot = {end: hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), [end], scratch) for end in "ab"}
+        ends = pairs.select(F.explode(F.array(*(F.struct(F.lit(end).alias("end"), F.col(end).alias("id")) for end in "ab"))).alias("x"))
+        hot = hot_keys(ends.groupBy("x.end", "x.id").agg(F.count("*").alias("n")), ["end", "id"], scratch)
+        hot = {end: None if hot is None else hot.where(F.col("end") == end).select(F.col("id").alias(end), "parts") for end in "ab"}
         kept = pairs
         for end in "ab":
             kept = hot_join(kept, sigs.select(F.col("id").alias(end), F.col("sig").alias(f"sig_{end}")), [end], hot[end])
@@ -225,39 +225,39 @@ def near_duplicates(
 
     first = hot_join(member, leader, ["key"], hot).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = confirmed(scratch.save(first.distinct()))
-    comp = scratch.save(common.components(links, scratch))
-    at = scratch.save(member.join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
-    open_ = scratch.save(at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
-    rest = scratch.save(hot_join(at, open_.select("key"), ["key"], hot_keys(open_, ["key"], scratch), "left_semi"))
-    small = rest.where(F.col("n") <= small_bucket)
-    pairs = small.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    large = rest.where(F.col("n") > small_bucket).select("id", "comp").distinct()
-    if not large.isEmpty():
-        large = scratch.save(large)
+    comp = common.components(links, scratch)
+    at = scratch.save(member.join(fitting(comp), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    small = at.where(F.col("n") <= small_bucket).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("members"))
+    others = F.filter("members", lambda y: (y["id"] > F.col("x.id")) & (y["comp"] != F.col("x.comp")))
+    pairs = small.select("members", F.explode("members").alias("x")).select("x", F.explode(others).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    large = at.where(F.col("n") > small_bucket)
+    open_ = scratch.save(large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    if not open_.isEmpty():
+        large = scratch.save(dealt_join(large, open_.select("key"), ["key"], open_, scratch, "left_semi").select("id", "comp").distinct())
         token = scratch.save(texts_of(large).mapInArrow(_exploded, "id long, h long"))
         df = scratch.save(token.groupBy("h").agg(F.count("*").alias("n")))
         listed = hot_join(token, df, ["h"], hot_keys(df, ["h"], scratch)).groupBy("id").agg(F.collect_list(F.struct(F.col("n").alias("df"), "h")).alias("entries"))
-        prefix = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(large, "id"))
+        prefix = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(fitting(large), "id"))
         # a token makes pairs only if several components hold it; a row of it only if some holder is within its reach
         mixed = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("n")).where("low < high").select("token", "least", "n"))
-        prefix = scratch.save(hot_join(prefix, mixed.drop("n"), ["token"], hot_keys(mixed, ["token"], scratch)).where("least <= reach").drop("least"))
+        prefix = scratch.save(dealt_join(prefix, mixed.drop("n"), ["token"], mixed, scratch).where("least <= reach").drop("least"))
         still = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("token", "n"))
-        prefix = scratch.save(hot_join(prefix, still.select("token"), ["token"], hot_keys(still, ["token"], scratch), "left_semi"))
+        prefix = scratch.save(dealt_join(prefix, still.select("token"), ["token"], still, scratch, "left_semi"))
         x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "reach"))) for s in "xy")
         near = x.join(y, "token").where("id_x < id_y and comp_x <> comp_y and n_y <= reach_x and n_x <= reach_y")
         pairs = pairs.unionAll(near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
     pairs = scratch.save(pairs.distinct())
     if not pairs.isEmpty():
         links = scratch.save(links.unionAll(confirmed(pairs)))
-        comp = scratch.save(common.components(links, scratch))
-    # a component is named by the smallest id of its classes
-    named = comp.join(classes.select("id", "doc_id"), "id")
-    names = scratch.save(named.groupBy("component").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")))
-    named = hot_join(named.select("id", "component"), names.drop("n"), ["component"], hot_keys(names, ["component"], scratch))
-    named = scratch.save(classes.join(named, "id", "left").select(*same, F.coalesce("name", "doc_id").alias("component_id")))
+        comp = common.components(links, scratch)
+    # a component is named by the smallest id of its classes, a class without links by its own; other rows stand alone
+    named = scratch.save(classes.select("id", "doc_id", *same, "n").join(fitting(comp), "id", "left").where("n > 1 or component is not null").drop("n"))
+    names = scratch.save(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")))
+    named = dealt_join(named.withColumn("component", F.coalesce("component", -F.col("id") - 1)), names.drop("n"), ["component"], names, scratch, "left")
+    named = scratch.save(named.select(*same, F.coalesce("name", "doc_id").alias("component_id")))
     out = signed.select("doc_id", "fp", *same)
     out = hot_join(out, named, same, hot_keys(classes, same, scratch), "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "fp", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -158,6 +159,33 @@ def test_components_of_hot_ids(spark):
     assert {(r.component, r["count"]) for r in got} == {(0, 1500), (2000, 1001)}
 
 
+@pytest.mark.parametrize("written", [False, True])
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_components_by_stars_and_in_one_task(spark, rows, written):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(1500, 1990)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(7, 7), (900, 900), (None, 901)]
+    pairs = [p if rng.random() < 0.5 else p[::-1] for p in pairs] + pairs[:30]
+    low = {x: x for a, b in pairs if a != b and a is not None and b is not None for x in (a, b)}
+    for _ in low:
+        for a, b in pairs:
+            if a in low and b in low:
+                low[a] = low[b] = min(low[a], low[b])
+    links = spark.createDataFrame(pairs, "a long, b long")
+    scratch = Scratch(spark, "t")
+    got = G.components(scratch.save(links) if written else links, scratch, rows=rows).collect()
+    assert len(got) == len(low) and {r.id: r.component for r in got} == low
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_dealt_join(spark, how, rows):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40).alias("k"), "id")
+    small = spark.createDataFrame([(7, "a"), (8, "b"), (99, "c"), (None, "d")], "k long, v string")
+    counts = big.groupBy("k").agg(F.count("*").alias("n"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(J.dealt_join(big, small, ["k"], counts, Scratch(spark, "t"), how, rows=rows)) == key(big.join(small, ["k"], how))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_hot_join(spark, how):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 40).alias("k"), "id")
