@@ -16,6 +16,10 @@ A document with very many links, and the members of a very large group, are deal
 with what holds for all of them (joins.hot_join). Sums along a row are two-level (buckets, then inside a bucket), with buckets in proportion to the rows, so no shard or
 group is gathered in one task. Only the `greedy` largest sizes of groups and documents and per-shard sums come to the driver.
 
+Scratch tables hold numbers, not texts, and are written by as many tasks as have `bucket_rows` rows each, or one for each
+core if that is more: without Hadoop's native library the JVM starts processes for each file that it writes, and until
+such a process has begun its own program it counts with the whole memory of the JVM.
+
 Edge cases: null text counts 8 bytes and belongs to no group; empty texts are a group. Repeated rows are rows of a
 group. A null id is allowed. Extra columns are ignored; an empty table gives no rows. Reruns agree.
 """
@@ -26,6 +30,7 @@ import heapq
 from functools import reduce
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +39,15 @@ from siltstone.llm import common
 from siltstone.operators.joins import hot_join, hot_keys
 
 
+class Scratch(common.Scratch):
+    """Scratch tables that at most `tasks` tasks write, if that is set."""
+
+    tasks: int | None = None
+
+    def save(self, df: DataFrame) -> DataFrame:
+        return super().save(df.coalesce(self.tasks) if self.tasks else df)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], size: Column, scratch: common.Scratch, bucket_rows: int) -> DataFrame:
     """Adds `ahead` (sum of size over the rows before in the group's order) and `index` (their number).
 
@@ -51,6 +65,12 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], size: Column,
     return out.withColumn("ahead", F.col("_s0") + F.col("_s1")).withColumn("index", (F.col("_c0") + F.col("_c1")).cast("long")).drop("_bucket", "_size", "_s0", "_c0", "_s1", "_c1")
 
 
+def places(spark: SparkSession, name: str, chosen: list[tuple[int, int | None]]) -> DataFrame:
+    """(name, shard) of the driver's list, without Python on the executors."""
+    ids, shard = zip(*chosen, strict=True) if chosen else ((), ())
+    return spark.createDataFrame(pa.table({name: pa.array(ids, pa.int64()), "shard": pa.array(shard, pa.int32())}))
+
+
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, quota: float, scratch: common.Scratch, bucket_rows: int) -> DataFrame:
     """Moves nodes (uid, size, shard) along links (a, b): (uid, size, shard, content).
 
@@ -134,7 +154,7 @@ def together(linked: DataFrame, links: DataFrame, shards: int, share: float, scr
         chosen.append((r.lead, s if fits else None))
         if fits:
             heapq.heapreplace(heap, (used + r.size, s))
-    large = F.broadcast(spark.createDataFrame(chosen, "lead long, shard int"))  # at most `greedy` rows
+    large = F.broadcast(places(spark, "lead", chosen))  # at most `greedy` rows
     small = scratch.save(numbered(split.join(large, "lead", "left_anti"), [], [F.xxhash64("lead", F.lit(seed))], F.col("size"), scratch, bucket_rows))
     rest = small.agg(F.sum("size")).first()[0] or 0
     spot = large.where("shard is not null").unionAll(small.select("lead", stretch({s: used for used, s in heap}, share, rest).alias("shard")))
@@ -144,13 +164,14 @@ def together(linked: DataFrame, links: DataFrame, shards: int, share: float, scr
 def shard(docs: DataFrame, shards: int = 24, greedy: int = 4096, slack: float = 0.01, seed: int = 29, bucket_rows: int = 20_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    scratch = common.Scratch(spark, "sharding")
+    scratch = Scratch(spark, "sharding")
     text = common.column(docs, "text", "string")
     rows = docs.select(
         common.column(docs, "doc_id", "long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
         F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(seed), text).alias("h2"))).alias("key"),
     )
-    rows = scratch.save(rows)
+    rows = scratch.save(rows)  # by the tasks that read the texts
+    scratch.tasks = max(spark.sparkContext.defaultParallelism, rows.count() // bucket_rows + 1)
     # equal rows are told apart by a number; which of them gets which number does not matter
     rows = scratch.save(numbered(rows, [], [F.xxhash64("doc_id", "key"), F.col("doc_id"), F.col("key")], F.lit(0), scratch, bucket_rows).withColumnRenamed("index", "uid").drop("ahead"))
     groups = scratch.save(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("b")).where("n > 1"))
@@ -173,7 +194,7 @@ def shard(docs: DataFrame, shards: int = 24, greedy: int = 4096, slack: float =
         chosen.append((r.uid, s))
         heapq.heappush(heap, (used + r.size, s))
     filled = {s: used for used, s in heap}
-    large = F.broadcast(spark.createDataFrame(chosen, "uid long, shard int"))  # at most `greedy` rows
+    large = F.broadcast(places(spark, "uid", chosen))  # at most `greedy` rows
     # the rest in a row, cut into stretches as long as what each shard lacks
     small = numbered(free.join(large, "uid", "left_anti"), [], [F.xxhash64("uid", F.lit(seed))], F.col("size"), scratch, bucket_rows)
     rest = (total or 0) - sum(filled.values())

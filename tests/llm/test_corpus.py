@@ -586,6 +586,36 @@ def test_sharding_keeps_groups_together(spark, greedy):
     assert sum(len(s) > 1 for s in where.values()) == 0
 
 
+def test_sharding_writes_few_files(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = [prose(rng, rng.randrange(1, 40)) for _ in range(300)]
+    texts += texts[:80] + ["hot text"] * 300
+    files, save = [], sharding.common.Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(sharding.common.Scratch, "save", counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sharding.shard(spark.createDataFrame(rows_of(texts), DOCS)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    assert len(files) > 10 and max(files) <= spark.sparkContext.defaultParallelism  # an executor starts processes for each
+
+
+def test_sharding_places(spark):
+    assert [tuple(r) for r in sharding.places(spark, "lead", [(5, 2), (7, None)]).collect()] == [(5, 2), (7, None)]
+    assert sharding.places(spark, "uid", []).dtypes == [("uid", "bigint"), ("shard", "int")] and sharding.places(spark, "uid", []).isEmpty()
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home page</a></nav>
 <div class="cookie-notice"><p>We use cookies to make this site much better for all of our many readers, please accept them now.</p></div><article><h1>Real&nbsp;title</h1><p>First &amp; more &#233;
  text<br>here<p>Short</p><ul><li>one<li>two</ul><blockquote>said</blockquote><div class="ad"><p>Buy this thing. It is really good.</p></div><p>a &lt; b</p></article>
