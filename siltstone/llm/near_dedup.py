@@ -1,7 +1,7 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. One pass turns every text into its set of distinct five-word shingles (64-bit hashes) and keeps the set's size, a
-   128-bit fingerprint, a signature of 128 minima and 32 band keys of four minima each.
+   128-bit fingerprint, 32 band keys of four of 128 minima each, and a signature: the minima's low bytes.
 2. Rows with equal fingerprints are one class, with a number of its own; from here on classes are linked, and one row
    (of the smallest id, whatever other texts that id has) speaks for each. Equal sets have equal signatures and bands.
 3. Two classes that share a band key are candidates. Instead of all pairs of a bucket, each member is first compared with
@@ -11,7 +11,8 @@
    similarity shares one of the rarest shingles of both, up to a place that follows from the two sizes), which is
    exact. No bucket is cut off and no pair of one component is made twice.
 4. A candidate's signatures are compared 16 minima at a time. With a uniform prior the posterior of the similarity is a
-   Beta; a pair goes as soon as the probability that it reaches the threshold falls under `miss`.
+   Beta; a pair goes as soon as the probability that it reaches the threshold falls under `miss`. Equal minima have equal
+   low bytes, so these lose no pair that whole minima keep; of unequal ones, one in 256 agrees too.
 5. What survives is confirmed on the full shingle sets, in integers: 100 * intersection >= 75 * union.
 
 Hot groups: class sizes and leaders are partial aggregates. Joins on a band key, a shingle, a leader or a class deal the
@@ -77,7 +78,7 @@ def _signed(batches):
                 key = common.mix(key ^ quads[:, :, r]) + band_key
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("fp"), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), keys],
+                [batch.column("doc_id"), batch.column("fp"), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), keys],
                 names=["doc_id", "fp", "n_shingles", "fp1", "fp2", "sig", "bands"],
             )
 
@@ -110,7 +111,7 @@ def _survivors(threshold: float, miss: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("sig_a", "sig_b"))
             alive, same, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in steps:
                 same = same + (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
@@ -178,20 +179,23 @@ def near_duplicates(
     miss: float = 1e-7,
     small_bucket: int = 16,
     broadcast_ids: int = 2_000_000,
+    scratch: common.Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id, kept) of each row of docs; fp is the text's hash.
 
     percent: the least Jaccard similarity of a link, in hundredths; the bands suit 70 and more. miss: probability with
     which the Bayesian bound may drop a pair at the threshold. small_bucket: up to so many members a bucket's remaining
     pairs are listed directly; larger ones go through the prefix filter. broadcast_ids: the ids (8 bytes
-    each) of texts to confirm are sent to all executors up to that number, and joined by a shuffle beyond it."""
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "near-dedup")
+    each) of texts to confirm are sent to all executors up to that number, and joined by a shuffle beyond it. scratch: where
+    its tables go; the large ones are deleted when nothing reads them any more, the others are the caller's to clear."""
+    scratch = scratch or common.Scratch(docs.sparkSession, "near-dedup")
     signed = scratch.save(sign(docs))
     same = ["n_shingles", "fp1", "fp2"]
     rep = F.min(F.struct("doc_id", "fp")).alias("rep")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(rep, F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.save(classes.select("rep.doc_id", "rep.fp", *same, "n", "sig", "bands", F.monotonically_increasing_id().alias("id")))
+    slim = scratch.save(signed.select("doc_id", "fp", *same))
+    scratch.drop(signed)
     member = classes.select("id", F.explode("bands").alias("key"))
     full = scratch.save(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     hot = hot_keys(full, ["key"], scratch)
@@ -224,9 +228,12 @@ def near_duplicates(
         return scratch.save(paired.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
     first = hot_join(member, leader, ["key"], hot).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    links = confirmed(scratch.save(first.distinct()))
+    first = scratch.save(first.distinct())
+    links = confirmed(first)
+    scratch.drop(full, leader, first)
     comp = common.components(links, scratch)
     at = scratch.save(member.join(fitting(comp), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    scratch.drop(member)
     small = at.where(F.col("n") <= small_bucket).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("members"))
     others = F.filter("members", lambda y: (y["id"] > F.col("x.id")) & (y["comp"] != F.col("x.comp")))
     pairs = small.select("members", F.explode("members").alias("x")).select("x", F.explode(others).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -237,16 +244,20 @@ def near_duplicates(
         token = scratch.save(texts_of(large).mapInArrow(_exploded, "id long, h long"))
         df = scratch.save(token.groupBy("h").agg(F.count("*").alias("n")))
         listed = hot_join(token, df, ["h"], hot_keys(df, ["h"], scratch)).groupBy("id").agg(F.collect_list(F.struct(F.col("n").alias("df"), "h")).alias("entries"))
-        prefix = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(fitting(large), "id"))
+        posted = scratch.save(listed.mapInArrow(_prefixes(percent), "id long, token long, n long, reach long").join(fitting(large), "id"))
+        scratch.drop(token, df)
         # a token makes pairs only if several components hold it; a row of it only if some holder is within its reach
-        mixed = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("n")).where("low < high").select("token", "least", "n"))
-        prefix = scratch.save(dealt_join(prefix, mixed.drop("n"), ["token"], mixed, scratch).where("least <= reach").drop("least"))
-        still = scratch.save(prefix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("token", "n"))
-        prefix = scratch.save(dealt_join(prefix, still.select("token"), ["token"], still, scratch, "left_semi"))
+        mixed = scratch.save(posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("n")).where("low < high").select("token", "least", "n"))
+        within = scratch.save(dealt_join(posted, mixed.drop("n"), ["token"], mixed, scratch).where("least <= reach").drop("least"))
+        scratch.drop(posted)
+        still = scratch.save(within.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("token", "n"))
+        prefix = scratch.save(dealt_join(within, still.select("token"), ["token"], still, scratch, "left_semi"))
+        scratch.drop(within)
         x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "reach"))) for s in "xy")
         near = x.join(y, "token").where("id_x < id_y and comp_x <> comp_y and n_y <= reach_x and n_x <= reach_y")
         pairs = pairs.unionAll(near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
     pairs = scratch.save(pairs.distinct())
+    scratch.drop(at)
     if not pairs.isEmpty():
         links = scratch.save(links.unionAll(confirmed(pairs)))
         comp = common.components(links, scratch)
@@ -255,8 +266,7 @@ def near_duplicates(
     names = scratch.save(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")))
     named = dealt_join(named.withColumn("component", F.coalesce("component", -F.col("id") - 1)), names.drop("n"), ["component"], names, scratch, "left")
     named = scratch.save(named.select(*same, F.coalesce("name", "doc_id").alias("component_id")))
-    out = signed.select("doc_id", "fp", *same)
-    out = hot_join(out, named, same, hot_keys(classes, same, scratch), "left")
+    out = hot_join(slim, named, same, hot_keys(classes, same, scratch), "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "fp", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

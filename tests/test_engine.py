@@ -6,6 +6,7 @@ import glob
 import json
 import os
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -176,6 +177,19 @@ def test_components_by_stars_and_in_one_task(spark, rows, written):
     assert len(got) == len(low) and {r.id: r.component for r in got} == low
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, before = spark.conf.get(name, None), there()
+    saved = Scratch(spark, "t").save(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    for _ in range(40):  # they go in the background
+        if not (left := there() - before):
+            break
+        time.sleep(0.25)
+    assert not left and saved.count() == 1000 and spark.conf.get(name, None) == held
+
+
 @pytest.mark.parametrize("rows", [0, 100_000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_dealt_join(spark, how, rows):
