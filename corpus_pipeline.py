@@ -42,8 +42,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = common.Scratch(spark, "pipeline-near-dedup")
-    found = scratch.save(near_duplicates(docs).select("doc_id", "fp", "kept"))
+    scratch, inner = common.Scratch(spark, "pipeline-near-dedup"), common.Scratch(spark, "near-dedup")
+    found = scratch.save(near_duplicates(docs, scratch=inner).select("doc_id", "fp", "kept"))
+    inner.clear()  # or its tables would lie there until the last stage ends
     left = without(docs, found.where("not kept").select("doc_id", "fp"), "pipeline-near-dedup")
     if found.where("kept and doc_id is not null").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         return left

@@ -860,6 +860,15 @@ def test_pipeline(spark, odd, tmp_path):
     assert out.count() == docs.count()
 
 
+def test_pipeline_clears_near_dedups_tables(spark):
+    rng = random.Random(43)
+    base = [prose(rng, 60) for _ in range(30)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows_of([*base, *(edited(rng, t, 1) for t in base)]), DOCS), "")
+    tables = [p for base in corpus_pipeline.common.scratch._MADE[-3:] for p in Path(base.removeprefix("file:")).glob("*")]
+    assert len(tables) == 2  # the rows found and the rows rejected; later stages run beside what is left
+    assert {r.doc_id for r in left.collect()} == set(range(30))
+
+
 def test_pipeline_of_odd_tables(spark, odd, tmp_path):
     spark.createDataFrame([(1, "a b c d e"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stages = {name: lambda d, f=f: f(spark, d, str(tmp_path)) for name, f in corpus_pipeline.STAGES}
