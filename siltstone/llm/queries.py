@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.decontaminate import op7_decontaminate
+from siltstone.llm.filter_audit import OP12_SQL, op12_filter_audit
 from siltstone.llm.html_text import op10_html_text
 from siltstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siltstone.llm.mixing import op5_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
