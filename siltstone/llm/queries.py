@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltstone.llm.collocations import OP11_SQL, op11_collocations
 from siltstone.llm.decontaminate import op7_decontaminate
 from siltstone.llm.filter_audit import OP12_SQL, op12_filter_audit
 from siltstone.llm.html_text import op10_html_text
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
 }
