@@ -13,6 +13,7 @@ from siltstone.llm.quality_classifier import op2_quality_classifier
 from siltstone.llm.quality_rules import OP9_SQL, op9_quality_rules
 from siltstone.llm.sharding import op6_sharding
 from siltstone.llm.token_counts import op8_token_counts
+from siltstone.llm.toxicity import op13_toxicity
 from siltstone.llm.url_rules import op4_url_rules
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
