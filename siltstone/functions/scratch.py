@@ -29,8 +29,7 @@ def scratch_root(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    spark.sparkContext.setCheckpointDir(root)  # a later call finds it there; spark.checkpoint.dir cannot be set once Spark runs
     return root
 
 
