@@ -12,8 +12,8 @@ often, and those given as `exceptions`. Of matches that begin at one place the l
 so an exception phrase covers the entry in it. A text's heaviest entry, and the sum of its weights by its length in words,
 give the score through a logistic curve fitted on the same rows.
 
-What is learned comes from at most about `sample` labelled rows, drawn by a hash of id and text (the documented bound: all
-labelled rows where there are no more), and is at most `most_entries` entries and as many exceptions; this model alone is
+What is learned comes from at most about `sample` labelled texts, drawn by a hash of the text (the documented bound: all
+of them where there are no more; equal ones count once), and is at most `most_entries` entries and as many exceptions; this model alone is
 sent to the executors. Every row is scored on its whole text, in one pass without a shuffle. Rows whose crc32(doc_id) mod 5
 is 0 are never learned from. Only text is an input of a score.
 
@@ -50,31 +50,59 @@ LETTERS = "oieastbasiit"
 #: The signs that may also stand for l.
 TALL = "1!|"
 INVISIBLE = "­​‌‍⁠﻿"
-_FOLD = str.maketrans(ALIKE + "ı", LATIN + "i", INVISIBLE)
+_FOLD = dict(zip(ALIKE + "ı", LATIN + "i")) | dict.fromkeys(INVISIBLE, "")
 _SIGN = str.maketrans(SIGNS, LETTERS)
 _TALL = str.maketrans(TALL, "l" * len(TALL))
+#: Signs that may begin or end a word; others stand for letters only between letters.
+_FIRST, _LAST = set("013457@$"), set("013457")
+# Each pattern begins with a set of characters, which is what the search for it looks for.
+_ODD = re.compile(f"[{''.join(_FOLD)}]")
+_SIGNED = re.compile(f"[{re.escape(SIGNS)}]+")
 _A = r"[^\W\d_]"
-_SIGNED = re.compile(rf"(?<={_A})[{re.escape(SIGNS)}]+(?={_A})|(?<![\w@$])[013457@$]{{1,2}}(?={_A})|(?<={_A})[013457]{{1,2}}(?!\w)")
-_ANY_SIGN = re.compile(f"[{re.escape(SIGNS)}]")
+_MAYBE_SPELT = re.compile(rf"[ .*_-]{_A}[ .*_-]{_A}[ .*_-]")
 _SPELT = re.compile(rf"(?<![\w.]){_A}([ .*_-]){_A}(?:\1{_A}){{2,}}(?!\w)")
-_LONG = re.compile(rf"({_A})\1\1+")
-_WORD = re.compile(r"[^\W_]+")
+_LONG = re.compile(r"([a-z])\1\1+")
+_WORD = re.compile(r"\w+")
+
+
+def _letters(table: dict[int, int]):
+    """What stands for a run of signs: letters if it is inside a word, or short and at the edge of one."""
+
+    def of(m: re.Match) -> str:
+        run, text, begin, end = m[0], m.string, m.start(), m.end()
+        before, after = text[begin - 1 : begin], text[end : end + 1]
+        if before.isalpha() and after.isalpha():
+            return run.translate(table)
+        first = after.isalpha() and not before.isalnum() and before != "_" and _FIRST.issuperset(run)
+        last = before.isalpha() and not after.isalnum() and after != "_" and _LAST.issuperset(run)
+        return run.translate(table) if (first or last) and len(run) <= 2 else run
+
+    return of
+
+
+_READ, _READ_TALL = _letters(_SIGN), _letters(_SIGN | _TALL)
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(_LONG.sub(r"\1", text))
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    if ((raw[2:] == raw[:-2]) & (raw[1:-1] == raw[2:]) & (raw[2:] >= 97) & (raw[2:] <= 122)).any():
+        text = _LONG.sub(r"\1", text)
+    return _WORD.findall(text.replace("_", " "))
 
 
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.lower().translate(_FOLD)
-    text = _SPELT.sub(lambda m: m[0][::2], text)
+    text = text.lower()
+    if not text.isascii() and _ODD.search(text):
+        text = _ODD.sub(lambda m: _FOLD[m[0]], text)
+    if _MAYBE_SPELT.search(text):
+        text = _SPELT.sub(lambda m: m[0][::2], text)
     other = text
-    if _ANY_SIGN.search(text):
-        other = _SIGNED.sub(lambda m: m[0].translate(_TALL).translate(_SIGN), text)
-        text = _SIGNED.sub(lambda m: m[0].translate(_SIGN), text)
+    if _SIGNED.search(text):
+        other = _SIGNED.sub(_READ_TALL, text)
+        text = _SIGNED.sub(_READ, text)
     words = _words(text)
     return words if other == text else words + [b for a, b in zip(words, _words(other)) if a != b]
 
@@ -89,8 +117,8 @@ def forms(words: list[str], short: int = 3, long: int = 8) -> set[str]:
     single = set(words)
     out = {f" {w} " for w in single}
     for k in range(short, long + 1):
-        out.update(f" {w[:k]}" for w in single if len(w) > k)
-    out.update(f" {a}  {b} " for a, b in zip(words, words[1:]))
+        out.update([f" {w[:k]}" for w in single if len(w) > k])
+    out.update([f" {a}  {b} " for a, b in zip(words, words[1:])])
     return out
 
 
@@ -124,7 +152,7 @@ class Model:
 
     def features(self, words: list[str]) -> tuple[float, float]:
         """The heaviest entry of a text, and the logarithm of its weight by length."""
-        found = [w for _, _, w in self.hits(joined(words))]
+        found = [w for _, (_, w) in self.automaton().iter_long(joined(words))] if self.weights else []
         return max(found, default=0.0), math.log1p(100 * math.fsum(found) / (len(words) + 10))
 
     def score(self, text: str | None) -> float:
@@ -167,6 +195,26 @@ def odds(t: int, n: int, toxic: int, clean: int) -> float:
     return math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
 
 
+def parts(form: str) -> list[str]:
+    """The shorter forms in a form: the words of a pair, and the beginnings of its words."""
+    words = form.split()
+    whole = [f" {w} " for w in words] if len(words) > 1 else []
+    return whole + [f" {w[:k]}" for w in words for k in range(1, len(w) + 1) if f" {w[:k]}" != form]
+
+
+def pruned(forms: list[tuple[str, int, float, float]]) -> dict[str, float]:
+    """Weights by form, of (form, toxic rows, evidence, log odds): the best first, without those that a better one stands
+    for. A form goes if a part of it tells as much, or if a longer one has nearly all its toxic rows."""
+    kept, longer = {}, {}
+    for form, t, _, w in sorted(forms, key=lambda x: (-x[2], -len(x[0]), x[0])):
+        inside = parts(form)
+        if longer.get(form, 0) < 0.95 * t and not any(kept.get(x, -math.inf) >= w - 0.7 for x in inside):
+            kept[form] = w
+            for x in inside:
+                longer[x] = max(longer.get(x, 0), t)
+    return kept
+
+
 def _around(model: Model):
     """Words that hold an entry and the pairs with the word before and after: what may be an exception."""
 
@@ -207,16 +255,17 @@ def fitted(cells: np.ndarray, step: float, ridge: float = 0.1) -> tuple[float, f
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, scratch: common.Scratch) -> DataFrame:
-    """(text, toxic) of about `sample` labelled rows at most that are not held out; rows equal in id and text stand once."""
+    """(text, toxic) of about `sample` labelled texts at most, of rows that are not held out. Equal texts stand once, toxic if one is."""
     doc_id, text = common.column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(common.column(docs, "text", "string"), F.lit("")).alias("text")
     ids = labels.select(common.column(labels, "doc_id", "long").alias("doc_id"), common.column(labels, "toxic", "int").alias("toxic")).dropna()
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     rows = docs.select(doc_id, text).withColumn("fp", F.xxhash64("text")).where(F.col("doc_id").isNotNull())
-    keys = scratch.save(rows.select("doc_id", "fp").distinct().join(ids, "doc_id"))
+    keys = rows.select("doc_id", "fp").distinct().join(ids, "doc_id")
+    keys = scratch.save(keys.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
     n, size = keys.count(), 1 << 30
     if n > sample:
-        keys = scratch.save(keys.where(F.pmod(F.xxhash64("doc_id", "fp"), F.lit(size)) < int(size * (sample / n))))
-    return scratch.save(rows.join(F.broadcast(keys), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("text", F.col("toxic").cast("int").alias("toxic")))
+        keys = scratch.save(keys.where(F.pmod(F.xxhash64("fp"), F.lit(size)) < int(size * (sample / n))))
+    return scratch.save(rows.join(F.broadcast(keys), ["doc_id", "fp"]).dropDuplicates(["fp"]).select("text", "toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, most_entries: int = 20_000, exceptions: Iterable[str] = (), step: float = 0.125) -> Model:
@@ -235,9 +284,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, most_entries
     named = {r.form: r.toxic for r in tried.where(F.col("toxic") >= enough).orderBy(F.desc("toxic"), "form").limit(10 * most_entries).collect()}
     known = docs.sparkSession.sparkContext.broadcast(frozenset(named))
     held = {r.form: r.clean for r in _counts(rows.where("toxic = 0"), lambda words: forms(words) & known.value).collect()}
-    judged = {x: (evidence(t, n, toxic, clean), odds(t, n, toxic, clean)) for x, t in named.items() for n in [held.get(x, 0)]}
-    best = sorted((x for x, (g, w) in judged.items() if w > 0 and g >= least), key=lambda x: (-judged[x][0], x))[:most_entries]
-    model.weights = {x: judged[x][1] for x in best}
+    judged = [(x, t, evidence(t, n, toxic, clean), odds(t, n, toxic, clean)) for x, t in named.items() for n in [held.get(x, 0)]]
+    model.weights = dict(list(pruned([x for x in judged if x[3] > 0 and x[2] >= least]).items())[:most_entries])
     around = _counts(rows, _around(model)).where("clean >= 3").where((F.col("toxic") + 0.5) * (clean + 1) < (F.col("clean") + 0.5) * (toxic + 1))
     model.weights |= {r.form: 0.0 for r in around.orderBy(F.desc("clean"), "form").limit(most_entries).collect()}
     model.weights |= {joined(fold(x)): 0.0 for x in exceptions if fold(x)}

@@ -76,7 +76,7 @@ def test_longest_match_counts_and_exceptions_cover_entries():
 def test_learned_lexicon_on_held_out_rows(spark):
     docs, labels = table(spark, hide=True)
     model = toxicity.learn(docs, frame(spark, labels))
-    assert {f" {w} " for w in BAD} <= {x for x, w in model.weights.items() if w > 3}
+    assert {f" {w} " for w in BAD} == {x for x, w in model.weights.items() if w > 3}
     rows = toxicity.toxicity(docs, model).collect()
     assert sorted(r.doc_id for r in rows) == list(range(900)) and all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     truth = {i: t for i, t, _ in labels}
@@ -106,6 +106,11 @@ def test_learned_exceptions(spark):
     assert told.score("w1 w2 vequas w3") < 0.5
 
 
+def test_pruning():
+    forms = [(" scu", 50, 90.0, 5.0), (" scum ", 50, 90.0, 5.0), (" of  scum ", 20, 40.0, 5.2), (" vequ", 60, 99.0, 6.0), (" vequa", 30, 50.0, 5.5), (" vequal ", 30, 55.0, 8.0), (" go  home ", 9, 30.0, 3.0), (" go ", 30, 20.0, 1.0)]
+    assert set(toxicity.pruned(forms)) == {" scum ", " vequ", " vequal ", " go  home ", " go "}
+
+
 def test_sample_is_bounded(spark):
     docs, labels = table(spark, 800)
     rows = toxicity.labelled(docs.unionAll(docs), frame(spark, labels), 200, toxicity.common.Scratch(spark, "test"))
