@@ -131,11 +131,17 @@ def _pairs(filters):
     def run(batches):
         for found, _ in _slices(batches):
             left, right, n = found.pairs([x.value for x in filters])
-            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(_name(left, right).view(np.int64)), pa.array(n)], names=["left", "right", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(n)], names=["left", "right", "n"])
 
     return run
 
 
+def _named(batches):
+    for batch in batches:
+        left, right = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "right"))
+        yield pa.RecordBatch.from_arrays([pa.array(_name(left, right).view(np.int64)), *batch.columns], names=["id", "left", "right", "f"])
+
+
 def frequent(docs: DataFrame, most_words: int = 4, least: int = 30, filter_bits: int = 1 << 28, scratch: common.Scratch | None = None) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of docs (lang, text), a table for each number of words, and the words of each lang (lang, n).
 
@@ -151,7 +157,8 @@ def frequent(docs: DataFrame, most_words: int = 4, least: int = 30, filter_bits:
     levels, filters = [scratch.save(one)], []
     while len(levels) < most_words:
         filters.append(spark.sparkContext.broadcast(bloom(levels[-1].select("id"), filter_bits)))
-        pairs = scratch.save(texts.mapInArrow(_pairs(filters), "left long, right long, id long, n long").groupBy("id", "left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        counted = texts.mapInArrow(_pairs(filters), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f"))
+        pairs = scratch.save(counted.where(F.col("f") >= least).mapInArrow(_named, "id long, left long, right long, f long"))
         left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("pre").alias("pre_"))
         right = levels[-1].select(F.col("id").alias("right"), "last", F.col("suf").alias("suf_"))
         named = pairs.join(left, "left").join(right, "right")
