@@ -6,6 +6,7 @@ import html
 import re
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,16 +109,29 @@ def chunk_dedup(links: DataFrame) -> DataFrame:
     return links.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
+def _rest(columns: list[str], keys: list[str]) -> list[str]:
+    """Columns that decide between links of equal title, confidence and place, in a fixed order."""
+    known = ("title", "confidence", "chunk_seq", "offset", "pattern_idx")
+    return [c for c in (*known[2:], *sorted(set(columns) - set(known) - set(keys)), "title") if c in columns]
+
+
 def best_links(links: DataFrame, *also: str) -> DataFrame:
-    """The best link of each id (and `also`): with a title first, then confidence, then scan order. One aggregation with
-    map-side combine: a hot id moves one row per task."""
+    """The best link of each id (and `also`): with a title first, then confidence, then scan order; the other columns,
+    nulls last, decide between equals. One aggregation with map-side combine: a hot id moves one row per task."""
     keys = [*also, "video_id"]
     rest = [c for c in links.columns if c not in keys]
-    order = F.struct(F.col("title").isNotNull(), "confidence", -F.col("chunk_seq"), -F.col("offset"), -F.col("pattern_idx"))
-    best = links.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("b"))
+    order = [F.col("title").isNull(), -F.col("confidence")] + [x for c in _rest(links.columns, keys) for x in (F.col(c).isNull(), F.col(c))]
+    best = links.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(x.alias(f"o{i}") for i, x in enumerate(order)))).alias("b"))
     return best.select(*keys, *(F.col(f"b.{c}") for c in rest)).select(*links.columns)
 
 
+def best_of(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """What best_links() keeps of a pandas table."""
+    order = rows.assign(_untitled=rows["title"].isna(), _sure=-rows["confidence"])
+    order = order.sort_values(["_untitled", "_sure", *_rest(list(rows.columns), keys)], na_position="last", kind="stable")
+    return order.drop_duplicates(keys)[list(rows.columns)]
+
+
 def at_least(links: DataFrame, confidence: float) -> DataFrame:
     return links.where(F.col("confidence") >= confidence) if confidence > 0 else links
 

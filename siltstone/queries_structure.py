@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import planted as D
+from siltstone import queries_scan as Q
 from siltstone.functions import octets as O
 from siltstone.functions import predicates as V
 from siltstone.functions.scratch import Scratch
@@ -420,6 +421,18 @@ def stream_dedup(spark, sf_dir):
     return R.stream_dedup(feed, "key", f"{scratch.base}/out", f"{scratch.base}/state").groupBy("vid").agg(F.count("*").alias("n"))
 
 
+@query(f"""{Q._LINKS}, t AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN substr(md5(url), 1, 6) END AS title FROM l)
+    SELECT video_id, doc_id, pattern_name, title, confidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY title IS NULL, confidence DESC, doc_id, pattern_idx) AS r FROM t) WHERE r = 1""")
+def stream_best_links(spark, sf_dir):
+    """Structured Streaming with a keyed state: the best link of each id after all micro-batches of the table's links."""
+    title = F.when(F.col("doc_id") % 4 == 1, F.substring(F.md5("url"), 1, 6))
+    links = Q._links(spark, sf_dir).select("video_id", "doc_id", F.col("doc_id").alias("chunk_seq"), F.lit(0).alias("offset"), "pattern_idx", "pattern_name", "confidence", title.alias("title"))
+    scratch = Scratch(spark, "stream-best")
+    rows = scratch.save(links)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, len(rows.inputFiles()) // 3)).parquet(rows._scratch_path)
+    return R.stream_best(feed, f"{scratch.base}/out", f"{scratch.base}/state").select("video_id", "doc_id", "pattern_name", "title", "confidence")
+
+
 @query(f"WITH {D.P_SQL} SELECT doc_id FROM p WHERE vid NOT IN (SELECT vid FROM p WHERE doc_id % 6 = 0)")
 def remaining_fragments(spark, sf_dir):
     """Fragments whose link no chosen fragment (every sixth) has: an anti join."""

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.operators import links as L
 from siltstone.sources.sinks import write_text
@@ -96,3 +99,60 @@ def stream_dedup(events: DataFrame, key: str, out: str, checkpoint: str) -> Data
     q = events.dropDuplicates([key]).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return events.sparkSession.read.schema(events.schema).parquet(out)
+
+
+def _plain(row: pd.Series) -> tuple:
+    """Values of a row as a state keeps them."""
+    return tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
+
+
+def _better(columns: list[str], keys: list[str]):
+    """For applyInPandasWithState: the best link of an id is the state; a row comes out whenever it is replaced."""
+
+    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        new = pd.concat([L.best_of(f, keys) for f in frames])
+        if held:
+            new = pd.concat([pd.DataFrame([held[:-1]], columns=columns).astype(new.dtypes.to_dict()), new])
+        best = _plain(L.best_of(new, keys).iloc[0])
+        if not held or best != tuple(held[:-1]):
+            version = held[-1] + 1 if held else 1
+            state.update((*best, version))
+            yield pd.DataFrame([(*best, version)], columns=[*columns, "version"])
+
+    return run
+
+
+def best_so_far(links: DataFrame, *also: str) -> DataFrame:
+    """A stream of the best links of each id (and `also`) as they are found: a row for the first link of an id and for each
+    that is better than all before (links.best_links: title, confidence, scan order), numbered by `version`.
+
+    The state is one link an id, so it grows with the ids and not with the links. What a task reads is reduced to the best
+    link of each id and Arrow batch before it is shuffled, so a hot id moves a row per batch. With
+    spark.sql.streaming.stateStore.providerClass set to Spark's RocksDB provider the state need not fit in memory. Links
+    without an id (error rows) are left out."""
+    keys, columns = [*also, "video_id"], links.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema)
+    found = links.where(F.col("video_id").isNotNull()).mapInPandas(lambda frames: (L.best_of(f, keys) for f in frames if len(f)), kinds)
+    every = f"{kinds}, version long"
+    return found.groupBy(*keys).applyInPandasWithState(_better(columns, keys), every, every, "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_best(links: DataFrame, out: str, checkpoint: str, *also: str) -> DataFrame:
+    """The best link of each id (and `also`) over all micro-batches so far of a stream of links. Upgrades are written to
+    `out`, the partition of their batch: a batch that runs again after a failure replaces what it wrote, so the result
+    equals best_links() of all rows however the stream is cut and wherever it is stopped."""
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(out)
+
+    found = best_so_far(links, *also)
+    found.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        upgrades = links.sparkSession.read.schema(found.schema.add("epoch", "long")).parquet(out)
+    except AnalysisException:  # nothing came yet
+        upgrades = links.sparkSession.createDataFrame([], found.schema)
+    keys = [*also, "video_id"]
+    rest = [c for c in links.columns if c not in keys]
+    last = upgrades.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("b"))
+    return last.select(*keys, *(F.col(f"b.{c}") for c in rest)).select(*links.columns)
