@@ -220,8 +220,7 @@ _LINKS = f"WITH {D.P_SQL}, l AS ({_ALL})"
 
 
 def _links(spark, sf_dir):
-    m = D.bodies(spark, sf_dir).where(F.col("body").rlike(f"(?i){P.NEEDLES}|videoId")).select("doc_id", F.explode(L.matches(F.col("body"))).alias("m"))
-    return m.select("doc_id", "m.*")
+    return L.matches(D.bodies(spark, sf_dir), "body", "doc_id")
 
 
 @query(f"{_LINKS} SELECT doc_id, pattern_idx, pattern_name, url, video_id, confidence FROM l")
