@@ -15,16 +15,24 @@ BATCH_ROWS = 1000
 
 
 class Scratch(scratch.Scratch):
-    """Scratch tables whose rows reach Python in batches of BATCH_ROWS at most: texts may be long, pairs of texts more so."""
+    """Scratch tables whose rows reach Python in batches of BATCH_ROWS at most: texts may be long, pairs of texts more so.
+    batch_bytes: the most bytes of such a batch, if that is set (a longer row stands alone)."""
+
+    batch_bytes: int | None = None
 
     def save(self, df: DataFrame) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, str(BATCH_ROWS))
+        limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+        if self.batch_bytes:
+            limits["spark.sql.execution.arrow.maxBytesPerBatch"] = self.batch_bytes
+        before = {k: self.spark.conf.get(k) for k in limits}
+        for k, v in limits.items():
+            self.spark.conf.set(k, str(v))
         try:
             return super().save(df)
         finally:
-            self.spark.conf.set(name, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -126,9 +126,11 @@ def _confirm(percent: int):
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text_a", 2 << 20):
-                a, b = _sets(batch.column("text_a")), _sets(batch.column("text_b"))
+                texts = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]  # a leader's text stands in many rows
+                a, b = (_sets(t.dictionary) for t in texts)
                 ok = []
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                for i, (k, m) in enumerate(zip(*(t.indices.to_pylist() for t in texts), strict=True)):
+                    x, y = a[k], b[m]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and 100 * both >= percent * (len(x) + len(y) - both):
                         ok.append(i)
@@ -178,17 +180,18 @@ def near_duplicates(
     percent: int = 75,
     miss: float = 1e-7,
     small_bucket: int = 16,
-    broadcast_ids: int = 2_000_000,
+    broadcast_ids: int = 600_000,
     scratch: common.Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id, kept) of each row of docs; fp is the text's hash.
 
     percent: the least Jaccard similarity of a link, in hundredths; the bands suit 70 and more. miss: probability with
     which the Bayesian bound may drop a pair at the threshold. small_bucket: up to so many members a bucket's remaining
-    pairs are listed directly; larger ones go through the prefix filter. broadcast_ids: the ids (8 bytes
-    each) of texts to confirm are sent to all executors up to that number, and joined by a shuffle beyond it. scratch: where
-    its tables go; the large ones are deleted when nothing reads them any more, the others are the caller's to clear."""
+    pairs are listed directly; larger ones go through the prefix filter. broadcast_ids: the ids of
+    texts to confirm (three longs each, about 64 MB as a hash table) are sent to all executors up to that number, and joined
+    by a shuffle beyond it. scratch: where its tables go; the large ones are deleted when nothing reads them any more, the others are the caller's to clear."""
     scratch = scratch or common.Scratch(docs.sparkSession, "near-dedup")
+    scratch.batch_bytes = 8 << 20
     signed = scratch.save(sign(docs))
     same = ["n_shingles", "fp1", "fp2"]
     rep = F.min(F.struct("doc_id", "fp")).alias("rep")

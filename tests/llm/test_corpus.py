@@ -893,6 +893,19 @@ def test_pipeline_of_odd_tables(spark, odd, tmp_path):
     assert [f(bare).count() for f in stages.values()] == [0, 14 + 2, len(rows), 0, len(rows)]  # near-dedup leaves one of each id, and rows without one
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["__id", "__fp", "__source", "__words", "__size", "__stretches", "__pass", "__gone_doc_id", "gone_id", "_gone_fp", "fp_", "row", "id", "fp", "words", "d_id", "stretches", "pass", "GONE_x", "a.b"]
+    rng = random.Random(41)
+    rows = [(i, prose(rng, 80, 3000), "en", f"s{i % 2}", 5, *(f"{c}-{i}" for c in names)) for i in range(12)]
+    rows += [(20, rows[0][1] + " end", *rows[0][2:5], *(f"{c}-20" for c in names)), rows[3]]
+    docs = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{c}` string" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = docs.sparkSession.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert docs.count() > 6 and all(tuple(r)[5:] == tuple(f"{c}-{r.doc_id}" for c in names) for r in docs.collect())
+    assert corpus_pipeline.sharding(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline_decontaminates_rows_not_ids(spark, tmp_path):
     rng = random.Random(31)
     item, clean = prose(rng, 30, 3000).replace("\n", ""), [prose(rng, 60, 3000) for _ in range(3)]
