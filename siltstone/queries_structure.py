@@ -18,6 +18,7 @@ from siltstone.operators import exfat as X
 from siltstone.operators import graph as G
 from siltstone.operators import media as M
 from siltstone.operators import report as T
+from siltstone.operators import similar as SIM
 from siltstone.operators import streams as A
 from siltstone.plans import scan as N
 from siltstone.streaming import resume as R
@@ -107,6 +108,16 @@ def word_jaccard_pairs(spark, sf_dir):
     return G.jaccard_pairs(d, "doc_id", "words", 0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 5) AS cosine FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.4"""
+)
+def embedding_cosine_pairs(spark, sf_dir):
+    """All pairs of embeddings of a cosine of 0.4 or more."""
+    pairs, _ = SIM.cosine_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.4)
+    return pairs.select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
 @query(
     f"""WITH {D.P_SQL}, {D.E_SQL}, v AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id), d AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.n * y.n) AS dot FROM c x JOIN c y ON y.doc_id = x.doc_id + 1 AND x.byte = y.byte GROUP BY 1, 2),
     q AS (SELECT a, b, dot / (u.norm * w.norm) AS cosine, CASE WHEN a.vid = b.vid THEN 1.0 ELSE 0.0 END AS jaccard, CASE WHEN a.source = b.source OR a.doc_id // 4 = b.doc_id // 4 OR length(a.text) = length(b.text) THEN 1.0 ELSE 0.0 END AS metadata
