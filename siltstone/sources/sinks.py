@@ -5,10 +5,16 @@ from __future__ import annotations
 import html
 import itertools
 import json
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 _PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Recovery report</title></head><body>
 <h1>Recovery report</h1><p>{timestamp} &middot; {image}</p>
@@ -39,29 +45,101 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_pieces(spark, path, [text])
 
 
-def write_files(files: DataFrame, directory: str) -> DataFrame:
-    """Writes data (binary) under filename into directory/01_RECOVERED_FILES, each by the task that holds it, and returns
-    (filename, validation_status)."""
-    target = f"{directory.rstrip('/')}/01_RECOVERED_FILES"
+def _opened(uri: str):
+    """(file system, path in it) of a folder; for the driver and for tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """What a task has written: the folder of its attempt."""
+
+    folder: str
+
 
-    def run(batches):
-        import pyarrow as pa
+class FilesWriter(DataSourceArrowWriter):
+    """Writes each row (filename, data) as a file. A task writes into a folder of its own attempt; when all tasks are done
+    the driver moves the files of those attempts that count to their final names, so a retried, slower or failed task
+    leaves nothing under a final name, and no half file is ever there. Of several files of one name one stays."""
+
+    def __init__(self, options: dict):
+        self.target, self.job = options["path"].rstrip("/"), options["job"]
+        work = options.get("work", self.target)  # where attempts and the log of the write go
+        self.staging, self.log = f"{work}/_staging-{self.job}", f"{work}/_status-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
-        system.create_dir(base, recursive=True)
-        for batch in batches:
-            status = []
-            for name, data in zip(batch.column("filename").to_pylist(), batch.column("data").to_pylist(), strict=True):
+        folder = f"{self.staging}/{uuid.uuid4().hex}"
+        system, base = _opened(folder)
+        system.create_dir(f"{base}/files", recursive=True)
+        status = []
+        for batch in iterator:
+            for name, data in zip(batch.column("filename").to_pylist(), batch.column("data")):
                 try:
-                    with system.open_output_stream(f"{base}/{name}") as out:
-                        out.write(data)
-                    status.append("Valid")
+                    if not name or "/" in name or name in (".", ".."):
+                        raise OSError("not a name for a file")
+                    with system.open_output_stream(f"{base}/files/{name}") as out:
+                        out.write(data.as_buffer() if data.is_valid else b"")
+                    status.append((name, "Valid"))
                 except OSError as e:
-                    status.append(f"Corrupted: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column("filename"), pa.array(status)], names=["filename", "validation_status"])
+                    if name and system.get_file_info(f"{base}/files/{name}").type == fs.FileType.File:
+                        system.delete_file(f"{base}/files/{name}")  # no half file
+                    status.append((name, f"Corrupted: {e}"))
+        with system.open_output_stream(f"{base}/status.json") as out:
+            for name, what in status:
+                out.write((json.dumps({"filename": name, "validation_status": what}) + "\n").encode())
+        return Staged(folder)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        (system, base), (_, log) = _opened(self.target), _opened(self.log)
+        system.create_dir(base, recursive=True)
+        system.create_dir(log, recursive=True)
 
-    return files.select("filename", "data").mapInArrow(run, "filename string, validation_status string")
+        def move(k: int, folder: str) -> None:
+            _, mine = _opened(folder)
+            for f in system.get_file_info(fs.FileSelector(f"{mine}/files")):
+                system.move(f.path, f"{base}/{f.base_name}")
+            system.move(f"{mine}/status.json", f"{log}/{k:06d}.json")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(move, *zip(*((k, m.folder) for k, m in enumerate(messages) if m))) if any(messages) else ())
+        self._clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        system, staging = _opened(self.staging)
+        if system.get_file_info(staging).type == fs.FileType.Directory:
+            system.delete_dir(staging)
+
+
+class Files(DataSource):
+    """The sink `recovered_files`: rows (filename, data) become files in a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recovered_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return FilesWriter(dict(self.options))
+
+
+def write_files(files: DataFrame, directory: str) -> DataFrame:
+    """Writes data (binary) under filename into directory/01_RECOVERED_FILES (see FilesWriter) and returns what became of
+    each: (filename, validation_status), read from the log of this write. The folder is one that all executors share."""
+    spark = files.sparkSession
+    spark.dataSource.register(Files)
+    work, job = directory.rstrip("/"), uuid.uuid4().hex
+    files.select("filename", "data").write.format(Files.name()).options(job=job, work=work).mode("append").save(f"{work}/01_RECOVERED_FILES")
+    return spark.read.schema("filename string, validation_status string").json(f"{work}/_status-{job}")
 
 
 def report_paths(directory: str, now: datetime | None = None) -> tuple[str, str]:
