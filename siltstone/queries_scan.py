@@ -12,6 +12,7 @@ from siltstone.functions import octets as O
 from siltstone.functions import patterns as P
 from siltstone.functions import predicates as V
 from siltstone.functions import scores as S
+from siltstone.functions import table_functions as TF
 from siltstone.operators import chunks as C
 from siltstone.operators import links as L
 from siltstone.operators import report as T
@@ -256,6 +257,23 @@ def link_windows(spark, sf_dir):
     return L.extract(f, dedup=False).select("chunk_id", "offset", "pattern_name", "url", "video_id", "title", "confidence")
 
 
+@query()
+def link_windows_sql(spark, sf_dir):
+    """link_windows in SQL alone, by a table function."""
+    TF.register(spark)
+    D.fragments(spark, sf_dir).createOrReplaceTempView("siltstone_fragments")
+    return spark.sql("""WITH chunks AS (SELECT 'documents' AS path, doc_id AS chunk_id, doc_id AS chunk_seq, offset, data FROM siltstone_fragments)
+        SELECT chunk_id, offset, pattern_name, url, video_id, title, confidence FROM extract_links(TABLE(chunks), false)""")
+
+
+@query(f"{_LINKS} SELECT lang, pattern_name, count(*) AS n FROM l JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang, pattern_name")
+def links_by_lang_sql(spark, sf_dir):
+    """Matches counted in SQL alone, by a table function that is joined to each text."""
+    TF.register(spark)
+    D.bodies(spark, sf_dir).createOrReplaceTempView("siltstone_bodies")
+    return spark.sql("SELECT lang, pattern_name, count(*) AS n FROM siltstone_bodies, LATERAL find_links(body) GROUP BY lang, pattern_name")
+
+
 # ---------------------------------------------------------------- titles, names, text
 
 

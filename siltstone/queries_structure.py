@@ -168,7 +168,8 @@ def stream_paths(spark, sf_dir):
     return A.assemble(_nodes(spark, sf_dir), _W, 3)
 
 
-@query()
+# the rows of stream_edges at other weights: rows back, largest gap and overlap
+@query(ORACLES["stream_edges"].replace("y.rn - x.rn <= 6", "y.rn - x.rn <= 200").replace("8192", "1048576").replace("4096", "65536"))
 def stream_edges_full(spark, sf_dir):
     """The edges at the default weights: 200 rows back, gaps of 1 MiB."""
     nodes = Scratch(spark, "nodes").save(_nodes(spark, sf_dir))
