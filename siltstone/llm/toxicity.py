@@ -49,7 +49,7 @@ SIGNS = "0134578@$!|+"
 LETTERS = "oieastbasiit"
 #: The signs that may also stand for l.
 TALL = "1!|"
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _FOLD = dict(zip(ALIKE + "ı", LATIN + "i")) | dict.fromkeys(INVISIBLE, "")
 _SIGN = str.maketrans(SIGNS, LETTERS)
 _TALL = str.maketrans(TALL, "l" * len(TALL))
