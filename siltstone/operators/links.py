@@ -175,7 +175,8 @@ def matches(rows: DataFrame, text: str, *keep: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(k, *m) for k, t in enumerate(batch.column(text).to_pylist()) if t for m in matcher().whole(t)]
+            # one text at a time: a batch's texts as Python strings are several times its size
+            found = [(k, *m) for k, t in enumerate(batch.column(text)) if t.is_valid for m in matcher().whole(t.as_py())]
             if found:
                 at, *columns = zip(*found)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds.values()))], names=[*keep, *kinds])
