@@ -61,3 +61,19 @@ def test_odd_vectors(spark):
     assert cosine_pairs(df.where("false"), "id", "v", 0.5)[0].isEmpty()
     with pytest.raises(ValueError):
         cosine_pairs(df, "id", "v", 0.0)
+
+
+def test_blocks_grow_with_the_rows(spark):
+    """A row is sent to a bounded number of cells, and equal vectors, which make all pairs, come out block by block."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 2 else [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(600)]
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and sum(p * q for p, q in zip(x, y)) >= 0.9 * math.hypot(*x) * math.hypot(*y)}
+    for kind in ("float", "double"):
+        pairs, work = cosine_pairs(spark.createDataFrame(rows, f"id long, v array<{kind}>"), "id", "v", 0.9, block=4)
+        assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want) > 300 * 299 / 2
+        assert work.first().cells <= 16 * 17 / 2  # blocks of 4 rows would meet in 150 * 151 / 2
+
+
+def test_vectors_of_different_sizes_are_refused(spark):
+    with pytest.raises(Exception, match="different numbers of dimensions"):
+        cosine_pairs(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0] * 4)], "id long, v array<double>").coalesce(1), "id", "v", 0.5)
