@@ -75,3 +75,29 @@ def test_stream_best_of_nothing(spark, tmp_path):
     where, out, state = (str(tmp_path / x) for x in ("feed", "out", "state"))
     spark.createDataFrame([], LINKS).write.parquet(where)
     assert R.stream_best(feed(spark, where, 1), out, state).isEmpty()
+
+
+def test_an_id_is_compared_without_pandas(monkeypatch):
+    """The state is compared row by row: equal to best_of() of all rows, which is not called for an id."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    rows = [r for r in some_links(4, 200) if r[5] == "hot"] + [("img0", 1, 2, None, None, "hot", "a title", None, None, None, 1.0)]
+    columns = [x.split()[0] for x in LINKS.split(", ")]
+    random.Random(5).shuffle(rows)
+    state, want, out = State(), [], []
+    for i in range(0, len(rows), 7):
+        best = L.best_of(pd.DataFrame(rows[: i + 7], columns=columns).astype(object), ["video_id"]).iloc[0]
+        want.append(tuple(None if pd.isna(v) else v for v in best))
+    with monkeypatch.context() as m:
+        m.setattr(L, "best_of", None)
+        run = R._better(columns, ["video_id"])
+        for i, w in zip(range(0, len(rows), 7), want, strict=True):
+            out += [r for f in run(("hot",), iter([pd.DataFrame(rows[i : i + 7], columns=columns)]), state) for r in f.values.tolist()]
+            assert tuple(state.get[:-1]) == w
+    assert [r[-1] for r in out] == list(range(1, len(set(want)) + 1)) and len(out) > 1
